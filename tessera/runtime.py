@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Python functions travel to the executors by value: those need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["tessera"])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """The named parquet table, pruned to ``cols`` when any are given."""
