@@ -119,7 +119,7 @@ def order_rules(estimates: Sequence[tuple[Rule, float, float]]) -> list[Rule]:
 
 
 def cascade(
-    docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 2000, base: Callable[[], Column] = base_failed
+    docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 1000, base: Callable[[], Column] = base_failed
 ) -> DataFrame:
     """``docs`` with the measures, base_failed, kept and rejected_by.
 
@@ -129,7 +129,8 @@ def cascade(
     """
     t = F.coalesce(F.col(text), F.lit(""))
     measured = measure(docs, text)
-    ordered = order_rules(estimate(measured.limit(sample_rows), rules, text))
+    # The limit stands below the measures: only the sample is measured for the estimate.
+    ordered = order_rules(estimate(measure(docs.limit(sample_rows), text), rules, text))
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule in ordered:
         verdict = verdict.when(rule.rejects(t), F.lit(rule.name))
