@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import toxicity, chat, mixing, quality, secrets
+from tessera.llm import simhash, toxicity, chat, mixing, quality, secrets
 
 
 def queries():
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op1_toxicity": toxicity.op1_toxicity,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_quality_rules": quality.op6_quality_rules,
