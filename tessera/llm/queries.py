@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import html, simhash, toxicity, chat, mixing, quality, secrets
+from tessera.llm import segment, html, simhash, toxicity, chat, mixing, quality, secrets
 
 
 def queries():
     return {
+        "op4_sentencepiece": segment.op4_sentencepiece,
         "op3_html": html.op3_html,
         "op2_simhash": simhash.op2_simhash,
         "op1_toxicity": toxicity.op1_toxicity,
