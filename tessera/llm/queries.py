@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import neighbours, segment, html, simhash, toxicity, chat, mixing, quality, secrets
+from tessera.llm import repeats, neighbours, segment, html, simhash, toxicity, chat, mixing, quality, secrets
 
 
 def queries():
     return {
+        "op7_repeats": repeats.op7_repeats,
         "op9_neighbours": neighbours.op9_neighbours,
         "op4_sentencepiece": segment.op4_sentencepiece,
         "op3_html": html.op3_html,
