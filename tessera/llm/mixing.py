@@ -21,6 +21,7 @@ input are not carried (the keyed ``mix`` is joined or used by the caller).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,6 +71,32 @@ def position(share: Column, rank: Column, schedules: Sequence[tuple[float, float
     return 2 * need / (a + F.sqrt(a * a + 2 * (b - a) * need))
 
 
+def placed(
+    docs: DataFrame, key: str, text: str, source: str, weights: Sequence[float], total: float, cap: float, seed: int, carried: Sequence[str] = ()
+) -> DataFrame:
+    """key, source, size, source_size, target, rank, before (the source's words that stand before
+    the row in its order) per input row, and the carried columns as a struct ``row``."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    known = F.col(source).isNotNull()
+    cols = [
+        F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), known.alias("known"),
+        n_words(F.col(text)).alias("size"), order.alias("ord"), F.substring(order, 1, BUCKET_DIGITS).alias("bucket"),
+    ]
+    small = docs.select(*cols)
+    rows = docs.select(*cols, F.struct(*carried).alias("row")) if carried else (small := cut(small))
+    per = small.groupBy("source", "known", "bucket").agg(F.sum("size").alias("bucket_size"))
+    per = cut(per)
+    sizes = per.groupBy("source", "known").agg(F.sum("bucket_size").alias("source_size"))
+    goal = targets(sizes.select(F.when(F.col("known"), F.col("source")).alias("source"), "source_size"), weights, total, cap)
+    goal = goal.withColumn("known", F.col("source").isNotNull()).fillna("", ["source"])
+    in_source = Window.partitionBy("source", "known").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("prior", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0))).join(goal, ["source", "known"]).drop("bucket_size")
+    in_bucket = Window.partitionBy("source", "known", "bucket").orderBy("ord", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
+    rows = rows.join(per, ["source", "known", "bucket"]).withColumn("before", F.col("prior") + F.col("own"))
+    return rows.withColumn("source", F.when(F.col("known"), F.col("source")))
+
+
 def mix(
     docs: DataFrame,
     key: str = "doc_id",
@@ -83,34 +110,44 @@ def mix(
 ) -> DataFrame:
     """key, source, size, source_size, target, taken, position, per input row, range-sorted by position.
 
-    ``position`` is where the first take starts (null where nothing is taken).
-    ``__before`` is the number of the source's words before the row, for callers that
-    need the later takes.
+    ``taken`` counts words, so a source meets its target to the word; ``position`` is where
+    the first take starts (null where nothing is taken).
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), order.alias("ord")))
-    rows = rows.withColumn("bucket", F.substring("ord", 1, BUCKET_DIGITS)).withColumn("known", F.col("source").isNotNull()).fillna("", ["source"])
-    per = rows.groupBy("source", "known", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sizes = per.groupBy("source", "known").agg(F.sum("bucket_size").alias("source_size"))
-    goal = targets(sizes.select(F.when(F.col("known"), F.col("source")).alias("source"), "source_size"), weights, total, cap)
-    goal = goal.withColumn("known", F.col("source").isNotNull()).fillna("", ["source"])
-    in_source = Window.partitionBy("source", "known").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("before", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
-    per = per.join(goal, ["source", "known"]).drop("bucket_size")
-    in_bucket = Window.partitionBy("source", "known", "bucket").orderBy("ord", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-    rows = rows.join(per, ["source", "known", "bucket"]).withColumn("__before", F.col("before") + F.col("own"))
+    rows = placed(docs, key, text, source, weights, total, cap, seed)
     quota = F.floor("target")
     clamp = lambda c: F.greatest(F.lit(0), F.least(c, F.col("size")))
-    takes = sum((clamp(quota - F.col("source_size") * k - F.col("__before")) for k in range(1, int(-(-cap // 1)))), clamp(quota - F.col("__before")))
+    takes = sum((clamp(quota - F.col("source_size") * k - F.col("before")) for k in range(1, math.ceil(cap))), clamp(quota - F.col("before")))
     rows = rows.withColumn("taken", takes.cast("long"))
-    at = F.when(F.col("taken") > 0, F.round(position(F.col("__before") / F.col("target"), F.col("rank"), schedules), 9))
-    out = rows.select(
-        F.col("key").alias(key), F.when(F.col("known"), F.col("source")).alias(source), "size", "source_size", "target", "taken", at.alias("position"), "__before"
-    )
+    at = F.when(F.col("taken") > 0, F.round(position(F.col("before") / F.col("target"), F.col("rank"), schedules), 9))
+    out = rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken", at.alias("position"))
     return out.repartitionByRange("position").sortWithinPartitions("position", key)
 
 
+def whole_takes(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    total: float = TOTAL,
+    cap: float = CAP,
+    schedules: Sequence[tuple[float, float]] = SCHEDULES,
+    seed: int = 42,
+) -> DataFrame:
+    """The columns of ``docs``, a row for each take, in the order of training positions.
+
+    Documents are taken whole: a take counts if its middle word is within the target, so a
+    source misses its target by less than half of one document.
+    """
+    rows = placed(docs, key, text, source, weights, total, cap, seed, docs.columns)
+    fits = lambda k: (F.col("size") > 0) & (2 * (F.col("source_size") * k + F.col("before")) + F.col("size") <= 2 * F.col("target"))
+    n = sum((fits(k).cast("int") for k in range(1, math.ceil(cap))), fits(0).cast("int"))
+    rows = rows.withColumn("n", n).filter("n > 0").withColumn("take", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    share = (F.col("source_size") * F.col("take") + F.col("before")) / F.col("target")
+    rows = rows.select("row", position(share, F.col("rank"), schedules).alias("position"))
+    return rows.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+
+
 def op8_mixing(spark, sf_dir):
     """The mix over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")

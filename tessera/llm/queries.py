@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from tessera.llm import repeats, neighbours, segment, html, simhash, toxicity, chat, mixing, quality, secrets
+import corpus_pipeline
+from tessera.llm import chat, html, mixing, neighbours, quality, repeats, secrets, segment, simhash, toxicity
 
 
 def queries():
     return {
-        "op7_repeats": repeats.op7_repeats,
-        "op9_neighbours": neighbours.op9_neighbours,
-        "op4_sentencepiece": segment.op4_sentencepiece,
-        "op3_html": html.op3_html,
-        "op2_simhash": simhash.op2_simhash,
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_simhash": simhash.op2_simhash,
+        "op3_html": html.op3_html,
+        "op4_sentencepiece": segment.op4_sentencepiece,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_repeats": repeats.op7_repeats,
         "op8_mixing": mixing.op8_mixing,
+        "op9_neighbours": neighbours.op9_neighbours,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "pipeline": corpus_pipeline.run,
     }
 
 

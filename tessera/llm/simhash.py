@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import components
 from tessera.runtime import cut
@@ -65,14 +66,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(key, fp long) per input row."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return with_fingerprint(rows, "text", shingle).select("key", "fp")
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with a column ``fp`` (replacing one of that name), in one pass."""
+    rows = docs.drop("fp")
+    at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], names=["key", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(at)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "fp"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, fp long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def _columns() -> tuple[np.ndarray, np.ndarray]:
@@ -218,15 +226,26 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, limit: int = BLOCK) ->
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, fp long, component_id) per input row; component_id is the smallest key reachable."""
+    """(key, fp long, component_id, root) per input row; component_id is the smallest key
+    reachable, root a fingerprint that names the component."""
     fps = cut(fingerprints(docs, key, text, shingle))
     classes = fps.groupBy("fp").agg(F.min("key").alias("low"))
     roots = components(links(classes, threshold))
     # Labels per distinct fingerprint, then per row; classes without links keep their own.
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    labels = named.join(least, "root").select("fp", "root", "component_id")
+    return fps.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component does: the one of the
+    smallest key, of rows of that key the one of the smallest fingerprint, of exact copies one."""
+    told = near_duplicates(docs, key, text, shingle, threshold).filter(F.col(key).eqNullSafe(F.col("component_id")))
+    best = told.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), "fp")).alias("b")).select(F.col("b.k").alias("__k"), F.col("b.fp").alias("__fp"))
+    rows = with_fingerprint(docs, text, shingle)
+    kept = rows.join(best, F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("fp") == F.col("__fp")), "left_semi")
+    return kept.dropDuplicates([key, "fp"]).drop("fp")
 
 
 def op2_simhash(spark, sf_dir):

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.runtime import cut
 
@@ -232,22 +233,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(lexicons[0], Boosted().fit(x, y), isotonic(apart, y))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) per input row."""
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with a column ``score`` (replacing one of that name), in one pass."""
+    rows = docs.drop("score")
+    at = rows.columns.index(text)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t.as_py(), model.weights) for t in b.column(1)], dtype=float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(model.score(x), 0, 1))], names=["key", "score"])
+            x = np.array([features(t.as_py(), model.weights) for t in b.column(at)], dtype=float).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(model.score(x), 0, 1))], names=[*b.schema.names, "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema)
 
 
 def op1_toxicity(spark, sf_dir):
     """Toxicity score of every whole document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    out = score(docs, train(docs, labels))
+    out = scored(docs, train(docs, labels))
     told = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     return out.select("doc_id", (F.crc32(told) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
