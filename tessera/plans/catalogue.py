@@ -1,11 +1,683 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries and their oracle SQL, one pair per operator of the inventory."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.config import GENERIC, LEGAL
+from tessera.functions import text as tx
+from tessera.operators import bm25, context, enrich, evaluate, fuse, index, rerank, serve, split, vector
+from tessera.plans import retrieval
+from tessera.plans import sqltext as s
+from tessera.runtime import scratch, table
+from tessera.sources import store
+from tessera.sources import tables as src
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers the function under its name, with its SQL."""
+
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(c, digits).alias(c)
+
+
+# Index statistics
+
+
+@query(s.with_(s.BODIES, s.index("bodies")) + "SELECT tok AS term, df FROM bodies_df WHERE df > 20")
+def token_document_frequency(spark, sf):
+    df = index.frequent(index.postings(src.bodies(spark, sf)), 20)
+    return df.select(F.col("tok").alias("term"), "df")
+
+
+@query(s.with_(s.BODIES, s.index("bodies")) + "SELECT n, round(avgdl, 6) AS avgdl, (SELECT sum(len)::BIGINT FROM bodies_len) AS total FROM bodies_st")
+def doc_length_stats(spark, sf):
+    length = index.lengths(src.bodies(spark, sf))
+    return length.agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("avgdl"), F.sum("len").alias("total"))
+
+
+@query(
+    s.with_(s.DOCS, s.QA, s.TERMS)
+    + "SELECT count(*) AS docs, count(*) FILTER (trim(text) <> '') AS with_text, count(*) FILTER (expired = 1) AS expired, "
+    "(SELECT count(*) FROM qa) AS qa, (SELECT count(*) FROM terms) AS terms FROM docs"
+)
+def corpus_stats(spark, sf):
+    d = src.docs(spark, sf).agg(F.count("*").alias("docs"), F.count_if(F.trim("text") != "").alias("with_text"), F.count_if(F.col("expired") == 1).alias("expired"))
+    return d.crossJoin(src.qa(spark, sf).agg(F.count("*").alias("qa"))).crossJoin(src.terms(spark, sf).agg(F.count("*").alias("terms")))
+
+
+@query(
+    "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'conversations', count(*) FROM conversations "
+    "UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'embeddings', count(*) FROM embeddings"
+)
+def health_counts(spark, sf):
+    return serve.counts({t: table(spark, sf, t) for t in ("documents", "conversations", "part", "embeddings")})
+
+
+# Keyword rankings
+
+_RANKED = "qid, ref, pos::INT AS pos, round(score, 6) AS score"
+
+
+@query(s.with_(s.BODIES, s.index("bodies"), s.QUERIES, s.OR_TERMS, s.score("r", "bodies", "bodies_p", "or_terms")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
+def bm25_or_topk(spark, sf):
+    u, q = src.bodies(spark, sf), src.questions(spark, sf)
+    return bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q)), 10).select("qid", "ref", "pos", _r("score"))
+
+
+@query(
+    s.with_(s.BODIES, s.index("bodies"), s.QUERIES, s.FILTERED, s.AND_TERMS, s.score("r", "bodies", "bodies_p", "and_terms"),
+            "m AS (SELECT r.* FROM r JOIN (SELECT DISTINCT qid, n FROM and_terms) USING (qid) WHERE hits = n)")
+    + f"SELECT {_RANKED} FROM ({s.top('m', 10)})"
+)
+def bm25_and_topk(spark, sf):
+    u, q = src.bodies(spark, sf), src.questions(spark, sf)
+    t = bm25.and_terms(q, GENERIC)
+    full = bm25.score(u, index.postings(u), t).join(t.select("qid", "n").distinct(), "qid").filter("hits = n")
+    return bm25.rank(full, 10).select("qid", "ref", "pos", _r("score"))
+
+
+@query(
+    s.with_(s.QA, s.units("u", "qa", "ref", {"question": 3.0, "answer": 1.0}), s.index("u"), s.QUERIES, s.OR_TERMS, s.score("r", "u", "u_p", "or_terms"))
+    + f"SELECT {_RANKED} FROM ({s.top('r', 10)})"
+)
+def bm25_weighted_fields(spark, sf):
+    u, q = index.units(src.qa(spark, sf), "ref", ["question", "answer"]), src.questions(spark, sf)
+    return bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q), GENERIC.qa_weights), 10).select("qid", "ref", "pos", _r("score"))
+
+
+@query(
+    s.with_(s.TERMS, s.units("u", "terms", "ref", {"term": 5.0, "definition": 1.0}), s.index("u"),
+            "queries AS (SELECT p_partkey AS qid, p_name || ' ' || p_brand AS text FROM part WHERE p_size = 7)", s.OR_TERMS, s.score("r", "u", "u_p", "or_terms"))
+    + f"SELECT {_RANKED} FROM ({s.top('r', 15)})"
+)
+def bm25_terms_topk(spark, sf):
+    u = index.units(src.terms(spark, sf), "ref", ["term", "definition"])
+    q = table(spark, sf, "part").filter("p_size = 7").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    return bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q), GENERIC.term_weights), 15).select("qid", "ref", "pos", _r("score"))
+
+
+@query(s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.whole("bodies"), s.score("r", "bodies", "bodies_b", "bodies_pt")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
+def bm25_phrase_topk(spark, sf):
+    u, q = src.bodies(spark, sf), src.questions(spark, sf)
+    t = bm25.phrase_terms(q, index.frequencies(index.postings(u)), GENERIC)
+    return bm25.rank(bm25.score(u, index.text_bigrams(u), t), 10).select("qid", "ref", "pos", _r("score"))
+
+
+@query(
+    s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40))
+    + "SELECT qid, ref, stage, pos::INT AS pos, round(score, 6) AS score FROM c"
+)
+def bm25_cascade(spark, sf):
+    return bm25.cascade(src.bodies(spark, sf), src.questions(spark, sf), 40, None, GENERIC).select("qid", "ref", "stage", "pos", _r("score"))
+
+
+@query(s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.index("bodies"), s.phrases("bodies")) + "SELECT qid, i, a, b, min_df, r::INT AS r FROM bodies_ph")
+def rare_phrase_selection(spark, sf):
+    return bm25.phrases(src.questions(spark, sf), index.frequencies(index.postings(src.bodies(spark, sf))), GENERIC)
+
+
+@query(s.with_(s.QUERIES, s.FILTERED) + "SELECT qid, array_to_string(t, ' ') AS toks, len(t)::INT AS n FROM filtered")
+def stop_token_filter_with_fallback(spark, sf):
+    q = src.questions(spark, sf)
+    t = tx.without_stop(tx.query_tokens(F.col("text")), GENERIC.stop)
+    return q.select("qid", F.array_join(t, " ").alias("toks"), F.size(t).alias("n"))
+
+
+@query(s.with_(s.QUERIES) + f"SELECT qid, array_to_string({s.qtoks('text')}, ' ') AS toks FROM queries")
+def query_token_cap_24(spark, sf):
+    return src.questions(spark, sf).select("qid", F.array_join(tx.query_tokens(F.col("text")), " ").alias("toks"))
+
+
+_DOC_W = {"title": 1.0, "issuer": 1.0, "doc_type": 4.0}
+
+
+@query(
+    s.with_(s.DOCS, s.units("u", "docs", "id", _DOC_W), s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("u"), s.cascade("c", "u", 60), s.doc_rank("r", "c", 15))
+    + "SELECT qid, ref, pos::INT AS pos, round(final, 6) AS final FROM r"
+)
+def docs_boosted_ranking(spark, sf):
+    d, q = src.docs(spark, sf), src.questions(spark, sf)
+    few = bm25.cascade(index.units(d, "id", ["title", "issuer", "doc_type"]), q, 60, GENERIC.doc_weights, GENERIC)
+    info = d.select(F.col("id").alias("ref"), "doc_type", "year", "expired", "title", "tier")
+    return bm25.rank_docs(few, info, q, 15).select("qid", "ref", "pos", _r("final"))
+
+
+# Vectors
+
+_COS = "1 - list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+_EXACT = f"""x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS pos FROM
+  (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS dist FROM embeddings a, embeddings q WHERE q.vec_id < 5))"""
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id < 5")
+
+
+@query(s.with_(_EXACT) + "SELECT query_id, vec_id, pos::INT AS pos, round(dist, 6) + 0.0 AS dist FROM x WHERE pos <= 40")
+def vector_exact_topk(spark, sf):
+    return vector.exact_top(table(spark, sf, "embeddings"), _asked(spark, sf), 40).select("query_id", "vec_id", "pos", (F.round("dist", 6) + 0.0).alias("dist"))
+
+
+def _kinds(spark, sf):
+    hits = vector.exact_top(table(spark, sf, "embeddings"), _asked(spark, sf), 40)
+    return hits.select(F.col("query_id").alias("qid"), "pos", F.when(F.col("vec_id") % 2 == 0, "chunk").otherwise("term").alias("kind"), (F.col("vec_id") * 3).alias("ref"))
+
+
+_KINDS = "h AS (SELECT query_id AS qid, pos::INT AS pos, CASE WHEN vec_id % 2 = 0 THEN 'chunk' ELSE 'term' END AS kind, vec_id * 3 AS ref FROM x WHERE pos <= 40)"
+
+
+def _sources(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "source").select(F.col("doc_id").alias("ref"), F.col("source").alias("title"))
+    return {"chunk": d, "term": src.terms(spark, sf).select("ref", F.col("term").alias("title"))}
+
+
+@query(
+    s.with_(_EXACT, _KINDS)
+    + "SELECT qid, pos, kind, ref, source AS title FROM h JOIN documents ON doc_id = ref WHERE kind = 'chunk' "
+    "UNION ALL SELECT qid, pos, kind, ref, p_name FROM h JOIN part ON p_partkey = ref WHERE kind = 'term'"
+)
+def vector_hydration(spark, sf):
+    return vector.hydrate(_kinds(spark, sf), _sources(spark, sf)).select("qid", "pos", "kind", "ref", "title")
+
+
+@query(
+    s.with_(_EXACT, _KINDS) + "SELECT qid, pos, kind, ref FROM h WHERE (kind = 'chunk' AND ref NOT IN (SELECT doc_id FROM documents)) "
+    "OR (kind = 'term' AND ref NOT IN (SELECT p_partkey FROM part))"
+)
+def vector_dangling_refs(spark, sf):
+    return vector.dangling(_kinds(spark, sf), _sources(spark, sf)).select("qid", "pos", "kind", "ref")
+
+
+@query()
+def ivf_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    celled, centres = index.vector_cells(v, 16)
+    return vector.cells_top(celled, centres, _asked(spark, sf), 10, 8).select("query_id", "vec_id", "pos", _r("dist"))
+
+
+@query()
+def pq_codes(spark, sf):
+    coded, _ = index.product_codes(table(spark, sf, "embeddings"), 8, 16)
+    return coded.select("vec_id", F.array_join("code", ",").alias("code"))
+
+
+@query()
+def encoded_questions(spark, sf):
+    q = src.questions(spark, sf)
+    return q.select("qid", F.array_join(F.transform(vector.hashing_encoder(64)(F.col("text")), lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
+
+
+# Fusion
+
+_TWO = s.with_(
+    s.BODIES, s.DOCS, s.units("u", "docs", "id", _DOC_W), s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40),
+    s.whole("u"), s.cascade("e", "u", 60), s.doc_rank("d", "e", 15),
+    "lists AS (SELECT qid, 1 AS list_no, pos, ref, 'body' AS source FROM c UNION ALL SELECT qid, 2, pos, ref, 'title' FROM d)",
+    """f AS (SELECT qid, ref, sum(1.0 / (60 + pos)) AS score, array_to_string(list_distinct(list(source ORDER BY list_no, pos)), ',') AS s0,
+      string_agg(source, ',' ORDER BY list_no, pos) AS sources, min(list_no * 1000 + pos) AS first FROM lists GROUP BY qid, ref)""",
+)
+
+
+def _two(spark, sf):
+    d, q = src.docs(spark, sf), src.questions(spark, sf)
+    body = bm25.cascade(src.bodies(spark, sf), q, 40, None, GENERIC)
+    few = bm25.cascade(index.units(d, "id", ["title", "issuer", "doc_type"]), q, 60, GENERIC.doc_weights, GENERIC)
+    title = bm25.rank_docs(few, d.select(F.col("id").alias("ref"), "doc_type", "year", "expired", "title", "tier"), q, 15)
+    return retrieval.named(body, 1, "doc", "body").unionByName(retrieval.named(title, 2, "doc", "title"))
+
+
+@query(_TWO + "SELECT qid, ref, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first, ref)::INT AS pos FROM f")
+def rrf_two_lists(spark, sf):
+    return fuse.rrf(_two(spark, sf)).select("qid", "ref", _r("score"), F.col("new_pos").alias("pos"))
+
+
+@query(_TWO + "SELECT qid, ref, sources FROM f")
+def rrf_sources_union(spark, sf):
+    return fuse.rrf(_two(spark, sf)).select("qid", "ref", F.array_join("sources", ",").alias("sources"))
+
+
+_KEY = "nullif(substr(regexp_replace(lower(substr(coalesce({0}, ''), 1, 220)), '[^0-9a-z\\x{{00e0}}-\\x{{1ef9}}]+', '', 'g'), 1, 160), '')"
+
+
+@query(f"SELECT doc_id, {_KEY.format('text')} AS key FROM documents")
+def dedupe_content_key(spark, sf):
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.content_key(F.col("text")).alias("key"))
+
+
+_LANG_RANK = {"en": 1, "fr": 3, "de": 5}
+
+
+def _listed(spark, sf):
+    d = src.docs(spark, sf)
+    d = d.select((F.col("id") % 10).alias("qid"), F.col("id").alias("ref"), tx.content_key(F.col("text")).alias("key"), F.array("issuer").alias("sources"), "expired", "doc_type", "year")
+    d = d.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("ref")))
+    rank = F.col("expired") * 1000000 + fuse.type_rank(F.col("doc_type"), _LANG_RANK) * 10000 + 9999 - F.coalesce("year", F.lit(0))
+    return d.withColumn("authority", rank.cast("int")).withColumn("score", 1.0 / (60 + F.col("pos")))
+
+
+_LISTED = f"""l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ref) AS pos FROM
+  (SELECT id % 10 AS qid, id AS ref, {_KEY.format('text')} AS key, issuer, expired,
+    expired * 1000000 + (CASE doc_type WHEN 'en' THEN 1 WHEN 'fr' THEN 3 WHEN 'de' THEN 5 ELSE 8 END) * 10000 + 9999 - coalesce(year, 0) AS authority FROM docs))"""
+_DEDUPED = """k AS (SELECT *, coalesce(key, chr(1) || pos::VARCHAR) AS kk FROM l),
+m AS (SELECT *, min(authority) OVER (PARTITION BY qid, kk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        min(pos) OVER (PARTITION BY qid, kk) AS first_pos FROM k),
+rec AS (SELECT * FROM m WHERE before IS NULL OR authority < before),
+won AS (SELECT qid, arg_max(ref, pos) AS ref, any_value(key) AS key, arg_max(expired, pos) AS expired, any_value(first_pos) AS first_pos, string_agg(DISTINCT issuer, ',' ORDER BY issuer) AS sources
+        FROM rec GROUP BY qid, kk),
+dd AS (SELECT qid, ref, expired, sources, 1.0 / (60 + first_pos) AS score, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, first_pos) AS pos FROM won)"""
+
+
+@query(s.with_(s.DOCS, _LISTED, _DEDUPED) + "SELECT qid, ref, pos::INT AS pos, sources, round(score, 6) AS score FROM dd")
+def dedupe_authority(spark, sf):
+    out = fuse.dedupe(_listed(spark, sf))
+    return out.select("qid", "ref", "pos", F.array_join("sources", ",").alias("sources"), _r("score"))
+
+
+@query(s.with_(s.DOCS, _LISTED, _DEDUPED) + "SELECT qid, ref, expired, row_number() OVER (PARTITION BY qid ORDER BY expired, round(score, 12) DESC, pos)::INT AS pos FROM dd")
+def expired_demotion(spark, sf):
+    return fuse.demote(fuse.dedupe(_listed(spark, sf))).select("qid", "ref", "expired", "pos")
+
+
+@query("SELECT doc_id, contains(replace(strip_accents(lower(text)), 'đ', 'd'), 'edition') OR contains(replace(strip_accents(lower(text)), 'đ', 'd'), 'ete') AS hit FROM documents")
+def accent_insensitive_match(spark, sf):
+    t = tx.strip_marks(F.col("text"))
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", (F.contains(t, F.lit("edition")) | F.contains(t, F.lit("ete"))).alias("hit"))
+
+
+# Whole retrieval
+
+
+def _all_lists(spark, sf):
+    return retrieval.lists(src.questions(spark, sf), src.bodies(spark, sf), src.qa(spark, sf), src.terms(spark, sf), src.docs(spark, sf), GENERIC)
+
+
+def _payload(spark, sf):
+    return retrieval.payloads(src.bodies(spark, sf), src.docs(spark, sf), src.qa(spark, sf), src.terms(spark, sf))
+
+
+_HYBRID = s.with_(
+    s.BODIES, s.DOCS, s.QA, s.TERMS, s.QUERIES, s.FILTERED, s.AND_TERMS, s.OR_TERMS,
+    s.whole("bodies"), s.cascade("c1", "bodies", 40),
+    s.units("uq", "qa", "ref", {"question": 3.0, "answer": 1.0}), s.whole("uq"), s.cascade("c2", "uq", 40),
+    s.units("ut", "terms", "ref", {"term": 5.0, "definition": 1.0}), s.index("ut"), s.score("c3s", "ut", "ut_p", "or_terms"), f"c3 AS ({s.top('c3s', 15)})",
+    s.units("ud", "docs", "id", _DOC_W), s.whole("ud"), s.cascade("c4c", "ud", 60), s.doc_rank("c4", "c4c", 15),
+    """lists AS (SELECT qid, 1 AS list_no, pos, 'chunk' AS kind, ref FROM c1 UNION ALL SELECT qid, 2, pos, 'qa', ref FROM c2
+      UNION ALL SELECT qid, 3, pos, 'term', ref FROM c3 UNION ALL SELECT qid, 4, pos, 'doc', ref FROM c4)""",
+    "f AS (SELECT qid, kind, ref, sum(1.0 / (60 + pos)) AS score, min(list_no * 1000 + pos) AS first FROM lists GROUP BY ALL)",
+    "g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first, kind, ref) AS pos FROM f)",
+    """pay AS (SELECT 'chunk' AS kind, id AS ref, text, expired, year FROM docs UNION ALL SELECT 'doc', id, '', expired, year FROM docs
+      UNION ALL SELECT 'qa', ref, answer, 0, NULL FROM qa UNION ALL SELECT 'term', ref, term || ': ' || definition, 0, NULL FROM terms)""",
+    f"""l AS (SELECT qid, kind, ref, pos, score, {_KEY.format('text')} AS key, expired, text,
+      expired * 1000000 + 80000 + 9999 - coalesce(year, 0) AS authority FROM g JOIN pay USING (kind, ref))""",
+    """k AS (SELECT *, coalesce(key, chr(1) || pos::VARCHAR) AS kk FROM l)""",
+    """m AS (SELECT *, min(authority) OVER (PARTITION BY qid, kk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+      min(pos) OVER (PARTITION BY qid, kk) AS first_pos, arg_min(score, pos) OVER (PARTITION BY qid, kk) AS first_score FROM k)""",
+    """won AS (SELECT qid, kk, arg_max(kind, pos) AS kind, arg_max(ref, pos) AS ref, any_value(key) AS key, arg_max(expired, pos) AS expired, arg_max(text, pos) AS text,
+      any_value(first_pos) AS first_pos, any_value(first_score) AS score FROM m WHERE before IS NULL OR authority < before GROUP BY qid, kk)""",
+    "dd AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, first_pos) AS pos FROM won)",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY expired, round(score, 12) DESC, pos) AS rk FROM dd)",
+)
+
+
+@query(
+    _HYBRID.rstrip() + """,
+out AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, rk) AS p FROM ranked WHERE rk <= 8)
+SELECT qid, kind, ref, p::INT AS pos, round(score, 6) AS score FROM out"""
+)
+def hybrid_full_no_rerank(spark, sf):
+    hits = retrieval.retrieve(_all_lists(spark, sf), _payload(spark, sf), src.questions(spark, sf), use_rerank=False)
+    return hits.select("qid", "kind", "ref", "pos", _r("score"))
+
+
+_LEX = f"""CASE WHEN len(qd) > 0 THEN len(list_intersect(qd, td)) * 1.0 / len(qd) ELSE 0 END"""
+
+
+@query(
+    _HYBRID.rstrip() + f""",
+ti AS (SELECT 'chunk' AS kind, id AS ref, title FROM docs UNION ALL SELECT 'doc', id, title FROM docs UNION ALL SELECT 'qa', ref, question FROM qa UNION ALL SELECT 'term', ref, term FROM terms),
+sc AS (SELECT r.qid, r.kind, r.ref, r.rk, r.key, list_distinct({s.toks('q.text')}) AS qd, list_distinct({s.toks("substr(coalesce(title, '') || chr(10) || coalesce(r.text, ''), 1, 800)")}) AS td
+  FROM ranked r JOIN ti USING (kind, ref) JOIN queries q USING (qid) WHERE rk <= 32),
+sd AS (SELECT *, {_LEX} AS sim FROM sc),
+se AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, rk) AS rp FROM sd),
+out AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, rp) AS p FROM se WHERE rp <= 8)
+SELECT qid, kind, ref, p::INT AS pos, round(sim, 6) AS rerank_score FROM out"""
+)
+def rerank_lexical(spark, sf):
+    hits = retrieval.retrieve(_all_lists(spark, sf), _payload(spark, sf), src.questions(spark, sf))
+    return hits.select("qid", "kind", "ref", "pos", _r("rerank_score"))
+
+
+# Structure of texts
+
+_NORM = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{00a0}}]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("SELECT doc_id, md5(" + _NORM.format("text") + ") AS h, length(" + _NORM.format("text") + ")::INT AS n FROM documents")
+def normalize_whitespace(spark, sf):
+    t = tx.normalize(F.col("text"), compose=True)
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(t.cast("binary")).alias("h"), F.char_length(t).alias("n"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 3000) || chr(10) || 'PHỤ LỤC 1' || chr(10) || text ELSE text END AS t FROM documents),
+p AS (SELECT *, CASE WHEN regexp_matches(t, '(?m)^[ \\t]*(PHỤ LỤC|Phụ lục)([^\\p{L}\\p{N}_]|$)') THEN
+  length(regexp_replace(t, '(?s)\\n[ \\t]*(PHỤ LỤC|Phụ lục)([^\\p{L}\\p{N}_].*|$)', chr(10))) ELSE -1 END AS cut_at FROM t)
+SELECT doc_id, length(substr(CASE WHEN cut_at > 2000 AND cut_at > 0.4 * length(t) THEN substr(t, 1, cut_at) ELSE t END, 1, 400000))::INT AS n FROM p"""
+)
+def truncate_tail(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text")
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 3000), F.lit("\nPHỤ LỤC 1\n"), F.col("text"))).otherwise(F.col("text"))
+    return d.select("doc_id", t.alias("t")).select("doc_id", F.char_length(split.truncate_tail(F.col("t"))).alias("n"))
+
+
+def _legal(spark, sf):
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", src.articles_of(tx.normalize(F.col("text"))).alias("text"))
+
+
+# A form feed marks where a piece begins: RE2 has no lookahead.
+_ART = (
+    "a AS (SELECT doc_id, string_split(" + _NORM.format("text") + ", chr(10)) AS ls FROM documents),\n"
+    "b AS (SELECT doc_id, " + _NORM.format(
+        "array_to_string(list_transform(ls, lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN 'CHƯƠNG ' || ((i - 1) // 5 + 1)::VARCHAR || chr(10) ELSE '' END || 'Điều ' || (((i - 1) * 7) % 11 + 1)::VARCHAR || '. ' || x), chr(10))"
+    ) + " AS t FROM a),\n"
+    "c AS (SELECT doc_id, string_split(regexp_replace(t, '(?m)^([ \\t]*Điều[ \\t]+\\d+[ \\t]*\\.)', chr(12) || '\\1', 'g'), chr(12)) AS ps FROM b WHERE length(t) >= 50),\n"
+    "p0 AS (SELECT doc_id, unnest(ps) AS body, generate_subscripts(ps, 1) - 1 AS piece, len(ps) AS np FROM c),\n"
+    "p AS (SELECT doc_id, piece, body, nullif(regexp_extract(body, '^[ \\t]*Điều[ \\t]+(\\d+)[ \\t]*\\.', 1), '') AS no FROM p0)"
+)
+
+
+@query(s.with_(_ART) + "SELECT doc_id, piece::INT AS piece, no, length(body)::INT AS n FROM p WHERE NOT (piece = 0 AND body = '')")
+def heading_split(spark, sf):
+    return split.pieces(_legal(spark, sf)).select("doc_id", "piece", "no", F.char_length("body").alias("n"))
+
+
+@query(
+    s.with_(_ART, "o AS (SELECT *, nullif(regexp_extract_all(body, '(?m)^[ \\t]*CHƯƠNG[ \\t]+\\d+[^\\n]*')[-1], '') AS own FROM p WHERE NOT (piece = 0 AND body = ''))")
+    + "SELECT doc_id, piece::INT AS piece, coalesce(trim(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '') AS chapter FROM o"
+)
+def chapter_as_of(spark, sf):
+    return split.pieces(_legal(spark, sf)).select("doc_id", "piece", "chapter")
+
+
+_BOOKS = """n AS (SELECT doc_id, piece, no::BIGINT AS n FROM p WHERE no IS NOT NULL),
+g AS (SELECT *, sum(CASE WHEN n <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY piece) AS seg FROM n),
+h AS (SELECT *, max(n) OVER (PARTITION BY doc_id, seg ORDER BY piece ROWS UNBOUNDED PRECEDING) AS hi FROM g),
+q AS (SELECT *, lag(hi, 1, -1) OVER (PARTITION BY doc_id ORDER BY piece) AS p FROM h),
+bk AS (SELECT doc_id, piece, n, sum(CASE WHEN p >= 1 AND n <= 2 AND n < p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY piece) AS book FROM q)"""
+
+
+@query(s.with_(_ART, _BOOKS) + "SELECT doc_id, piece::INT AS piece, n, book::BIGINT AS book FROM bk")
+def book_counter(spark, sf):
+    p = split.pieces(_legal(spark, sf)).filter("no is not null").withColumn("n", F.col("no").cast("long"))
+    return split.books(p, number="n").select("doc_id", "piece", "n", "book")
+
+
+_GREEDY = (
+    "WITH RECURSIVE d AS (SELECT doc_id, " + _NORM.format("text") + " AS t FROM documents),\n"
+    """e AS (SELECT doc_id, t, length(t) AS n, list_filter(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN substr(t, i, 1) = chr(10) THEN i - 1 END), lambda x: x > 0) AS bs FROM d WHERE length(t) >= 50),
+r AS (SELECT doc_id, t, n, bs, 0::BIGINT AS start, 0 AS k FROM e
+  UNION ALL SELECT doc_id, t, n, bs, coalesce(list_max(list_filter(bs, lambda x: x > start AND x <= start + 2400)), start + 2400)::BIGINT, k + 1 FROM r WHERE n - start > 2400),
+x AS (SELECT doc_id, k, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY k), n) AS stop, t, n FROM r),
+y AS (SELECT *, substr(t, start + 1, stop - start) AS body FROM x),
+z AS (SELECT doc_id, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, n, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS part, count(*) OVER (PARTITION BY doc_id) AS n_parts
+  FROM y WHERE trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
+"""
+)
+
+
+@query(_GREEDY + "SELECT doc_id, part::INT AS part, n_parts::INT AS n_parts, md5(body) AS h FROM z WHERE n_parts = 1 OR length(body) >= 50")
+def split_long_greedy(spark, sf):
+    c = split.split_documents(table(spark, sf, "documents", "doc_id", "text"), GENERIC)
+    return c.select("doc_id", "part", "n_parts", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query(
+    s.with_(_ART, _BOOKS, "j AS (SELECT p.doc_id, p.piece, p.no, bk.book, trim(p.body, ' ' || chr(9) || chr(10)) AS body FROM p JOIN bk USING (doc_id, piece)),\nu AS (SELECT *, doc_id::VARCHAR || '#' || CASE WHEN book > 0 THEN 'b' || book::VARCHAR ELSE '' END || 'd' || no AS id FROM j WHERE length(body) >= 50 AND length(body) <= 2400)")
+    + "SELECT id AS chunk_id, 'Điều ' || no AS label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY piece) AS r FROM u) WHERE r = 1"
+)
+def chunk_identity_and_label(spark, sf):
+    c = split.split_documents(_legal(spark, sf)).filter("n_parts = 1 and article_no <> ''")
+    return c.select("chunk_id", split.label(F.col("article_no"), F.col("part"), F.col("n_parts")).alias("label"))
+
+
+# Metadata
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey::VARCHAR || '/' || year(o_orderdate)::VARCHAR || '/ND-CP'
+  WHEN 1 THEN o_orderkey::VARCHAR || '-QD' ELSE 'abc' END AS number FROM orders"""
+)
+def clean_number_trim_suffix(spark, sf):
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderdate")
+    k, y = F.col("o_orderkey").cast("string"), F.year("o_orderdate").cast("string")
+    pre = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("CHÍNH PHỦ\nSố: "), k, F.lit("/"), y, F.lit("/ND-CP ngày 1\n"))).otherwise(F.lit(""))
+    raw = F.when(F.col("o_orderkey") % 3 == 1, F.concat(k, F.lit("-QD-TONG"), F.lit("HOP" * 8))).when(F.col("o_orderkey") % 3 == 2, "abc-def").otherwise(F.lit(None))
+    return o.select("o_orderkey", enrich.clean_number(raw, pre).alias("number"))
+
+
+@query()
+def title_extraction(spark, sf):
+    d = src.docs(spark, sf)
+    pre = F.concat(F.lit("QUỐC HỘI\nSố: 59/2020/QH14\nHà Nội, ngày 17 tháng 6 năm 2020\nLUẬT\n"), F.upper("title"), F.lit("\nCăn cứ Hiến pháp;"))
+    title = enrich.extract_title(pre)
+    return d.select("id", title.alias("title"), enrich.full_title(F.lit("Luật"), title).alias("full_title"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 2014 WHEN o_orderkey % 4 = 3 THEN NULL ELSE year(o_orderdate) END::INT AS year FROM orders"
+)
+def infer_year(spark, sf):
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderdate")
+    m, k, y = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy")
+    number = F.when(m == 1, F.concat(k, F.lit("/"), y, F.lit("/QH14"))).otherwise(F.concat(k, F.lit("/QD-TTg")))
+    date = F.when(m == 2, F.concat(F.lit("17/06/"), y))
+    return o.select("o_orderkey", enrich.infer_year(number, date, F.when(m == 0, 2014).otherwise(0)).alias("year"))
+
+
+@query("SELECT lang, count(*) AS docs, count(*) FILTER (length(regexp_replace(text, '\\P{L}', '', 'g')) > 0 AND length(regexp_replace(text, '\\P{Lu}', '', 'g')) > 0.7 * length(regexp_replace(text, '\\P{L}', '', 'g'))) AS capital FROM documents GROUP BY lang")
+def enrichment_coverage(spark, sf):
+    d = table(spark, sf, "documents", "text", "lang")
+    return d.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(enrich.capital_share(F.col("text")) > 0.7).alias("capital"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name, c_nationkey FROM customer")
+def keyed_update(spark, sf):
+    c = table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey")
+    new = c.filter("c_custkey % 5 = 0").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"))
+    return enrich.keyed_update(c, new, "c_custkey", ["c_name"])
+
+
+# Browsing and serving
+
+
+@query("SELECT p_type AS value, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY p_type ORDER BY n DESC, value LIMIT 40")
+def facet_doc_types(spark, sf):
+    return serve.facet(table(spark, sf, "part", "p_type"), "p_type").withColumnRenamed("p_type", "value")
+
+
+@query(s.with_(s.DOCS) + "SELECT id, title, year FROM docs WHERE doc_type = 'en' ORDER BY year DESC NULLS LAST, id LIMIT 30")
+def browse_docs(spark, sf):
+    return serve.browse(src.docs(spark, sf), 30, "en").select("id", "title", "year")
+
+
+@query(
+    s.with_(s.DOCS, s.units("u", "docs", "id", _DOC_W), s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("u"), s.cascade("c", "u", 120), s.doc_rank("r", "c", 30))
+    + "SELECT qid, ref, pos::INT AS pos FROM (SELECT qid, ref, row_number() OVER (PARTITION BY qid ORDER BY pos) AS pos FROM r WHERE doc_type = 'en') WHERE pos <= 10"
+)
+def search_then_filter(spark, sf):
+    return retrieval.search_docs(src.docs(spark, sf), src.questions(spark, sf), 10, "en", None, GENERIC).select("qid", "ref", "pos")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id")
+def get_document(spark, sf):
+    c = table(spark, sf, "conversations")
+    chunks = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.lit("").alias("chunk_id"), F.lit("").alias("chapter"), F.lit("").alias("article_no"), F.col("role").alias("article_title"), "text")
+    ids = c.select(F.col("conv_id").alias("id")).distinct()
+    got = serve.document(ids, chunks, ids.filter("id % 3 = 0"))
+    return got.select(F.col("id").alias("conv_id"), F.array_join(F.transform("articles", lambda a: F.concat(a["article_title"], F.lit(": "), a["text"])), "\n").alias("body"), F.size("articles").cast("long").alias("n"))
+
+
+@query(
+    """WITH b AS (SELECT doc_id % 10 AS qid, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS pos, doc_id, text FROM documents),
+f AS (SELECT qid, pos, '[' || pos::VARCHAR || '] Thuật ngữ pháp lý: ' || doc_id::VARCHAR || chr(10) || regexp_replace(trim(text, ' ' || chr(9) || chr(10)), '\\n{2,}', chr(10), 'g') AS block FROM b),
+r AS (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY pos) AS used FROM f)
+SELECT qid, pos::INT AS pos, used::BIGINT AS used, md5(block) AS h FROM r WHERE used <= 24000 OR pos = 1"""
+)
+def context_packing(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text").withColumn("qid", F.col("doc_id") % 10)
+    d = d.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
+    no = F.lit(None).cast("string")
+    block = context.format_source(F.col("pos"), F.lit("term"), F.col("doc_id").cast("string"), no, F.col("text"), no, no, no, F.lit(0), no, no)
+    return context.pack(d.withColumn("block", block)).select("qid", "pos", "used", F.md5(F.col("block").cast("binary")).alias("h"))
+
+
+@query(
+    """SELECT conv_id, turn, role, substr(text, 1, 2000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
+WHERE r <= 4 AND role IN ('user', 'assistant') AND coalesce(text, '') <> ''"""
+)
+def history_last4(spark, sf):
+    return context.history(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query(
+    """SELECT kind, ref, title AS citation, substr(text, 1, 600) AS snippet, CASE kind WHEN 'chunk' THEN split_part(ref, '#', 1) WHEN 'doc' THEN ref ELSE '' END AS doc_id, round(score, 4) AS score FROM
+(SELECT CASE doc_id % 3 WHEN 0 THEN 'chunk' WHEN 1 THEN 'doc' ELSE 'qa' END AS kind, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR || '#d1' ELSE doc_id::VARCHAR END AS ref,
+  CASE WHEN doc_id % 3 = 0 THEN 'Điều 1 — ' || source ELSE source END AS title, text, 1.0::DOUBLE / (doc_id + 61) AS score FROM documents)"""
+)
+def serialize_hits(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text", "source")
+    m = F.col("doc_id") % 3
+    hits = d.select(
+        F.when(m == 0, "chunk").when(m == 1, "doc").otherwise("qa").alias("kind"),
+        F.when(m == 0, F.concat(F.col("doc_id").cast("string"), F.lit("#d1"))).otherwise(F.col("doc_id").cast("string")).alias("ref"),
+        F.when(m == 0, "Điều 1").otherwise("").alias("label"), F.col("source").alias("title"), "text", (1.0 / (F.col("doc_id") + 61)).alias("score"),
+    )
+    return serve.serialize(hits).select("kind", "ref", "citation", "snippet", "doc_id", "score")
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, '[' || (turn % 12)::VARCHAR || '] ' || text || ' [' || (conv_id % 9)::VARCHAR || '][0]' AS answer FROM conversations)
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(answer, '\\[(\\d{1,2})\\]', 1), lambda x: x::INT), lambda x: x >= 1 AND x <= 6))), ',') AS cited FROM a"""
+)
+def citation_check(spark, sf):
+    c = table(spark, sf, "conversations")
+    a = F.concat(F.lit("["), (F.col("turn") % 12).cast("string"), F.lit("] "), "text", F.lit(" ["), (F.col("conv_id") % 9).cast("string"), F.lit("][0]"))
+    return c.select("conv_id", "turn", F.array_join(context.citations(a, F.lit(6)), ",").alias("cited"))
+
+
+@query("SELECT conv_id, turn, 'data: ' || to_json({'type': role, 'text': text}) || chr(10) || chr(10) AS event FROM conversations")
+def sse_events(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", serve.sse(F.struct(F.col("role").alias("type"), "text")).alias("event"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def html_escape(spark, sf):
+    return table(spark, sf, "pages", "page_id", "html").select("page_id", tx.escape_html(F.col("html")).alias("escaped"))
+
+
+# Evaluation
+
+_METRICS = ", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END) AS r{k}" for k in evaluate.CUTS)
+_ROUNDED = ", ".join(f"round(r{k}, 6) AS r{k}" for k in evaluate.CUTS)
+
+
+def _gold_sql(hits: str) -> str:
+    return f"SELECT g.qid, min(pos) AS rank FROM gold g LEFT JOIN {hits} h ON h.qid = g.qid AND h.ref = g.ref GROUP BY g.qid"
+
+
+@query(
+    s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40), s.GOLD, f"k AS ({_gold_sql('c')})", f"m AS (SELECT count(*) AS n, {_METRICS}, avg(coalesce(1.0 / rank, 0)) AS mrr FROM k)")
+    + f"SELECT n, {_ROUNDED}, round(mrr, 6) AS mrr FROM m"
+)
+def recall_mrr(spark, sf):
+    hits = bm25.cascade(src.bodies(spark, sf), src.questions(spark, sf), 40, None, GENERIC)
+    m = evaluate.measure(evaluate.gold_ranks(src.gold(spark, sf), hits))
+    return m.select("n", *[_r(f"r{k}") for k in evaluate.CUTS], _r("mrr"))
+
+
+@query(
+    s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.AND_TERMS, s.OR_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40), s.score("o", "bodies", "bodies_p", "or_terms"), f"ot AS ({s.top('o', 40)})", s.GOLD,
+            f"k AS (SELECT 'cascade' AS config, * FROM ({_gold_sql('c')}) UNION ALL SELECT 'or', * FROM ({_gold_sql('ot')}))", f"m AS (SELECT config, count(*) AS n, {_METRICS}, avg(coalesce(1.0 / rank, 0)) AS mrr FROM k GROUP BY config)")
+    + f"SELECT config, n, {_ROUNDED}, round(mrr, 6) AS mrr FROM m"
+)
+def ablation_table(spark, sf):
+    u, q, g = src.bodies(spark, sf), src.questions(spark, sf), src.gold(spark, sf)
+    one = evaluate.gold_ranks(g, bm25.cascade(u, q, 40, None, GENERIC)).withColumn("config", F.lit("cascade"))
+    two = evaluate.gold_ranks(g, bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q)), 40)).withColumn("config", F.lit("or"))
+    m = evaluate.measure(one.unionByName(two), "config")
+    return m.select("config", "n", *[_r(f"r{k}") for k in evaluate.CUTS], _r("mrr"))
+
+
+# Sources and sinks
+
+
+@query(
+    s.with_(s.DOCS) + "SELECT id AS ref, md5(substr(coalesce(nullif(title, ''), '') || CASE WHEN title <> '' THEN ' — ' ELSE '' END || 'I' || chr(10) || text, 1, 4000)) AS h FROM docs WHERE tier <= 0 AND expired = 0"
+)
+def embed_source_text(spark, sf):
+    d = src.docs(spark, sf)
+    chunks = d.select(F.col("id").alias("chunk_id"), F.col("id").alias("doc_id"), F.lit("I").alias("chapter"), "text")
+    return vector.embedding_source(chunks, d.drop("text")).select("ref", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def upsert_last_wins(spark, sf):
+    return store.last_wins(table(spark, sf, "events", "user_id", "event_id", "value"), ["user_id"], "event_id")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def insert_ignore_first_wins(spark, sf):
+    return store.first_wins(table(spark, sf, "events", "user_id", "event_id", "value"), ["user_id"], "event_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 2000")
+def keyset_page(spark, sf):
+    return store.keyset_page(table(spark, sf, "orders", "o_orderkey", "o_totalprice"), "o_orderkey", 100, 2000)
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def hourly_events(spark, sf):
+    from tessera.streaming.ingest import windowed_counts
+
+    out = windowed_counts(table(spark, sf, "events"))
+    return out.select("event_type", F.col("w.start").alias("hour"), "n")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def incremental_ingest(spark, sf):
+    from tessera.streaming.ingest import ingest, read_once
+
+    base = scratch(spark, "ingest")
+    schema = table(spark, sf, "events").schema
+    ingest(spark, sf, schema, f"{base}/sink", f"{base}/checkpoint", pattern="events.parquet*")
+    return read_once(spark, f"{base}/sink", ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(coalesce(lang, ''), 'e') THEN 1 ELSE 0 END AS expired, lang || ', ' || source AS names FROM documents")
+def ingest_flags(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "lang", "source")
+    return d.select("doc_id", tx.expired_flag(F.col("lang"), "e").alias("expired"), tx.flatten_list(F.array("lang", "source")).alias("names"))
