@@ -101,13 +101,14 @@ def features(text: str | None, weights: dict[str, float]) -> list[float]:
 class Boosted:
     """Binary trees of fixed depth on quantile bins, fitted to the logistic loss with second-order gains."""
 
-    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, ridge: float = 1.0, least: float = 2.0):
-        self.trees, self.depth, self.rate, self.bins, self.ridge, self.least = trees, depth, rate, bins, ridge, least
+    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, ridge: float = 1.0):
+        self.trees, self.depth, self.rate, self.bins, self.ridge = trees, depth, rate, bins, ridge
         self.prior, self.fitted = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         code = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+        least = min(max(len(y) / 1000, 0.3), 2.0)  # the curvature that a leaf needs: few rows must do with less
         p = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.prior = math.log(p / (1 - p))
         f = np.full(len(y), self.prior)
@@ -129,7 +130,7 @@ class Boosted:
                     gt, ht = gl.sum(1, keepdims=True), hl.sum(1, keepdims=True)
                     gl, hl = gl.cumsum(1)[:, : len(e)], hl.cumsum(1)[:, : len(e)]
                     gain = gl**2 / (hl + self.ridge) + (gt - gl) ** 2 / (ht - hl + self.ridge) - gt**2 / (ht + self.ridge)
-                    gain = np.where((hl >= self.least) & (ht - hl >= self.least), gain, 0)
+                    gain = np.where((hl >= least) & (ht - hl >= least), gain, 0)
                     top = gain.argmax(1)
                     better = gain[np.arange(k), top] > best
                     best = np.where(better, gain[np.arange(k), top], best)
