@@ -664,7 +664,7 @@ def hourly_events(spark, sf):
     from tessera.streaming.ingest import windowed_counts
 
     out = windowed_counts(table(spark, sf, "events"))
-    return out.select("event_type", F.col("w.start").alias("hour"), "n")
+    return out.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

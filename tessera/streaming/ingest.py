@@ -36,4 +36,5 @@ def unfinished(files: DataFrame, finished: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per window and type; works on streams, late rows beyond the watermark dropped, and on tables."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
