@@ -28,8 +28,10 @@ _FROM, _TO = _folding()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics, as the index has it (the barred d stays)."""
-    return F.translate(F.lower(text), _FROM, _TO)
+    """Lower case without diacritics, as the index has it (the barred d stays). Only texts with
+    other than ASCII characters pay for the translation."""
+    low = F.lower(text)
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), F.translate(low, _FROM, _TO)).otherwise(low)
 
 
 def strip_marks(text: Column) -> Column:

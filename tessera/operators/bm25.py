@@ -72,6 +72,12 @@ def phrases(queries: DataFrame, df: DataFrame, profile: Profile = LEGAL) -> Data
     return p.withColumn("r", r).filter(F.col("r") <= profile.phrases).select("qid", "i", "a", "b", "min_df", "r")
 
 
+def asked_frequencies(posts: DataFrame, queries: DataFrame, profile: Profile = LEGAL) -> DataFrame:
+    """Document frequencies of the tokens that the queries hold, and of no others."""
+    asked = or_terms(queries, profile).select("tok").distinct()
+    return frequencies(posts.join(asked, "tok", "left_semi"))
+
+
 def phrase_terms(queries: DataFrame, df: DataFrame, profile: Profile = LEGAL) -> DataFrame:
     """Phrases as terms over bigrams; a phrase that the query repeats counts each time."""
     p = phrases(queries, df, profile)
@@ -84,7 +90,7 @@ def cascade(u: DataFrame, queries: DataFrame, limit: int, weights: Mapping[str,
     posts = postings(u)
     every = and_terms(queries, profile)
     full = score(u, posts, every, weights).join(every.select("qid", "n").distinct(), "qid").filter("hits = n")
-    some = score(u, text_bigrams(u), phrase_terms(queries, frequencies(posts) if df is None else df, profile), weights)
+    some = score(u, text_bigrams(u), phrase_terms(queries, asked_frequencies(posts, queries, profile) if df is None else df, profile), weights)
     both = full.select("qid", "ref", F.lit(1).alias("stage"), "score").unionByName(some.select("qid", "ref", F.lit(2).alias("stage"), "score"))
     first = both.groupBy("qid", "ref").agg(F.min_by(F.struct("stage", "score"), "stage").alias("s")).select("qid", "ref", "s.*")
     return rank(first, limit, F.col("stage"))

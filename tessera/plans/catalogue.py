@@ -123,7 +123,7 @@ def bm25_terms_topk(spark, sf):
 @query(s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.whole("bodies"), s.score("r", "bodies", "bodies_b", "bodies_pt")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
 def bm25_phrase_topk(spark, sf):
     u, q = src.bodies(spark, sf), src.questions(spark, sf)
-    t = bm25.phrase_terms(q, index.frequencies(index.postings(u)), GENERIC)
+    t = bm25.phrase_terms(q, bm25.asked_frequencies(index.postings(u), q, GENERIC), GENERIC)
     return bm25.rank(bm25.score(u, index.text_bigrams(u), t), 10).select("qid", "ref", "pos", _r("score"))
 
 
@@ -137,7 +137,8 @@ def bm25_cascade(spark, sf):
 
 @query(s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.index("bodies"), s.phrases("bodies")) + "SELECT qid, i, a, b, min_df, r::INT AS r FROM bodies_ph")
 def rare_phrase_selection(spark, sf):
-    return bm25.phrases(src.questions(spark, sf), index.frequencies(index.postings(src.bodies(spark, sf))), GENERIC)
+    q = src.questions(spark, sf)
+    return bm25.phrases(q, bm25.asked_frequencies(index.postings(src.bodies(spark, sf)), q, GENERIC), GENERIC)
 
 
 @query(s.with_(s.QUERIES, s.FILTERED) + "SELECT qid, array_to_string(t, ' ') AS toks, len(t)::INT AS n FROM filtered")
