@@ -27,8 +27,9 @@ def score(u: DataFrame, posts: DataFrame, terms: DataFrame, weights: Mapping[str
     for name, value in (weights or {}).items():
         w = F.when(F.col("field") == name, F.lit(float(value))).otherwise(w)
     wanted = terms.select("tok").distinct()
+    posts = posts.filter("ref is not null and tok is not null")
     tf = posts.join(wanted, "tok", "left_semi").groupBy("ref", "tok").agg(F.sum(w).alias("f"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
+    df = tf.groupBy("tok").agg(F.count("f").alias("df"))
     length = lengths(u)
     # One row of statistics beside every posting: a broadcast of one row.
     s = tf.join(df, "tok").join(length, "ref").crossJoin(F.broadcast(stats(length)))
