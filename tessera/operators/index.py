@@ -78,3 +78,24 @@ def product_codes(vectors: DataFrame, parts: int, codes: int = 256, key: str = "
         out = model.transform(out.withColumn("features", array_to_vector(part))).drop("features")
         books.append(model.clusterCenters())
     return out.withColumn("code", F.array(*[f"__c{p}" for p in range(parts)])).drop(*[f"__c{p}" for p in range(parts)]), books
+
+
+#: Below so many vectors a search of all of them needs no cells.
+LEAST_FOR_CELLS = 10_000
+
+
+def ann(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: int = LEAST_FOR_CELLS):
+    """(vectors with ``cell``, centroids) with the square root of the rows as cells, or None below ``least`` rows."""
+    n = vectors.count()
+    return None if n < least else vector_cells(vectors, cell_count(n), key, vector)
+
+
+def build(u: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Writes the index of ``u`` under ``path`` and reads it back: postings (sorted by token within
+    files, so that a token's rows are skipped to), frequencies, lengths. A rebuild replaces it."""
+    spark = u.sparkSession
+    relations = {"postings": postings(u).repartition("tok").sortWithinPartitions("tok", "ref", "pos"), "lengths": lengths(u)}
+    for name, df in relations.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    frequencies(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies", "lengths")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import squeeze
+
 
 def check_request(question: str, top_k: int = 8, q: str = "", limit: int = 30) -> None:
     """Raises ValueError outside the accepted ranges."""
@@ -58,3 +60,9 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def preview(hits: DataFrame, chars: int = 200) -> DataFrame:
+    """Rows for a console: place, citation, the beginning of the text on one line."""
+    rows = serialize(hits)
+    return rows.select("pos", "citation", F.substring(squeeze(F.col("text")), 1, chars).alias("preview"))

@@ -372,6 +372,21 @@ def rerank_lexical(spark, sf):
     return hits.select("qid", "kind", "ref", "pos", _r("rerank_score"))
 
 
+@query()
+def answer_prompts(spark, sf):
+    q = src.questions(spark, sf)
+    hits = retrieval.retrieve(_all_lists(spark, sf), _payload(spark, sf), q, use_rerank=False)
+    return retrieval.answer(hits, q).select("qid", "n_sources", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+@query(
+    s.with_(s.BODIES, s.index("bodies"))
+    + "SELECT 'postings' AS name, count(*) AS n FROM bodies_p UNION ALL SELECT 'frequencies', count(*) FROM bodies_df UNION ALL SELECT 'lengths', count(*) FROM bodies_len"
+)
+def index_relations(spark, sf):
+    return serve.counts(index.build(src.bodies(spark, sf), scratch(spark, "index")))
+
+
 # Structure of texts
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{00a0}}]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"

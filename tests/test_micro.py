@@ -453,5 +453,27 @@ def test_plain_greedy_covers(parts):
     assert "".join(greedy(text, [i for i, c in enumerate(text) if c == "\n" and i], 4)).replace("\n", "") == text.replace("\n", "")
 
 
+def test_index_and_cells_are_built(spark):
+    u = index.units(spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS)], "ref int, question string, answer string"), "ref", ["question", "answer"])
+    path = scratch(spark, "fts")
+    for _ in range(2):
+        built = index.build(u, path)
+        assert built["postings"].count() == index.postings(u).count() and built["lengths"].count() == 5
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert index.ann(v) is None
+    celled, centres = index.ann(v, least=100)
+    assert celled.count() == 500 and len(centres) == 64
+
+
+def test_preview_and_answers(spark):
+    from tessera.plans import retrieval
+
+    hits = spark.createDataFrame([(1, 1, "term", "9", "T", "a  b\n c", "", 0.5, None, 0)], "qid int, pos int, kind string, ref string, title string, text string, label string, score double, doc_type string, expired int")
+    assert [tuple(r) for r in serve.preview(hits).collect()] == [(1, "T", "a b c")]
+    q = spark.createDataFrame([(1, "x?"), (2, "y?")], "qid int, text string")
+    got = {r["qid"]: (r["n_sources"], r["prompt"]) for r in retrieval.answer(hits, q).collect()}
+    assert got[1][0] == 1 and "[1] Thuật ngữ pháp lý: T" in got[1][1] and got[2][0] == 0 and got[2][1].startswith("Câu hỏi: y?")
+
+
 def test_profiles():
     assert len(LEGAL.stop) == 52 and GENERIC.article is None and LEGAL.rrf_k == 60
