@@ -47,7 +47,7 @@ RULES: tuple[Rule, ...] = (
     Rule("word_length", lambda t: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
     Rule("symbols", lambda t: 10 * F.col("n_symbols") > F.col("n_words")),
     Rule("repeat_words", lambda t: 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-    Rule("dup_lines", lambda t: 100 * F.col("n_dup_lines") > 30 * F.size(_lines(t))),
+    Rule("dup_lines", lambda t: (F.col("n_dup_lines") > 3) & (100 * F.col("n_dup_lines") > 30 * F.size(_lines(t)))),
     Rule("shouting", lambda t: 100 * F.regexp_count(t, F.lit(r"\p{Lu}")) > 50 * F.regexp_count(t, F.lit(r"\p{L}"))),
     Rule("few_letters", lambda t: 2 * F.regexp_count(t, F.lit(r"\p{L}")) < F.col("word_chars")),
     Rule("bullets", lambda t: 100 * F.regexp_count(t, F.lit(r"(?m)^[\x20\x09]*[-*•]\x20")) > 90 * F.size(_lines(t))),
@@ -171,7 +171,7 @@ m AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
-            OR 100 * n_repeat_words > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * lu > 50 * lt
+            OR 100 * n_repeat_words > 30 * n_words OR (n_dup_lines > 3 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * lu > 50 * lt
             OR 2 * lt < word_chars OR 100 * bl > 90 * n_lines OR 100 * el > 30 * n_lines) AS kept
 FROM b
 """
