@@ -120,7 +120,8 @@ def mix(
     rows = rows.withColumn("taken", takes.cast("long"))
     at = F.when(F.col("taken") > 0, F.round(position(F.col("before") / F.col("target"), F.col("rank"), schedules), 9))
     out = rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken", at.alias("position"))
-    return out.repartitionByRange("position").sortWithinPartitions("position", key)
+    # The key splits the rows that are not taken, which all have no position.
+    return out.repartitionByRange("position", key).sortWithinPartitions("position", key)
 
 
 def whole_takes(
