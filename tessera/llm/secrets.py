@@ -118,7 +118,8 @@ def commit(docs: DataFrame, ledger: str, text: str = "text", rules: str = RULE_V
     t = F.coalesce(F.col(text), F.lit(""))
     blobs = docs.select(F.sha2(t, 256).alias("blob"), t.alias("text"))
     seen = _ledger(spark, ledger, "scanned", PAIRS).filter(F.col("rules") == rules).select("blob")
-    blobs = blobs.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    # Copies are one row per map task before anything is dealt by blob.
+    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
     found = scan(blobs, kinds).withColumn("rules", F.lit(rules))
     found.select(*[c.split()[0] for c in FINDINGS.split(", ")]).write.mode("append").parquet(f"{ledger}/findings")
     fresh = docs.select(F.sha2(t, 256).alias("blob")).distinct().join(seen, "blob", "left_anti")
