@@ -25,15 +25,18 @@ results; an empty table gives an empty result; other columns do not take part.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut, scratch
+from tessera.runtime import scratch
 
 LENGTH, GRAM = 50, 20
 LEFT, RIGHT = 15, 35  # a match that is cut on the right before RIGHT bytes reaches LEFT bytes to the left
@@ -124,11 +127,12 @@ class Segment:
         """The polynomial hash of the bytes [at, at + size)."""
         return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, suffix number, first hash, second hash) of every window of the chosen suffixes."""
-        many = self.high[chosen] - self.low[chosen] + 1
+    def windows(self, chosen: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, suffix number, first hash, second hash) of the windows that start from ``low`` to ``high`` at the chosen suffixes."""
+        on = high >= low
+        chosen, low, many = chosen[on], low[on], (high - low + 1)[on]
         who = np.repeat(chosen, many)
-        begin = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + self.low[who]
+        begin = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
         first = _mix(self.plain(begin, LENGTH))
         second = _mix(self.gram[who] + (self.at[who] - begin).astype(np.uint64))
         return begin, who, first.view(np.int64), second.view(np.int64)
@@ -173,6 +177,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 
 #: Kinds of rows that the merge-scan writes: suffixes for the level, removed blocks, opened blocks.
+#: An opened block's hash has in its last two bits the sides whose contexts agree with another
+#: block's (1 left, 2 right); a match can only reach beyond a context on a side that agrees.
 LEVEL, REMOVED, OPENED = 0, 1, 2
 
 
@@ -193,16 +199,17 @@ def _scan(keep: bool, held_most: int):
                 return
             if keep:
                 yield rows(LEVEL, key[~old], block[~old], doc[~old])
-            on = np.full(len(key), every)
+            side = np.full(len(key), 3 if every else 0)
             if not every:
-                for part in (key >> 12, (key >> 24 << 12) | (key & 0xFFF)):
+                for bit, part in ((1, key >> 12), (2, (key >> 24 << 12) | (key & 0xFFF))):
                     order = np.argsort(part, kind="stable")
                     head = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
                     many = np.diff(np.r_[head, len(part)])
                     fresh = np.add.reduceat((~old[order]).astype(np.int64), head)
-                    on[order] |= np.repeat((many > 1) & (fresh > 0), many)
+                    side[order] |= bit * np.repeat((many > 1) & (fresh > 0), many)
+            on = side > 0
             if on.any():
-                yield rows(OPENED, key[on], block[on], doc[on])
+                yield rows(OPENED, key[on], (block[on] & ~3) | side[on], doc[on])
 
         for b in batches:
             if not b.num_rows:
@@ -256,14 +263,17 @@ class Index:
         for level in self.levels.values():
             run = run.unionByName(self._level(level).withColumn("old", F.lit(True)))
         part = f"{self.path}/scans/scan={len(self.parts)}"
-        self._sorted(run).mapInArrow(_scan(keep, self.held_most), "kind int, key long, block long, doc long").write.partitionBy("kind").parquet(part)
+        scanned = self._sorted(run).mapInArrow(_scan(keep, self.held_most), "kind int, key long, block long, doc long")
+        with tidy(self.spark):
+            scanned.write.partitionBy("kind").parquet(part)
         self.parts.append(part)
         release(self.spark)
         if keep:
             size, level = 1, f"{part}/kind={LEVEL}"
             while size in self.levels:
                 other, merged = self.levels.pop(size), f"{self.path}/level-{len(self.parts)}-{2 * size}"
-                self._sorted(self._level(other).unionByName(self._level(level))).write.parquet(merged)
+                with tidy(self.spark):
+                    self._sorted(self._level(other).unionByName(self._level(level))).write.parquet(merged)
                 for gone in (other, level):
                     remove(self.spark, gone)
                 release(self.spark)
@@ -286,52 +296,84 @@ def remove(spark, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+@contextlib.contextmanager
+def tidy(spark) -> Iterator[None]:
+    """Within it, the shuffle files of a finished query go at its end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(spark) -> None:
     """Lets the context cleaner drop the shuffle files of finished jobs now, not at the next collection."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def _member(of: np.ndarray, rows: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Whether each (row, value) is in that row's list."""
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of list cells; null as empty."""
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.r_[0, np.cumsum(size)], column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _member(of: np.ndarray, rows: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether each (row, value) is in that row's list; rows rise."""
+    out = np.zeros(len(of), dtype=bool)
+    if not len(of):
+        return out
+    offsets, values = lists
+    first, last = int(rows[0]), int(rows[-1]) + 1
+    flat = values[offsets[first] : offsets[last]]
+    if not len(flat):
+        return out
     salt = np.uint64(0x9FB21C651E98DF25)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    owner = np.repeat(np.arange(first, last), np.diff(offsets[first : last + 1]))
+    wanted = _mix(flat.view(np.uint64) ^ (owner.astype(np.uint64) * salt))
     mine = _mix(of.view(np.uint64) ^ (rows.astype(np.uint64) * salt))
-    return np.isin(mine, _mix(flat.view(np.uint64) ^ (owner.astype(np.uint64) * salt)))
+    # A table of leading bits passes few values on to the exact comparison.
+    table = np.zeros(1 << 20, dtype=bool)
+    table[wanted >> np.uint64(44)] = True
+    some = np.flatnonzero(table[mine >> np.uint64(44)])
+    out[some] = np.isin(mine[some], wanted)
+    return out
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, opened blocks) to (a, b, doc): the windows of opened blocks."""
     for b in batches:
-        ids, lists = b.column(0).to_numpy(zero_copy_only=False), _whole(b.column(2))
+        ids, lists = b.column(0).to_numpy(zero_copy_only=False), _lists(b.column(2))
         for seg, rows, _, _ in segments(b.column(1)):
             row = rows[seg.piece]
-            _, who, first, second = seg.windows(np.flatnonzero(_member(seg.block, row, lists)))
+            one, two, both = (_member((seg.block & ~3) | side, row, lists) for side in (1, 2, 3))
+            left, right = one | both, two | both
+            parts = [(np.flatnonzero(left & right), 0, 0), (np.flatnonzero(left & ~right), 0, -LEFT - 1), (np.flatnonzero(right & ~left), 1 - LEFT, 0)]
+            low = np.concatenate([np.maximum(seg.low[k], seg.at[k] + f) if f else seg.low[k] for k, f, _ in parts])
+            high = np.concatenate([np.minimum(seg.high[k], seg.at[k] + t) if t else seg.high[k] for k, _, t in parts])
+            _, who, first, second = seg.windows(np.concatenate([k for k, _, _ in parts]), low, high)
             yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(ids[row[who]])], names=["a", "b", "doc"])
 
 
-def _whole(lists: pa.Array) -> pa.Array:
-    """List cells without an offset into a larger array; null as empty."""
-    return pa.array(lists.fill_null([]).to_pylist(), pa.list_(pa.int64())) if lists.offset or lists.null_count else lists
-
-
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
 def _cut(with_text: bool):
     """(id, text, removed blocks, removed windows) to the digest row, or to (key, text kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blocks, windows = _whole(b.column(2)), _whole(b.column(3))
+            blocks, windows = _lists(b.column(2)), _lists(b.column(3))
+            sizes = np.diff(windows[0])
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             edges: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for seg, rows, start, first in segments(b.column(1)):
                 row = rows[seg.piece]
                 whole = _member(seg.block, row, blocks)
                 lo, hi, who = seg.low[whole], seg.high[whole], seg.piece[whole]
-                if len(windows.flatten()):
-                    begin, of, a, _ = seg.windows(np.flatnonzero(~whole))
+                # Only texts with single windows to remove are hashed window by window.
+                rest = np.flatnonzero(~whole & (sizes[row] > 0))
+                if len(rest):
+                    begin, of, a, _ = seg.windows(rest, seg.low[rest], seg.high[rest])
                     single = _member(a, row[of], windows)
                     lo, hi, who = np.r_[lo, begin[single]], np.r_[hi, begin[single]], np.r_[who, seg.piece[of[single]]]
                 order = np.argsort(who, kind="stable")
@@ -380,14 +422,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bat
         index.append(batch, keep=i + 2 < len(bounds))
     index.drop_levels()
     release(spark)
-    # One shuffle of the texts serves both joins (the plan reuses the exchange).
     texts = rows.repartition("doc")
     opened = index.found(OPENED).groupBy("doc").agg(F.collect_set("block").alias("blocks"))
     singles = texts.join(opened, "doc").select("doc", "text", "blocks").mapInArrow(_windows, "a long, b long, doc long")
     low = F.min("doc").over(Window.partitionBy("a", "b"))
     singles = singles.withColumn("low", low).filter("doc > low").groupBy("doc").agg(F.collect_set("a").alias("windows"))
     removed = index.found(REMOVED).groupBy("doc").agg(F.collect_set("block").alias("blocks"))
-    marks = cut(removed.join(singles, "doc", "full_outer"))
+    at = scratch(spark, "repeat-marks")
+    with tidy(spark):
+        removed.join(singles, "doc", "full_outer").write.parquet(at)
+    release(spark)
+    marks = spark.read.schema("doc long, blocks array<long>, windows array<long>").parquet(at)
     out = texts.join(marks, "doc", "left").select("id", "text", "blocks", "windows")
     out = out.mapInArrow(_cut(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept string")
     return out.withColumnRenamed("id", key)
