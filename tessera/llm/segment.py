@@ -40,7 +40,7 @@ MARK = "▁"
 HIDDEN = "﷐"
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 #: Chunks drawn at once, and edges that a worker keeps.
-SLICE, EDGES = 200_000, 4_000_000
+SLICE, EDGES = 200_000, 2_000_000
 #: The weight of going from a character to byte pieces, where it has no piece of its own.
 BYTES_WEIGHT = 1e-5
 
@@ -132,8 +132,8 @@ class Lattices:
     def clear(self) -> None:
         self.ends: dict[str, int] = {}
         self.nodes = 0
-        self.keys, self.before, self.code = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.first, self.low = np.empty(0, bool), np.empty(0, np.int64)
+        self.keys, self.before, self.code = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.first, self.low = np.empty(0, bool), np.empty(0, np.int32)
 
     def add(self, chunks: Sequence[str]) -> None:
         """Adds the lattices of new chunks, all at once."""
@@ -178,10 +178,10 @@ class Lattices:
         first = np.zeros(len(chars), dtype=bool)
         first[base] = True
         many = np.bincount(stop, minlength=len(chars))
-        self.low = np.concatenate([self.low, len(self.keys) + np.cumsum(many) - many])
+        self.low = np.concatenate([self.low, (len(self.keys) + np.cumsum(many) - many).astype(np.int32)])
         self.keys = np.concatenate([self.keys, self.nodes + stop + run])
-        self.before = np.concatenate([self.before, self.nodes + start])
-        self.code = np.concatenate([self.code, code])
+        self.before = np.concatenate([self.before, (self.nodes + start).astype(np.int32)])
+        self.code = np.concatenate([self.code, code.astype(np.int32)])
         self.first = np.concatenate([self.first, first])
         self.ends.update(zip(chunks, (self.nodes + last).tolist(), strict=True))
         self.nodes += len(chars)
