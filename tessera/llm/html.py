@@ -5,10 +5,11 @@ the page into lines; every line knows its text, the tags in it, how much of it i
 and its containers. Boilerplate by markup (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) never becomes a line. Each line's text-to-tag
 ratio is smoothed with a Gaussian over the neighbouring lines; lines at or above a threshold
-of the smoothed ratios' standard deviation are clustered as content, and the container that
-holds the most of this content is the content region: the page's own article or main
-element if it has one, else the deepest element with most of the content characters. All
-lines of the region stay, however short, except those that are mostly links below the threshold.
+of the smoothed ratios' standard deviation are clustered as content. The content regions are the
+page's own article and main elements with clustered lines, each cut to the innermost one that holds
+all of its clusters; on a page without them the region is the lowest container that holds all
+clusters. Lines that are mostly links do not widen a region. All lines of the regions stay, however
+short, lists of links included; what markup does not rule out there is not dropped.
 
 Cases: null and empty pages give an empty text; pages without any line at the threshold
 keep all lines that markup does not rule out; unclosed, crossed and stray tags are repaired
@@ -46,7 +47,6 @@ MARKS = frozenset(
 )
 OWN = frozenset("article entry post story title has with no without".split())
 SIGMA, SPAN = 1.0, 2
-MOST = 0.6
 
 
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
@@ -151,6 +151,15 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA, span: int = SPAN) -> np.ndar
     return full(ratio) / full(np.ones(len(ratio)))
 
 
+def _common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The containers that all lines with these paths are in, outermost first."""
+    a, b = min(paths), max(paths)
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return a[:n]
+
+
 def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -165,22 +174,18 @@ def extract(html: str | None) -> str:
     ratio = np.array([plain / max(1, tags) for _, plain, tags, _ in lines], dtype=float)
     even = smooth(ratio)
     content = even >= min(float(even.std()), float(even.max()))
-    weight: dict[int, int] = {}
-    for (_, plain, _, path), on in zip(lines, content, strict=True):
-        if on:
-            for c in path:
-                weight[c] = weight.get(c, 0) + plain
-    own = [c for c in weight if p.kinds[c] == "own"]
-    if own:
-        # The heaviest, and of nested ones of like weight the innermost article.
-        region = max(own, key=lambda c: (weight[c], c))
+    # What a region has to hold: the lines of the clusters, without those that are mostly links.
+    core = [path for (t, plain, _, path), on in zip(lines, content, strict=True) if on and 2 * plain >= len(t.replace(" ", ""))]
+    held: dict[int, list[tuple[int, ...]]] = {}
+    for path in core:
+        own = [c for c in path if p.kinds[c] == "own"]
+        if own:
+            held.setdefault(own[0], []).append(path)
+    if held:
+        regions = {max(c for c in _common(paths) if p.kinds[c] == "own") for paths in held.values()}
     else:
-        region, total = 0, weight.get(0, 0)
-        inner = {c: path[:i] for _, _, _, path in lines for i, c in enumerate(path)}
-        for c in sorted(weight, key=lambda c: len(inner[c])):
-            if region in (*inner[c], 0) and (region == 0 or region in inner[c]) and total and weight[c] >= MOST * total:
-                region = c
-    kept = [t for (t, plain, _, path), on in zip(lines, content, strict=True) if region in path and (on or 2 * plain >= len(t.replace(" ", "")))]
+        regions = {_common(core)[-1] if core else 0}
+    kept = [t for t, _, _, path in lines if not regions.isdisjoint(path)]
     return " ".join(kept)
 
 

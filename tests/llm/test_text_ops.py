@@ -172,6 +172,22 @@ def test_extract(page, want):
     assert html.extract(page) == want
 
 
+LONG = "A long paragraph of the article, with more words in it than all the other lines of this page taken together have, and then some."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><div><a>Home</a></div><div><h1>T</h1><p>First.</p><section><p>{LONG}</p></section><p>Last.</p></div></body>", f"T First. {LONG} Last."),
+        (f"<body><article><p>{LONG}</p></article><article><p>A second article of fewer words.</p></article></body>", f"{LONG} A second article of fewer words."),
+        (f"<article><p>{LONG}</p><p>x</p><p>y</p><p>z</p><ul><li><a>Reference one</a><li><a>Reference two</a></ul></article>", f"{LONG} x y z Reference one Reference two"),
+        (f"<body><main><article><p>{LONG}</p></article><div><a>More</a></div></main></body>", LONG),
+    ],
+)
+def test_whole_region_stays(page, want):
+    assert html.extract(page) == want
+
+
 def test_main_text_frame(spark):
     pages = spark.createDataFrame([(i % 4, f"u{i}", p, i) for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = html.main_text(pages, "page_id", "html", "url").collect()
