@@ -1,6 +1,6 @@
 r"""Chat formatting: records of any known layout become canonical turns, then one training text.
 
-A record is a JSON object. Its schema fingerprint is the hash of its nested field paths
+A record is a JSON object, or columns whose type has its field paths. A JSON record's schema fingerprint is the hash of its nested field paths
 (``schema_of_variant`` with the types struck out and the fields in name order, as the engine
 gives them). The fingerprint selects a declarative mapping: where the list of turns is and
 which field is role and text (``messages``), or which fields make which turns in which order
@@ -16,6 +16,8 @@ Cases: null text or role is an empty string; turns stand by turn number, nulls f
 role and text, repeated rows all stay; a null record key is one conversation; an empty table
 gives an empty result; a record of unknown layout, or that is not a JSON object, has a null
 ``turns`` and so a null text (``unknown`` says which); other columns of the input stay.
+A JSON record of more than ``LONG`` characters is fingerprinted with its long strings emptied; one that
+is still longer than that and does not parse stops the query.
 A conversation is one training example and is built in one row: its length is bounded by
 Spark's 2 GB row, however many turns it has.
 """
@@ -27,11 +29,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURNS = "array<struct<role:string,text:string>>"
 #: Escapes inside a text, in the order in which they are applied.
 ESCAPES = (("\\", "\\b"), ("</turn>", "\\t"), ("###", "\\h"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
+#: Characters of a record beyond which its long strings are left out of the fingerprint; no limit on a string's length.
+LONG, UNLIMITED = 10_000_000, {"maxStringLen": "2147483647"}
 HEAD, MIDDLE, END = "### ", ": ", "</turn>\n"
 
 
@@ -60,15 +65,32 @@ LAYOUTS: tuple[Layout, ...] = (
 
 def shape(record: Column) -> Column:
     """A record's nested field names without types, as the engine describes them."""
-    described = F.schema_of_variant(F.try_parse_json(record))
+    long = F.char_length(record) > LONG
+    slim = F.when(long, _slim(record)).otherwise(record)
+    described = F.schema_of_variant(F.try_parse_json(slim))
+    lost = long & described.isNull() & (F.char_length(slim) > LONG) & F.ltrim(record).startswith("{")
+    described = F.when(lost, F.raise_error(F.lit("a record is too long to be parsed")).cast("string")).otherwise(described)
     # Struck out: the types of leaves; what is left is names, brackets and commas.
     return F.regexp_replace(described, r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]+\))?", "")
 
 
+def _slim(record: Column) -> Column:
+    """A record with its long strings emptied: the same field paths within the parser's limits."""
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("_'"))
+    return F.regexp_replace(plain, '"(?:([^"]{0,200})|[^"]*+)"', '"$1"')
+
+
 def fingerprint(record: Column) -> Column:
     return F.xxhash64(shape(record))
 
 
+def _paths(kind: T.DataType, at: str = "") -> tuple[str, ...]:
+    """The field paths of records that are columns of this type."""
+    if isinstance(kind, T.StructType):
+        return tuple(p for f in kind.fields for p in _paths(f.dataType, f"{at}.{f.name}" if at else f.name))
+    return _paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else (at,)
+
+
 def _described(paths: Sequence[str]) -> str:
     """What ``shape`` gives for a record with these paths (fields in name order)."""
     tree: dict = {}
@@ -86,23 +108,37 @@ def _described(paths: Sequence[str]) -> str:
 
 
 def canonical(records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """Adds ``layout`` (name, null: unknown) and ``turns`` by the record's fingerprint."""
+    """Adds ``layout`` (name, null: unknown) and ``turns`` by the record's fingerprint. A record is a
+    JSON string, or a struct with one field per layout, of which the one that is not null holds the record."""
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    r = F.col(record)
+    r, kind = F.col(record), records.schema[record].dataType
+    if isinstance(kind, T.StructType):
+        known = {_described(la.paths): la for la in layouts}
+        for f in kind.fields:
+            if la := known.get(_described(_paths(f.dataType))):
+                hit = r[f.name].isNotNull()
+                name, turns = F.when(hit, F.lit(la.name)).otherwise(name), F.when(hit, _turns(la, r[f.name])).otherwise(turns)
+        return records.withColumns({"layout": name, "turns": turns})
     for la in reversed(layouts):
         hit = F.col("__fp") == F.xxhash64(F.lit(_described(la.paths)))
         name = F.when(hit, F.lit(la.name)).otherwise(name)
         if la.messages:
             path, role, text = la.messages
-            got = F.from_json(r, f"`{path}` array<struct<`{role}`:string,`{text}`:string>>")[path]
-            made = F.transform(got, _turn_of(role, text, la.roles))
+            got = F.from_json(r, f"`{path}` array<struct<`{role}`:string,`{text}`:string>>", UNLIMITED)
         else:
-            got = F.from_json(r, ", ".join(f"`{f}` string" for _, f in la.fields))
-            made = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(got[f], F.lit("")).alias("text")) for role, f in la.fields])
-        turns = F.when(hit, made).otherwise(turns)
+            got = F.from_json(r, ", ".join(f"`{f}` string" for _, f in la.fields), UNLIMITED)
+        turns = F.when(hit, _turns(la, got)).otherwise(turns)
     return records.withColumn("__fp", fingerprint(r)).withColumns({"layout": name, "turns": turns}).drop("__fp")
 
 
+def _turns(la: Layout, got: Column) -> Column:
+    """The canonical turns of a record of a layout."""
+    if la.messages:
+        path, role, text = la.messages
+        return F.transform(got[path], _turn_of(role, text, la.roles))
+    return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(got[f], F.lit("")).alias("text")) for role, f in la.fields])
+
+
 def _turn_of(role: str, text: str, names: Sequence[tuple[str, str]]):
     """The canonical turn of one element of a message list."""
     none = F.lit("")
@@ -164,18 +200,20 @@ def masked(formatted: Column, mask: Column) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """conv_id, record from rows (conv_id, turn, role, text), each in the layout that its turns
+    """conv_id, record (a struct, see ``canonical``) from rows (conv_id, turn, role, text), each in the layout that its turns
     allow: a user and an assistant turn make a pair; a system, a user and an assistant turn
     an instruction; all else a message list."""
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text")), _turn_order).alias("t"))
     roles = F.transform("t", lambda x: x["role"])
     text = lambda i: F.get("t", F.lit(i))["text"]
-    messages = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
-    pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion")))
-    told = F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))
+    messages = F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+    pair = F.struct(text(0).alias("prompt"), text(1).alias("completion"))
+    told = F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))
     is_ = lambda *r: roles == F.array(*[F.lit(x) for x in r])
-    return got.select("conv_id", F.when(is_("user", "assistant"), pair).when(is_("system", "user", "assistant"), told).otherwise(messages).alias("record"))
+    is_pair, is_told = is_("user", "assistant"), is_("system", "user", "assistant")
+    each = F.when(is_pair, pair).alias("pair"), F.when(is_told, told).alias("instruction"), F.when(~is_pair & ~is_told, messages).alias("messages")
+    return got.select("conv_id", F.struct(*each).alias("record"))
 
 
 def _turn_order(a: Column, b: Column) -> Column:

@@ -66,6 +66,16 @@ def test_chat_rows_edges(spark):
     assert chat.canonical(chat.records(df.limit(0))).count() == 0
 
 
+def test_chat_beyond_the_parser_limits(spark):
+    long = F.concat(F.repeat(F.lit('a"\\\n'), 5_300_000), F.lit("end"))
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), long.alias("text"))
+    texts = spark.range(1).select(F.array(*[F.struct(F.lit(r).alias("role"), long.alias("content")) for r in ("user", "assistant", "user")]).alias("messages"))
+    outside = texts.select(F.to_json(F.struct("messages")).alias("record"))
+    for df, layout, n in ((chat.records(rows), "pair", 2), (chat.records(rows.withColumn("role", F.lit("user"))), "messages", 2), (outside, "messages", 3)):
+        got = chat.canonical(df).select("layout", F.transform("turns", lambda t: F.sha2(t["text"], 256)).alias("h")).first()
+        assert got["layout"] == layout and got["h"] == [spark.range(1).select(F.sha2(long, 256)).first()[0]] * n
+
+
 # Quality
 
 
