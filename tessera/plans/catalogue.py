@@ -216,8 +216,9 @@ def vector_dangling_refs(spark, sf):
 @query()
 def ivf_topk(spark, sf):
     v = table(spark, sf, "embeddings")
-    celled, centres = index.vector_cells(v, 16)
-    return vector.cells_top(celled, centres, _asked(spark, sf), 10, 8).select("query_id", "vec_id", "pos", _r("dist"))
+    celled, centres = index.vector_cells(v, index.cell_count(v.count(), 16))
+    asked = v.filter("vec_id % 100 = 0")
+    return vector.cells_top(celled, centres, asked, 10, vector.probes_for(celled, centres, 10)).select("query_id", "vec_id", "pos", _r("dist"))
 
 
 @query()

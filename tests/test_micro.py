@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import GENERIC, LEGAL
 from tessera.functions import text as tx
 from tessera.operators import bm25, context, enrich, evaluate, fuse, index, rerank, serve, split, vector
+from tessera.plans import catalogue
 from tessera.runtime import scratch
 from tessera.sources import legal, store
 from tessera.streaming import ingest
@@ -365,6 +366,22 @@ def test_ivf_recall(spark):
     assert [index.cell_count(n) for n in (100, 1_110_000, 10**9)] == [64, 1053, 4096]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ivf_calibrated_recall(spark, sf):
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = {(r["query_id"], r["vec_id"]) for r in catalogue.queries()["ivf_topk"](spark, f"/root/testdata/{sf}").collect()}
+    exact = {(r["query_id"], r["vec_id"]) for r in vector.exact_top(v, v.filter("vec_id % 100 = 0"), 10).collect()}
+    assert len({q for q, _ in got}) == v.filter("vec_id % 100 = 0").count() and len(exact & got) / len(exact) >= 0.9
+    if sf != "sf0.01":
+        return
+    # All rows as queries, by the same cells and probes.
+    celled, centres = index.vector_cells(v, index.cell_count(v.count(), 16))
+    probes = vector.probes_for(celled, centres, 10)
+    near = {(r["query_id"], r["vec_id"]) for r in vector.cells_top(celled, centres, v, 10, probes).collect()}
+    whole = {(r["query_id"], r["vec_id"]) for r in vector.exact_top(v, v, 10).collect()}
+    assert len(whole & near) / len(whole) >= 0.9
+
+
 def test_encoder_is_unit_and_stable(spark):
     enc = vector.hashing_encoder(32)
     df = spark.createDataFrame([("a b",), ("a b",), ("",)], "t string").select(enc("t").alias("v"))
