@@ -272,6 +272,47 @@ def test_neighbours_small_and_empty(spark):
     assert neighbours.search(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_queries_of_other_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [1.0, 0.0, 0.0, 0.0]), (120, [1.0, 0.0]), (140, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, asked).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(100, k) for k in range(1, 21)]
+
+
+@pytest.mark.parametrize("group", [neighbours.GROUP, 64])
+def test_neighbours_walk_past_copies_of_the_query(spark, group):
+    rng = np.random.default_rng(3)
+    rows = [(20, [1.0, 0.0, 0.0, 0.1])] * 80 + [(i, rng.normal(size=4).tolist()) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.filter("vec_id = 20"), group=group).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(20, k) for k in range(1, 21)] and all(r["vec_id"] != 20 for r in got)
+
+
+def test_neighbours_of_a_common_vector_in_many_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 0.5, 0.0, 0.0]) for i in range(0, 800, 2)] + [(i, rng.normal(size=4).tolist()) for i in range(1, 800, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = {i: np.asarray(v, dtype=np.float32).astype(float) for i, v in rows}
+    got = {}
+    for r in neighbours.search(df, df.filter("vec_id % 25 = 0"), group=64).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q, found in got.items():
+        best = sorted((-(x[q] * v).sum(), i) for i, v in x.items() if i != q)[:20]
+        floor = -best[-1][0]
+        assert len(found) == 20
+        hits += sum(s >= floor - 1e-9 for _, _, s in found)
+    assert len(got) == 32 and hits / (20 * len(got)) >= 0.9
+
+
+def test_groups_of_cells():
+    first, many = neighbours.grouped(np.array([3, 0, 4, 25, 1, 9, 2]), 10)
+    assert many.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    assert first[[0, 2, 3, 4, 5, 6]].tolist() == [0, 0, 1, 4, 4, 5]
+
+
 def test_walk_is_in_order_of_summed_distance():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=7), rng.normal(size=5)
