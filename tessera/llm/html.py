@@ -2,8 +2,7 @@
 
 The standard library's parser streams start tags, end tags and text. Block boundaries cut
 the page into lines; every line knows its text, the tags in it, how much of it is link text,
-and its containers. Boilerplate by markup (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) never becomes a line. Each line's text-to-tag
+and its container. Scripts, styles and form controls never become a line. Each line's text-to-tag
 ratio is smoothed with a Gaussian over the neighbouring lines; lines at or above a threshold
 of the smoothed ratios' standard deviation are clustered as content. The content regions are the
 page's own article and main elements with clustered lines, each cut to the innermost one that holds
@@ -11,11 +10,21 @@ all of its clusters; on a page without them the region is the lowest container t
 clusters. Lines that are mostly links do not widen a region. All lines of the regions stay, however
 short, lists of links included; what markup does not rule out there is not dropped.
 
+Markup that names boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments) takes the weight from its lines, unless it wraps the page's content: a marked element
+that holds half or more of what the page's own article and main elements hold keeps its weight, and so does one
+by layout words or a form that holds ``MOST`` of the page's content by weight. If nothing is left, all
+lines count again and the ratio alone decides.
+
+A container knows its parent, and weights are summed from the last container to the first, so the
+work is linear in the page, however deep it nests.
+
 Cases: null and empty pages give an empty text; pages without any line at the threshold
 keep all lines that markup does not rule out; unclosed, crossed and stray tags are repaired
-as they stream; repeated rows are extracted row by row; an empty table gives an empty
+as they stream; equal lines and equal ratios are judged alike, by their place; repeated rows are extracted row by row; a
+very long page is one row's work, in memory linear in its length; an empty table gives an empty
 result; white space, no-break spaces included, becomes one space; other columns of the
-input stay outside.
+input stay outside, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +41,13 @@ from pyspark.sql import functions as F
 
 #: Elements by their role in the markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template nav footer aside form head title select textarea button iframe object svg math canvas menu dialog audio video datalist fieldset".split())
+SILENT = frozenset("script style noscript template head title select textarea button iframe object svg math canvas audio video datalist".split())
+BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+DROPPED = SILENT | BOILERPLATE
 CONTAINERS = frozenset("html body main article section div td th table tbody tr blockquote center".split())
 BLOCKS = CONTAINERS | DROPPED | frozenset("header p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre figure figcaption address details summary hr br thead tfoot caption option hgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-INLINE_CLOSED = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd".split())
-#: Words in class, id or role that mark boilerplate.
+#: Words in class, id or role that mark boilerplate; those of ``LAYOUT`` also name wrappers of whole pages.
 MARKS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar sidenav
     menu menubar nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist respond
@@ -45,82 +55,106 @@ MARKS = frozenset(
     share sharing social related recommended recommendations widget widgets pagination pager search searchbox contentinfo complementary
     skip paywall disclaimer""".split()
 )
+LAYOUT = frozenset("sidebar header nav menu search widget widgets banner social share skip modal overlay paywall subscription alert footer".split())
 OWN = frozenset("article entry post story title has with no without".split())
 SIGMA, SPAN = 1.0, 2
+#: The share of a page's content, as a fraction, beyond which a marked element is its wrapper.
+MOST = (2, 3)
+#: What a container's markup says: nothing, boilerplate, or boilerplate by words that also name wrappers.
+PLAIN, MARKED, WRAPPER = 0, 1, 2
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(attrs: list[tuple[str, str | None]]) -> int:
     """Whether class, id or role name boilerplate; a header of the article itself is none."""
+    found = PLAIN
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return MARKED
         if name in ("class", "id", "role") and value:
             for token in value.lower().split():
                 parts = re.split(r"[^a-z0-9]+", token)
-                if not MARKS.isdisjoint(parts) and OWN.isdisjoint(parts):
-                    return True
-                if not MARKS.isdisjoint(parts) and not {"comment", "comments", "ad", "ads", "share", "nav", "footer", "related"}.isdisjoint(parts) and {"has", "with", "no", "without"}.isdisjoint(parts):
-                    return True
-    return False
+                named = MARKS.intersection(parts)
+                if named and (OWN.isdisjoint(parts) or not {"comment", "comments", "ad", "ads", "share", "nav", "footer", "related"}.isdisjoint(parts) and {"has", "with", "no", "without"}.isdisjoint(parts)):
+                    if not named <= LAYOUT:
+                        return MARKED
+                    found = WRAPPER
+    return found
+
+
+#: Tags at which the search for an open paragraph or list item, and that for any other open element, ends.
+_WALL = CONTAINERS - {"tr", "td", "th"} | {"ul", "ol", "dl"} | DROPPED
+_WALLS = CONTAINERS | DROPPED
 
 
 class Lines(HTMLParser):
-    """Streams a page into ``lines``: [text, characters outside links, tags, containers]."""
+    """Streams a page into ``lines``: (text, characters outside links, tags, container). Of container k,
+    ``parents[k]`` is the one around it, ``own[k]`` whether it is an article or main element, ``marks[k]`` what its markup says."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = ["page"]
-        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it is dropped, container or -1
-        self.path: tuple[int, ...] = (0,)
-        self.dropped = self.links = self.tags = self.plain = 0
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parents, self.own, self.marks = [0], [False], [PLAIN]
+        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it is silent, the container around it or -1
+        self.open: dict[str, list[int]] = {}  # places of each open tag in the stack
+        self.wall: list[int] = []
+        self.walls: list[int] = []
+        self.at = self.silent = self.links = self.tags = self.plain = 0
         self.text: list[str] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.plain, self.tags, self.path))
+            self.lines.append((text, self.plain, self.tags, self.at))
         self.text, self.tags, self.plain = [], 0, 0
 
-    def pop_to(self, at: int) -> None:
-        while len(self.stack) > at:
-            tag, dropped, container = self.stack.pop()
-            self.dropped -= dropped
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag, silent, around = self.stack.pop()
+            self.open[tag].pop()
+            if tag in _WALL:
+                self.wall.pop()
+            if tag in _WALLS:
+                self.walls.pop()
+            self.silent -= silent
             self.links -= tag == "a"
-            if container >= 0:
-                self.path = self.path[:-1]
+            if around >= 0:
+                self.at = around
 
-    def find(self, tags: frozenset[str] | set[str], stop: frozenset[str]) -> int:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                return i
-            if self.stack[i][0] in stop:
-                return -1
-        return -1
+    def last(self, tags: tuple[str, ...], after: int = -1) -> int:
+        """The place of the last open one of ``tags``, if it is after ``after``."""
+        place = max([self.open[t][-1] for t in tags if self.open.get(t)], default=-1)
+        return place if place > after else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
             if tag in ("p", "li", "dt", "dd") or tag in HEADINGS or tag in CONTAINERS:
                 # An open paragraph ends where a block begins; a list item where its sibling does.
-                closes = {"p"} | ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {tag} if tag in ("tr", "td", "th") else set())
-                if (i := self.find(closes, CONTAINERS - {"tr", "td", "th"} | {"ul", "ol", "dl"} | DROPPED)) >= 0:
-                    self.pop_to(i)
+                closes = ("p", "li") if tag == "li" else ("p", "dt", "dd") if tag in ("dt", "dd") else ("p", tag) if tag in ("tr", "td", "th") else ("p",)
+                if (place := self.last(closes, self.wall[-1] if self.wall else -1)) >= 0:
+                    self.pop_to(place)
         self.tags += 1
         if tag in VOID:
             return
-        inside = tag == "header" and any(t in ("article", "main") for t, _, _ in self.stack)
-        dropped = tag in DROPPED or (tag == "header" and not inside)
-        if not dropped and attrs and tag not in ("html", "body", "main"):
-            dropped = _marked(attrs) and not inside
-        container = -1
-        if tag in CONTAINERS and not dropped:
-            container = len(self.kinds)
-            own = tag in ("article", "main") or any(n == "itemprop" and v == "articleBody" or n == "role" and v == "main" for n, v in attrs)
-            self.kinds.append("own" if own else tag)
-            self.path = (*self.path, container)
-        self.stack.append((tag, dropped, container))
-        self.dropped += dropped
+        silent = tag in SILENT
+        inside = tag == "header" and self.last(("article", "main")) >= 0
+        mark = WRAPPER if tag == "form" else MARKED if tag in BOILERPLATE or (tag == "header" and not inside) else PLAIN
+        if not silent and not mark and attrs and not inside and tag not in ("html", "body", "main"):
+            mark = _marked(attrs)
+        around = -1
+        if not silent and (mark or tag in CONTAINERS):
+            around, self.at = self.at, len(self.parents)
+            self.parents.append(around)
+            self.own.append(not mark and (tag in ("article", "main") or any(n == "itemprop" and v == "articleBody" or n == "role" and v == "main" for n, v in attrs)))
+            self.marks.append(mark)
+        place = len(self.stack)
+        self.open.setdefault(tag, []).append(place)
+        if tag in _WALL:
+            self.wall.append(place)
+        if tag in _WALLS:
+            self.walls.append(place)
+        self.stack.append((tag, silent, around))
+        self.silent += silent
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -133,12 +167,12 @@ class Lines(HTMLParser):
             self.end_line()
         if tag in VOID:
             return
-        stop = frozenset() if tag in CONTAINERS or tag in DROPPED or tag == "header" else CONTAINERS | DROPPED
-        if (i := self.find({tag}, stop)) >= 0:
-            self.pop_to(i)
+        bound = -1 if tag in _WALLS or tag == "header" or not self.walls else self.walls[-1]
+        if (place := self.last((tag,), bound)) >= 0:
+            self.pop_to(place)
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped:
+        if not self.silent:
             self.text.append(data)
             if not self.links:
                 self.plain += len(data.strip())
@@ -151,13 +185,37 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA, span: int = SPAN) -> np.ndar
     return full(ratio) / full(np.ones(len(ratio)))
 
 
-def _common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
-    """The containers that all lines with these paths are in, outermost first."""
-    a, b = min(paths), max(paths)
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return a[:n]
+def _summed(weight: list[int], parents: list[int]) -> list[int]:
+    """The weight of each container with all that it holds; a container comes after its parent."""
+    out = list(weight)
+    for k in range(len(out) - 1, 0, -1):
+        out[parents[k]] += out[k]
+    return out
+
+
+def _ruled_out(p: Lines) -> list[bool]:
+    """Of each container, whether its markup or that of one around it takes the weight from its lines."""
+    n = len(p.parents)
+    if not any(p.marks):
+        return [False] * n
+    weight = [0] * n
+    for text, plain, _, k in p.lines:
+        if 2 * plain >= len(text):
+            weight[k] += plain
+    # In an own element, or under a mark without layout words: from the first container to the last.
+    within, strict = list(p.own), [m == MARKED for m in p.marks]
+    for k in range(1, n):
+        within[k] |= within[p.parents[k]]
+        strict[k] |= strict[p.parents[k]]
+    own = _summed([w if i else 0 for w, i in zip(weight, within, strict=True)], p.parents)
+    apart = _summed([0 if out else w for w, out in zip(weight, strict, strict=True)], p.parents)
+    out = [False] * n
+    for k in range(1, n):
+        mark = p.marks[k]
+        # Inside an own element a mark is meant: the element is what the page calls its content.
+        wraps = not within[k] and mark and (2 * own[k] >= own[0] > 0 or mark == WRAPPER and own[0] == 0 and MOST[1] * apart[k] >= MOST[0] * apart[0] > 0)
+        out[k] = out[p.parents[k]] or bool(mark and not wraps)
+    return out
 
 
 def extract(html: str | None) -> str:
@@ -168,25 +226,31 @@ def extract(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.end_line()
-    lines = p.lines
+    out = _ruled_out(p)
+    lines = [x for x in p.lines if not out[x[3]]] or p.lines
     if not lines:
         return ""
     ratio = np.array([plain / max(1, tags) for _, plain, tags, _ in lines], dtype=float)
     even = smooth(ratio)
     content = even >= min(float(even.std()), float(even.max()))
     # What a region has to hold: the lines of the clusters, without those that are mostly links.
-    core = [path for (t, plain, _, path), on in zip(lines, content, strict=True) if on and 2 * plain >= len(t.replace(" ", ""))]
-    held: dict[int, list[tuple[int, ...]]] = {}
-    for path in core:
-        own = [c for c in path if p.kinds[c] == "own"]
-        if own:
-            held.setdefault(own[0], []).append(path)
-    if held:
-        regions = {max(c for c in _common(paths) if p.kinds[c] == "own") for paths in held.values()}
-    else:
-        regions = {_common(core)[-1] if core else 0}
-    kept = [t for t, _, _, path in lines if not regions.isdisjoint(path)]
-    return " ".join(kept)
+    core = [0] * len(p.parents)
+    for (t, plain, _, k), on in zip(lines, content.tolist(), strict=True):
+        core[k] += on and 2 * plain >= len(t.replace(" ", ""))
+    held = _summed(core, p.parents)
+    # The outermost own element around each container, and of those with clustered lines the innermost
+    # own element that holds as many; without any the lowest container that holds all.
+    outer, regions, lowest = [-1] * len(held), {}, 0
+    for k, n in enumerate(held):
+        outer[k] = outer[p.parents[k]] if outer[p.parents[k]] >= 0 else k if p.own[k] else -1
+        if n and p.own[k] and n == held[outer[k]]:
+            regions[outer[k]] = k
+        if n and n == held[0]:
+            lowest = k
+    region, inside = set(regions.values()) or {lowest}, [False] * len(held)
+    for k in range(len(held)):
+        inside[k] = inside[p.parents[k]] or k in region
+    return " ".join([t for t, _, _, k in lines if inside[k]])
 
 
 def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", *carried: str) -> DataFrame:

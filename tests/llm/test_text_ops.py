@@ -2,6 +2,9 @@
 
 import itertools
 import math
+import re
+import time
+from html import unescape
 
 import numpy as np
 import pytest
@@ -188,6 +191,52 @@ def test_whole_region_stays(page, want):
     assert html.extract(page) == want
 
 
+BODY = "<h1>Head</h1><p>One long paragraph of an article with many words in it.</p><p>Second one.</p>"
+TOLD = "Head One long paragraph of an article with many words in it. Second one."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='elementor-widget elementor-widget-text-editor'><article>{BODY}</article></div><div class=widget>Side words</div></body>",
+        f"<body><div class='elementor-widget elementor-widget-text-editor'>{BODY}</div><div class=sidebar>Side words</div></body>",
+        f"<body><div class='content-sidebar-wrap'><article>{BODY}</article><aside>Side</aside></div><footer>Foot</footer></body>",
+        f"<body><div id='search-page'><main>{BODY}</main></div></body>",
+        f"<body><form id=aspnetForm><nav><a>x</a></nav><div>{BODY}</div></form></body>",
+        f"<body><div class=comments>{BODY}</div></body>",
+        f"<body><main>{BODY}</main><div class='related-posts'><article><p>Other things to read here.</p></article></div></body>",
+        f"<body><article>{BODY}</article><div id=comments><article class=comment><p>{'What a fine comment. ' * 40}</p></article></div></body>",
+        f"<body><div class=post>{BODY}</div><div id=comments><p>{'What a fine comment. ' * 40}</p></div></body>",
+    ],
+)
+def test_marks_weigh_and_wrappers_stay(page):
+    assert html.extract(page) == TOLD
+
+
+def test_deep_nesting_is_linear():
+    for unit in ("<div>some words here ", "<b>some words <p>here ", "<div><span class=ad>"):
+        began = time.perf_counter()
+        html.extract(unit * 5_000)
+        middle = time.perf_counter()
+        got = html.extract(unit * 50_000)
+        assert time.perf_counter() - middle < 30 * (middle - began) + 1
+        assert got.split() == (["some", "words", "here"] * 50_000 if "some" in unit else [])
+
+
+def test_all_pages_against_their_articles(spark):
+    """The text between the article tags, told by regular expressions, is what every page of the table has to give."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in html.op3_html(spark, SF).collect()}
+    assert len(got) == len(rows)
+    block = r"(?i)</?(?:p|h[1-6]|ul|ol|li|br|div|article|section|table|tr|td|th|blockquote|pre|header|figure|figcaption)\b[^>]*>"
+    for r in rows:
+        inner = re.search(r"(?s)<article\b[^>]*>(.*)</article>", r["html"])[1]
+        for gone in (r"(?s)<!--.*?-->", r"(?s)<(script|style|aside|form|nav)\b.*?</\1>", r"(?s)<div class=\"?ad\"?>.*?</div>"):
+            inner = re.sub(gone, "", inner)
+        want = " ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(block, "\n", inner))).split())
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
 def test_main_text_frame(spark):
     pages = spark.createDataFrame([(i % 4, f"u{i}", p, i) for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = html.main_text(pages, "page_id", "html", "url").collect()
