@@ -14,8 +14,10 @@ small and fitted on the driver from that bounded sample; scoring is one pass ove
 Cases: null and empty texts have all-zero features and get the score of those; repeated
 label rows of a key count once, as toxic if any says so, null labels not at all; labels of
 keys without a text do not take part; without labels of both classes a fixed rule stands in
-(lexicon density on a logistic curve); ties of the sample's order fall back on the key; an
-empty table gives an empty result; other columns of the input do not take part.
+(lexicon density on a logistic curve); ties of the sample's order fall back on the key; texts of equal
+margin get equal scores, and equal margins are one point of the calibration; a very long text is scored
+whole, in memory linear in its length; an empty table gives an empty result; other columns of the input do not
+take part, and columns named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -156,11 +158,12 @@ class Boosted:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (scores, rising probabilities) to interpolate between."""
-    order = np.argsort(score, kind="stable")
+    """Pool adjacent violators: (scores, rising probabilities) to interpolate between. Equal scores are
+    one observation with their labels' mean, however the rows stand."""
+    values, at = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []  # sum of labels, count, sum of scores
-    for s, label in zip(score[order], y[order], strict=True):
-        blocks.append([label, 1.0, s])
+    for s, label, n in zip(values, np.bincount(at, y), np.bincount(at).astype(float), strict=True):
+        blocks.append([label, n, s * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -168,17 +171,18 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon weights, trees and calibration; ``score`` is in 0 to 1."""
+    """Lexicon weights, trees and calibration; ``score`` is the calibrated margin, in 0 to 1."""
 
     def __init__(self, weights: dict[str, float], trees: Boosted | None, knots: tuple[np.ndarray, np.ndarray] | None):
         self.weights, self.trees, self.knots = weights, trees, knots
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """The raw score, in log odds."""
+        return 400 * (x[:, 0] + x[:, 1]) - 4 if self.trees is None else self.trees.margin(x)
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        if self.trees is None:
-            return 1 / (1 + np.exp(-(400 * (x[:, 0] + x[:, 1]) - 4)))
-        m = self.trees.margin(x)
-        # A trace of the raw score keeps the order within a level of the calibration.
-        return 0.98 * np.interp(m, *self.knots) + 0.02 / (1 + np.exp(-m))
+        m = self.margin(x)
+        return 1 / (1 + np.exp(-m)) if self.knots is None else np.interp(m, *self.knots)
 
 
 def _log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
@@ -234,16 +238,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(lexicons[0], Boosted().fit(x, y), isotonic(apart, y))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` (replacing one of that name), in one pass."""
-    rows = docs.drop("score")
+def scored(docs: DataFrame, model: Model, text: str = "text", margin: str | None = None) -> DataFrame:
+    """``docs`` with a column ``score`` and, if named, one of raw margins (replacing those of the names), in one pass."""
+    added = ["score"] if margin is None else ["score", margin]
+    rows = docs.drop(*added)
     at = rows.columns.index(text)
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t.as_py(), model.weights) for t in b.column(at)], dtype=float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(model.score(x), 0, 1))], names=[*b.schema.names, "score"])
+            got = [pa.array(np.clip(model.score(x), 0, 1)), pa.array(model.margin(x))][: len(added)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *got], names=[*b.schema.names, *added])
 
     return rows.mapInArrow(run, schema)
 
@@ -252,6 +258,6 @@ def op1_toxicity(spark, sf_dir):
     """Toxicity score of every whole document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    out = scored(docs, train(docs, labels))
+    out = scored(docs, train(docs, labels), margin="margin")
     told = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    return out.select("doc_id", (F.crc32(told) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", (F.crc32(told) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")

@@ -61,10 +61,56 @@ def test_isotonic_rises_and_averages():
     assert (np.diff(p) > 0).all() and (np.diff(x) > 0).all() and 0 <= p[0] and p[-1] <= 1
 
 
+def test_isotonic_pools_equal_scores():
+    x, p = toxicity.isotonic(np.zeros(4), np.array([0.0, 0.0, 1.0, 1.0]))
+    assert x.tolist() == [0.0] and p.tolist() == [0.5]
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 12, 400).astype(float)
+    y = (rng.random(400) < s / 14).astype(float)
+    for _ in range(3):
+        order = rng.permutation(400)
+        x, p = toxicity.isotonic(s[order], y[order])
+        # The least squares among rising functions, by the max-min formula over distinct scores.
+        at = np.arange(12)
+        n, t = np.array([(s == k).sum() for k in at]), np.array([y[s == k].sum() for k in at])
+        want = [max(min(t[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, 12)) for i in range(k + 1)) for k in at]
+        assert sorted(set(np.round(want, 9))) == pytest.approx(p.tolist())
+
+
+def test_trees_against_a_plain_walk():
+    """A forest's margin, tree by tree and row by row, and its first split by trying all."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = (x[:, 2] + 0.2 * x[:, 0] > 0.3).astype(float)
+    forest = toxicity.Boosted(trees=5, depth=2, bins=400).fit(x, y)
+    for row, m in zip(x, forest.margin(x), strict=True):
+        f = forest.prior
+        for feature, cutoff, leaf in forest.fitted:
+            node = 0
+            for pick, at in zip(feature, cutoff, strict=True):
+                node = 2 * node + int(row[pick[node]] > at[node])
+            f += leaf[node]
+        assert m == pytest.approx(f)
+    p = y.mean()
+    gain = {}
+    for j in range(4):
+        for c in np.unique(x[:, j]):
+            left = x[:, j] <= c
+            g, h = [(y[k] - p).sum() for k in (left, ~left)], [k.sum() * p * (1 - p) for k in (left, ~left)]
+            if min(h) >= 0.3:
+                gain[j, c] = sum(a * a / (b + 1) for a, b in zip(g, h, strict=True))
+    j, c = max(gain, key=gain.get)
+    feature, cutoff, _ = forest.fitted[0]
+    assert feature[0][0] == j and gain[j, max(v for k, v in gain if k == j and v <= cutoff[0][0])] == pytest.approx(gain[j, c])
+
+
 def test_toxicity_held_out(spark):
     got = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, SF).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     held = [(got[i]["predicted"], t) for i, t in labels.items() if got[i]["held_out"]]
+    assert all(r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    by = sorted((r["margin"], r["score"]) for r in got.values())
+    assert all(a[1] <= b[1] for a, b in zip(by[:-1], by[1:], strict=True))
     assert len(got) == 1000 and sum(p == t for p, t in held) / len(held) > 0.93
 
 
