@@ -19,7 +19,8 @@ gives an empty result; a record of unknown layout, or that is not a JSON object,
 A JSON record of more than ``LONG`` characters is fingerprinted with its long strings emptied; one that
 is still longer than that and does not parse stops the query.
 A conversation is one training example and is built in one row: its length is bounded by
-Spark's 2 GB row, however many turns it has.
+Spark's 2 GB row, however many turns it has; work grows in proportion to turns and characters. Columns of the
+input named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -164,29 +165,50 @@ def unescape(c: Column, table: Sequence[tuple[str, str]] = ESCAPES) -> Column:
     return c
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is looked at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _offsets(sizes: Column) -> Column:
+    """The sum of all sizes before each one. Sums run within blocks of some square root of the
+    number of sizes, and over the blocks, as a growing array is copied at every step."""
+    state = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+    scan = lambda xs: F.aggregate(xs, state, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"]).alias("all")))
+
+    def of(xs: Column) -> Column:
+        k = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(xs), k), lambda at: scan(F.slice(xs, at, k)))
+        shifted = lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: b["sum"]))["all"], lambda b, at: F.transform(b["all"], lambda x: x + at)))
+        return F.when(F.size(xs) > 0, _let(blocks, shifted)).otherwise(F.array().cast("array<int>"))
+
+    return _let(sizes, of)
+
+
 def render(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
     """Adds ``formatted`` and ``mask``, array of (start, stop) over it, from ``turns``."""
     piece = lambda t: F.concat(F.lit(HEAD), escape(t["role"], ROLE_ESCAPES), F.lit(MIDDLE), escape(t["text"]), F.lit(END))
-    out = turns.withColumn("__pieces", F.transform("turns", lambda t: F.struct(piece(t).alias("p"), F.char_length(escape(t["text"])).alias("n"), (t["role"] == train_role).alias("on"))))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("mask"))
-
-    def step(a, x):
-        at = a["at"] + F.char_length(x["p"])
-        stop = at - len(END)
-        return F.struct(at.alias("at"), F.when(x["on"], F.array_append(a["mask"], F.struct((stop - x["n"]).alias("start"), stop.alias("stop")))).otherwise(a["mask"]).alias("mask"))
-
+    size = lambda t: F.char_length(escape(t["text"]))
+    out = turns.withColumn("__pieces", F.transform("turns", lambda t: F.struct(piece(t).alias("p"), size(t).alias("n"), (t["role"] == train_role).alias("on"))))
+    at = _offsets(F.transform("__pieces", lambda x: F.char_length(x["p"])))
+    stop = lambda x, at: at + F.char_length(x["p"]) - len(END)
+    spans = F.zip_with("__pieces", at, lambda x, at: F.struct((stop(x, at) - x["n"]).alias("start"), stop(x, at).alias("stop"), x["on"].alias("on")))
     return out.withColumns({
         "formatted": F.array_join(F.transform("__pieces", lambda x: x["p"]), ""),
-        "mask": F.aggregate("__pieces", state, step)["mask"],
+        "mask": F.transform(F.filter(spans, lambda x: x["on"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))),
     }).drop("__pieces")
 
 
+def _pieces(formatted: Column) -> Column:
+    """The marked turns of a formatted text, without their ends."""
+    return F.filter(F.split(formatted, END, -1), lambda p: p != "")
+
+
 def parse(formatted: Column) -> Column:
     """The turns read back from a formatted text."""
-    pieces = F.filter(F.split(formatted, END, -1), lambda p: p != "")
     at = lambda p: F.instr(p, F.lit(MIDDLE))
     return F.transform(
-        pieces,
+        _pieces(formatted),
         lambda p: F.struct(
             unescape(F.substr(p, F.lit(len(HEAD) + 1), at(p) - len(HEAD) - 1), ROLE_ESCAPES).alias("role"),
             unescape(F.substr(p, at(p) + len(MIDDLE))).alias("text"),
@@ -195,8 +217,25 @@ def parse(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"] + 1, m["stop"] - m["start"]))), "")
+    """All text under the loss mask, unescaped. A span covers the text of a turn, as ``render`` gives it: spans and
+    the texts' places are sorted together, and a text counts if its own span stands before it."""
+    place = lambda start, stop, text: F.struct(stop.cast("int").alias("stop"), start.cast("int").alias("start"), text.isNotNull().alias("is_text"), text.alias("text"))
+    spans = F.transform(mask, lambda m: place(m["start"], m["stop"], F.lit(None).cast("string")))
+
+    def told(p: Column, at: Column) -> Column:
+        begin = F.instr(p, F.lit(MIDDLE)) + len(MIDDLE)
+        return place(at + begin - 1, at + F.char_length(p), F.substr(p, begin))
+
+    def of(pieces: Column) -> Column:
+        return F.zip_with(pieces, _offsets(F.transform(pieces, lambda p: F.char_length(p) + len(END))), told)
+
+    def under(places: Column) -> Column:
+        before = lambda i: F.get(places, i - 1)
+        same = lambda x, y: ~y["is_text"] & (x["stop"] == y["stop"]) & (x["start"] == y["start"])
+        return F.filter(places, lambda x, i: x["is_text"] & F.coalesce(same(x, before(i)), F.lit(False)))
+
+    found = _let(F.sort_array(F.concat(spans, _let(_pieces(formatted), of))), under)
+    return F.array_join(F.transform(found, lambda x: unescape(x["text"])), "")
 
 
 def records(rows: DataFrame) -> DataFrame:

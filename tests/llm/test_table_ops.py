@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -76,6 +77,32 @@ def test_chat_beyond_the_parser_limits(spark):
         assert got["layout"] == layout and got["h"] == [spark.range(1).select(F.sha2(long, 256)).first()[0]] * n
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 8, 9, 10, 17, 100])
+def test_mask_covers_the_trained_texts(spark, n):
+    rng = random.Random(n)
+    turns = [(rng.choice(["user", "assistant", "a:b", "assistant"]), rng.choice(["", "x", "é😀\\", "</turn>\n", ": ### :", "plain text"])) for _ in range(n)]
+    df = spark.createDataFrame([([{"role": r, "text": t} for r, t in turns],)], "turns array<struct<role:string,text:string>>")
+    r = chat.render(df).withColumn("back", chat.parse(F.col("formatted"))).withColumn("loss", chat.masked(F.col("formatted"), F.col("mask"))).first()
+    undo = lambda t: t.replace("\\h", "###").replace("\\t", "</turn>").replace("\\b", "\\")
+    mine = [t for role, t in turns if role == "assistant"]
+    assert [undo(r["formatted"][m["start"] : m["stop"]]) for m in r["mask"]] == mine
+    assert r["loss"] == "".join(mine) and [(t["role"], t["text"]) for t in r["back"]] == turns
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    def seconds(n):
+        turn = lambda i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text of turn "), i).alias("text"))
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), turn).alias("turns"))
+        out = chat.render(df).select(F.size("mask").alias("m"), chat.masked(F.col("formatted"), F.col("mask")).alias("loss"), F.size(chat.parse(F.col("formatted"))).alias("n"))
+        began = time.perf_counter()
+        r = out.first()
+        assert (r["n"], r["m"]) == (n, n // 2) and hashlib.sha256(r["loss"].encode()).digest() == hashlib.sha256("".join(f"text of turn {i}" for i in range(1, n, 2)).encode()).digest()
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    assert seconds(80_000) < 8 * seconds(20_000) + 2
+
+
 # Quality
 
 
