@@ -12,16 +12,20 @@ Weights: a piece has weight (1 + rank) ** -alpha, the rank being minus the model
 included, go to byte pieces, so decoding gives back every text exactly.
 
 Lattices of chunks are computed once and kept up to a bound of edges per worker; all draws
-of a slice of chunks are one array operation per step.
+of a slice of chunks are one array operation per step. A chunk of more than ``LONG`` characters (a text
+without spaces) goes window by window: the forward pass keeps only the weights of the last few positions
+before each window, and the backward pass builds the windows again from the last to the first, so at most
+one window's edges are held, however long the run.
 
 Cases: a null text has no pieces and decodes to null; an empty text has no pieces; very long
-texts go slice by slice; rows with equal keys and texts get equal segmentations, a null key
+texts go slice by slice, and unbroken runs window by window, so beyond the text and its ids memory is bounded; rows with equal keys and texts get equal segmentations, a null key
 counts as key 0; an empty table gives an empty result; other columns do not take part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -39,8 +43,10 @@ MARK = "▁"
 #: Stands for a literal mark while a lattice is built; a Unicode non-character that no vocabulary holds.
 HIDDEN = "﷐"
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
-#: Chunks drawn at once, and edges that a worker keeps.
-SLICE, EDGES = 200_000, 2_000_000
+#: Chunks and characters drawn at once, and edges that a worker keeps.
+SLICE, SLICE_CHARS, EDGES = 200_000, 2_000_000, 2_000_000
+#: Characters of a chunk beyond which its lattice is cut in windows, and of such a window.
+LONG, WINDOW = 1_000, 16_384
 #: The weight of going from a character to byte pieces, where it has no piece of its own.
 BYTES_WEIGHT = 1e-5
 
@@ -94,6 +100,7 @@ class Trie:
                     nodes[(at, c)] = got = top
                 at = got
             ends[at] = (i, w)
+        self.longest = max((len(text) for text, _, _ in pieces), default=1)
         keys = np.array([(a << 21) | c for a, c in nodes], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array(list(nodes.values()), dtype=np.int64)[order]
@@ -230,6 +237,91 @@ def draw(lattices: Lattices, ends: np.ndarray, streams: np.ndarray) -> tuple[np.
     return ids, count + more
 
 
+class Run:
+    """Forward filtering and backward sampling over one long chunk, window by window. Draws and the order of
+    edges are those of ``Lattices`` and ``draw``; positions run through the whole chunk."""
+
+    def __init__(self, lattices: Lattices, chunk: str):
+        self.trie, self.byte_ids, self.chunk = lattices.trie, lattices.byte_ids, chunk
+
+    def edges(self, low: int, high: int) -> tuple[list[int], list[int], list[int], list[float]]:
+        """(start, stop, code, weight) of all edges that end in (low, high], by stop and start."""
+        begin = max(0, low - self.trie.longest)
+        text = self.chunk[begin:high]
+        points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        start, stop, piece, weight = self.trie.matches(points(text.replace(MARK, HIDDEN).replace(" ", MARK)))
+        plain = np.ones(len(text), dtype=bool)
+        plain[start[stop == start + 1]] = False
+        odd = np.flatnonzero(plain)
+        start, stop = np.r_[start, odd] + begin, np.r_[stop, odd + 1] + begin
+        code, weight = np.r_[piece, -1 - points(text)[odd]], np.r_[weight, np.full(len(odd), BYTES_WEIGHT)]
+        order = np.lexsort((start, stop))
+        order = order[stop[order] > low]
+        return tuple(x[order].tolist() for x in (start, stop, code, weight))
+
+    def forward(self, low: int, high: int, state: list[float], shares: bool = False):
+        """The weights of the last positions up to ``high`` from those up to ``low``, up to a common factor; with
+        ``shares``, every edge's cumulative share and the place of each position's first edge too."""
+        start, stop, code, weight = self.edges(low, high)
+        f = [*state, *[0.0] * (high - low)]
+        shift, n = len(state) - 1 - low, len(start)
+        run, first, k = [], [], 0
+        for v in range(low + 1, high + 1):
+            first.append(k)
+            total = 0.0
+            while k < n and stop[k] == v:
+                total += f[start[k] + shift] * weight[k]
+                run.append(total)
+                k += 1
+            if shares:
+                for j in range(first[-1], k):
+                    run[j] /= total
+            if total < 1e-200:
+                # Only the ratios of the positions that an edge can still start from matter.
+                most = max(f[max(0, v + shift - self.trie.longest) : v + shift] + [total])
+                for j in range(max(0, v + shift - self.trie.longest), v + shift):
+                    f[j] /= most
+                total /= most
+            f[v + shift] = total
+        last = f[-(self.trie.longest + 1) :]
+        return (last, start, code, run, [*first, k]) if shares else last
+
+    def draw(self, stream: np.uint64) -> np.ndarray:
+        """The ids of the chunk."""
+        states, n = [[1.0]], len(self.chunk)
+        lows = list(range(0, n, WINDOW))
+        for low in lows[:-1]:
+            states.append(self.forward(low, low + WINDOW, states[-1]))
+        at, step, parts = n, 0, []
+        u: list[float] = []
+        for low, state in zip(lows[::-1], states[::-1], strict=True):
+            if at <= low:
+                continue
+            _, start, code, run, first = self.forward(low, min(n, low + WINDOW), state, shares=True)
+            out = []
+            while at > low:
+                if step % WINDOW == 0:
+                    count = (np.arange(step, step + WINDOW, dtype=np.uint64)) * np.uint64(0xD1342543DE82EF95)
+                    u = ((_mix(stream + count) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+                a, z, goal = first[at - low - 1], first[at - low] - 1, u[step % WINDOW]
+                while a < z and run[a] <= goal:
+                    a += 1
+                out.append(code[a])
+                at, step = start[a], step + 1
+            parts.append(np.array(out[::-1], dtype=np.int64))
+        codes = np.concatenate(parts[::-1])
+        odd = np.flatnonzero(codes < 0)
+        if not len(odd):
+            return codes.astype(np.int32)
+        points, which = np.unique(-1 - codes[odd], return_inverse=True)
+        raw = [self.byte_ids[np.frombuffer(chr(p).encode("utf-8", "surrogatepass"), np.uint8)] for p in points.tolist()]
+        cuts, pieces, before = odd.tolist(), [], 0
+        for k, w in zip(cuts, which.tolist(), strict=True):
+            pieces += [codes[before:k].astype(np.int32), raw[w]]
+            before = k + 1
+        return np.concatenate([*pieces, codes[before:].astype(np.int32)])
+
+
 def encode(texts: Sequence[str | None], row_keys: np.ndarray, lattices: Lattices, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, ids per text) for a batch."""
     told = _mix(row_keys.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
@@ -237,6 +329,7 @@ def encode(texts: Sequence[str | None], row_keys: np.ndarray, lattices: Lattices
     per = np.zeros(len(texts), dtype=np.int64)
     chunks: list[str] = []
     owner: list[tuple[int, int, int]] = []  # text, first chunk number, chunks in the slice
+    mixed = lambda who, number: _mix(told[who] + number * np.uint64(0xA0761D6478BD642F))
 
     def flush() -> None:
         if not chunks:
@@ -248,22 +341,47 @@ def encode(texts: Sequence[str | None], row_keys: np.ndarray, lattices: Lattices
         who = np.repeat([o[0] for o in owner], [o[2] for o in owner])
         number = np.concatenate([np.arange(f, f + n) for _, f, n in owner]).astype(np.uint64)
         ends = np.fromiter(map(lattices.ends.__getitem__, chunks), np.int64, len(chunks))
-        ids, count = draw(lattices, ends, _mix(told[who] + number * np.uint64(0xA0761D6478BD642F)))
+        ids, count = draw(lattices, ends, mixed(who, number))
         parts.append(ids)
         np.add.at(per, who, count)
         chunks.clear()
         owner.clear()
 
+    def run(k: int, number: int, chunk: str) -> None:
+        flush()
+        parts.append(Run(lattices, chunk).draw(mixed(np.array([k]), np.array([number], dtype=np.uint64))[0]))
+        per[k] += len(parts[-1])
+
+    held = 0
     for k, text in enumerate(texts):
         if not text:
             continue
-        found = CHUNK.findall(" " + text)
-        for at in range(0, len(found), SLICE):
-            some = found[at : at + SLICE]
-            owner.append((k, at, len(some)))
-            chunks += some
+        text = " " + text
+        # A long text is matched bit by bit, so that its chunks are never all held at once.
+        found = iter(CHUNK.findall(text)) if len(text) <= SLICE_CHARS else (m[0] for m in CHUNK.finditer(text))
+        number = 0
+        while some := list(itertools.islice(found, SLICE)):
+            # Almost always no chunk is long: one comparison of a slice tells.
+            at = 0
+            if max(map(len, some)) > LONG:
+                for i, chunk in enumerate(some):
+                    if len(chunk) > LONG:
+                        if i > at:
+                            owner.append((k, number + at, i - at))
+                            chunks += some[at:i]
+                        run(k, number + i, chunk)
+                        held, at = 0, i + 1
+            if len(some) > at:
+                owner.append((k, number + at, len(some) - at))
+                chunks += some[at:]
+            number += len(some)
             if len(chunks) >= SLICE:
                 flush()
+                held = 0
+        held += len(text)
+        if held >= SLICE_CHARS:
+            flush()
+            held = 0
     flush()
     return np.concatenate(parts) if parts else np.empty(0, np.int32), per
 

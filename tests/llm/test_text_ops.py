@@ -4,6 +4,7 @@ import itertools
 import math
 import re
 import time
+import tracemalloc
 from html import unescape
 
 import numpy as np
@@ -353,6 +354,29 @@ def test_same_segmentation_in_any_partitioning(spark):
     assert segment.encoded(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["abc", "thereisaword" * 40, "日本語の文章" * 60, "  " * 300 + "x", "é▁a\u0301" * 90, "q" * 700])
+def test_windows_of_a_run_change_nothing(vocabulary, monkeypatch, text):
+    texts = [text] * 5 + ["a few words " + text + " and\n" + text]
+    whole = segment.encode(texts, np.arange(6), segment.Lattices(vocabulary))
+    for window in (7, 64):
+        monkeypatch.setattr(segment, "LONG", 2)
+        monkeypatch.setattr(segment, "WINDOW", window)
+        ids, per = segment.encode(texts, np.arange(6), segment.Lattices(vocabulary))
+        assert (per == whole[1]).all() and (ids == whole[0]).all()
+
+
+def test_unbroken_run_in_bounded_memory(vocabulary):
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(97, 123, 400_000).tolist())) + "漢字" * 20_000
+    lattices = segment.Lattices(vocabulary)
+    tracemalloc.start()
+    ids, per = segment.encode([text], np.array([1]), lattices)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert segment.decode(ids.tolist(), segment.table(vocabulary)) == text and len(lattices.keys) == 0
+    assert peak < 60 << 20
+
+
 def test_bound_on_lattices_changes_nothing(vocabulary, monkeypatch):
     texts = [f"alpha{i} beta gamma{i * 7}" for i in range(400)]
     whole = segment.encode(texts, np.arange(400), segment.Lattices(vocabulary))[0]
