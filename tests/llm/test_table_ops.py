@@ -132,10 +132,33 @@ def test_cascade_order_does_not_decide(spark):
     once = quality.cascade(df)
     again = quality.cascade(df, rules=quality.RULES[::-1])
     keep = lambda d: sorted((r["doc_id"], r["kept"]) for r in d.collect())
-    assert keep(once) == keep(again) == [(1, True), (1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (7, False)]
+    lazy = quality.judge(df)
+    assert lazy.columns == ["doc_id", "text", "kept", "rejected_by"]
+    assert keep(once) == keep(again) == keep(lazy) == [(1, True), (1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (7, False)]
     assert quality.cascade(df.limit(0)).count() == 0
 
 
+def test_judge_agrees_with_cascade(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    both = quality.cascade(docs).select("doc_id", "kept").exceptAll(quality.judge(docs).select("doc_id", "kept"))
+    assert both.count() == 0 and quality.judge(docs.limit(0)).count() == 0
+
+
+def test_estimate_tells_costs_apart(spark):
+    docs = spark.createDataFrame([(i, "some words and more of them " * 200) for i in range(200)], "doc_id long, text string")
+    cheap = quality.Rule("cheap", lambda g: F.char_length(g.text) > 10)
+    dear = quality.Rule("dear", lambda g: g.count(r"\p{L}") > 10)
+    (_, a, x), (_, b, y) = quality.estimate(docs, (dear, cheap))
+    assert a > 2 * b and x == y == 1.0
+
+
+def test_sample_takes_a_bounded_number_of_rows(spark):
+    docs = spark.range(100_000, numPartitions=50).select(F.col("id").cast("string").alias("text"))
+    some = quality.first_rows(docs, 500)
+    assert some.count() == 500 and some.rdd.getNumPartitions() == 1
+    assert "Exchange" not in some._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules_ordered_by_rejection_per_cost():
     a, b, c = (quality.Rule(n, lambda t: F.lit(True)) for n in "abc")
     assert [r.name for r in quality.order_rules([(a, 1.0, 0.1), (b, 0.1, 0.1), (c, 1.0, 0.5)])] == ["b", "c", "a"]
