@@ -54,13 +54,16 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def normalize(text: Column, compose: bool = False) -> Column:
-    """Line ends to LF, blanks and no-break spaces to one space, at most one empty line, stripped.
+def normalize(text: Column, compose: bool = True) -> Column:
+    """NFC, line ends to LF, blanks and no-break spaces to one space, at most one empty line, stripped.
 
-    ``compose`` first brings the text to NFC; Spark has no built-in for it, so it is an Arrow
-    function, to be asked for where texts hold combining marks.
+    Spark has no built-in for NFC: it is an Arrow function, which gets only texts with characters outside
+    the blocks that NFC leaves alone, and null for all others.
     """
-    t = F.when(F.rlike(text, F.lit(r"[\x{0300}-\x{036F}]")), _nfc(text)).otherwise(text) if compose else text
+    t = text
+    if compose:
+        odd = F.rlike(text, F.lit(r"[^\x{0000}-\x{02FF}\x{1E00}-\x{1EFF}\x{2002}-\x{2125}]"))
+        t = F.coalesce(_nfc(F.when(odd, text)), text)
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.regexp_replace(t, "[ \\t\u00a0]+", " ")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))

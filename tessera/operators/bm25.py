@@ -1,7 +1,7 @@
 """BM25 rankings, a batch of queries at a time.
 
-All rankings start from the query tokens: postings are cut to those by a semi join before
-anything is grouped, so a token that most rows hold costs only if a query asks for it.
+All rankings read an index (see ``index``) and start from the query tokens: postings are cut to those by a semi join
+before anything is grouped, so a token that most rows hold costs only if a query asks for it.
 """
 
 from __future__ import annotations
@@ -13,31 +13,53 @@ from pyspark.sql import functions as F
 
 from tessera.config import LEGAL, Profile
 from tessera.functions.text import asks_year, query_tokens, strip_marks, tokens, without_stop
-from tessera.operators.index import frequencies, lengths, postings, stats, text_bigrams
+from tessera.operators.index import Index, stats
 
 K1, B = 1.2, 0.75
 
 
-def score(u: DataFrame, posts: DataFrame, terms: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """qid, ref, hits (distinct terms found), score (negative: better is less) for ``terms`` (qid, tok, times).
-
-    ``posts`` holds tokens or bigrams of the units ``u``; field weights scale the occurrences.
-    """
+def _weighted(weights: Mapping[str, float] | None) -> Column:
     w = F.lit(1.0)
     for name, value in (weights or {}).items():
         w = F.when(F.col("field") == name, F.lit(float(value))).otherwise(w)
-    wanted = terms.select("tok").distinct()
-    posts = posts.filter("ref is not null and tok is not null")
-    tf = posts.join(wanted, "tok", "left_semi").groupBy("ref", "tok").agg(F.sum(w).alias("f"))
-    df = tf.groupBy("tok").agg(F.count("f").alias("df"))
-    length = lengths(u)
+    return F.sum(w * F.col("n")).alias("f")
+
+
+def _part(ix: Index, rows: DataFrame) -> DataFrame:
+    """``rows`` (ref, f, df, ..) with ``part``: what a token adds to a unit's score."""
     # One row of statistics beside every posting: a broadcast of one row.
-    s = tf.join(df, "tok").join(length, "ref").crossJoin(F.broadcast(stats(length)))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = rows.join(ix.lengths, "ref").crossJoin(F.broadcast(stats(ix.lengths).withColumnRenamed("n", "units")))
+    idf = F.log((F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    s = s.select("ref", "tok", part.alias("part"))
-    return terms.join(s, "tok").groupBy("qid", "ref").agg(F.count("*").alias("hits"), (-F.sum(F.col("part") * F.col("times"))).alias("score"))
+    return s.withColumn("part", idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))).drop("units", "avgdl", "len")
+
+
+def _summed() -> Column:
+    return (-F.sum(F.col("part") * F.col("times"))).alias("score")
+
+
+def score(ix: Index, terms: DataFrame, weights: Mapping[str, float] | None = None, pairs: bool = False) -> DataFrame:
+    """qid, ref, hits (distinct terms found), score (negative: better is less) of all units with any of ``terms`` (qid, tok, times).
+
+    The terms are words or, with ``pairs``, pairs of words; field weights scale the occurrences.
+    """
+    wanted = terms.select("tok").distinct()
+    tf = (ix.pairs if pairs else ix.words).join(wanted, "tok", "left_semi").groupBy("ref", "tok").agg(_weighted(weights))
+    df = tf.groupBy("tok").agg(F.count("f").alias("df")) if pairs else ix.frequencies
+    parts = _part(ix, tf.join(df, "tok")).select("ref", "tok", "part")
+    return terms.join(parts, "tok").groupBy("qid", "ref").agg(F.count("*").alias("hits"), _summed())
+
+
+def score_all(ix: Index, terms: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """The same of the units that hold every one of a query's ``terms`` (qid, n, tok, times). Each query starts from the units of
+    its rarest token; of the other tokens' postings only those of these units are kept, before anything is grouped."""
+    known = terms.withColumnRenamed("n", "m").join(ix.frequencies, "tok")
+    least = known.groupBy("qid", "m").agg(F.count("*").alias("known"), F.min(F.struct("df", "tok")).alias("least")).filter("known = m")
+    likely = least.select("qid", F.col("least.tok").alias("tok")).join(ix.words.select("tok", "ref"), "tok").select("qid", "ref").distinct()
+    pairs = likely.join(known, "qid").join(ix.words, ["tok", "ref"])
+    # A row per (query, unit, term) from a row per field.
+    f = pairs.groupBy("qid", "ref", "tok", "m", "times", "df").agg(_weighted(weights))
+    return _part(ix, f).groupBy("qid", "ref", "m").agg(F.count("*").alias("hits"), _summed()).filter("hits = m").drop("m")
 
 
 def rank(scored: DataFrame, limit: int, *before: Column) -> DataFrame:
@@ -73,26 +95,19 @@ def phrases(queries: DataFrame, df: DataFrame, profile: Profile = LEGAL) -> Data
     return p.withColumn("r", r).filter(F.col("r") <= profile.phrases).select("qid", "i", "a", "b", "min_df", "r")
 
 
-def asked_frequencies(posts: DataFrame, queries: DataFrame, profile: Profile = LEGAL) -> DataFrame:
-    """Document frequencies of the tokens that the queries hold, and of no others."""
-    asked = or_terms(queries, profile).select("tok").distinct()
-    return frequencies(posts.join(asked, "tok", "left_semi"))
-
-
 def phrase_terms(queries: DataFrame, df: DataFrame, profile: Profile = LEGAL) -> DataFrame:
     """Phrases as terms over bigrams; a phrase that the query repeats counts each time."""
     p = phrases(queries, df, profile)
     return p.groupBy("qid", F.concat_ws(" ", "a", "b").alias("tok")).agg(F.count("*").alias("times"))
 
 
-def cascade(u: DataFrame, queries: DataFrame, limit: int, weights: Mapping[str, float] | None = None, profile: Profile = LEGAL, df: DataFrame | None = None) -> DataFrame:
+def cascade(ix: Index, queries: DataFrame, limit: int, weights: Mapping[str, float] | None = None, profile: Profile = LEGAL) -> DataFrame:
     """Rows with all tokens first; where they do not fill the limit, rows with a rare phrase after
-    them. qid, ref, stage, score, pos."""
-    posts = postings(u)
-    every = and_terms(queries, profile)
-    full = score(u, posts, every, weights).join(every.select("qid", "n").distinct(), "qid").filter("hits = n")
-    some = score(u, text_bigrams(u), phrase_terms(queries, asked_frequencies(posts, queries, profile) if df is None else df, profile), weights)
-    both = full.select("qid", "ref", F.lit(1).alias("stage"), "score").unionByName(some.select("qid", "ref", F.lit(2).alias("stage"), "score"))
+    them: only queries that the first stage left short are asked by phrase. qid, ref, stage, score, pos."""
+    full = rank(score_all(ix, and_terms(queries, profile), weights), limit).select("qid", "ref", F.lit(1).alias("stage"), "score")
+    short = queries.join(full.groupBy("qid").agg(F.count("*").alias("__n")).filter(F.col("__n") >= limit), "qid", "left_anti")
+    some = score(ix, phrase_terms(short, ix.frequencies, profile), weights, pairs=True)
+    both = full.unionByName(some.select("qid", "ref", F.lit(2).alias("stage"), "score"))
     first = both.groupBy("qid", "ref").agg(F.min_by(F.struct("stage", "score"), "stage").alias("s")).select("qid", "ref", "s.*")
     return rank(first, limit, F.col("stage"))
 

@@ -80,8 +80,9 @@ def extract_title(preamble: Column) -> Column:
     half = F.array(*[F.lit(w) for w in HALF_WORDS])
     wrapped = F.coalesce(F.array_contains(half, F.upper(F.get(after, F.lit(0)))), F.lit(False))
     after = F.when(wrapped, F.slice(after, 2, F.greatest(F.size(after), F.lit(1)))).otherwise(after)
-    dated = F.split(seg, DATE_LINE, -1)
-    body = F.when(at.isNotNull(), F.array_join(after, " ")).otherwise(F.element_at(dated, -1))
+    # After the first date line; the whole segment if there is none.
+    dated = F.element_at(F.split(seg, DATE_LINE, 2), -1)
+    body = F.when(at.isNotNull(), F.array_join(after, " ")).otherwise(dated)
     title = F.regexp_replace(squeeze(body), r"(?U)^[-–—:.\s]+", "")
     low = F.lower(title)
     bad = (F.char_length(title) < 6) | (F.char_length(title) > 400)
@@ -105,6 +106,33 @@ def infer_year(number: Column, issue_date: Column, current: Column) -> Column:
     return F.coalesce(F.nullif(current.cast("int"), F.lit(0)), year(number, r"^[0-9]+[a-zA-Z]?/((?:19|20)[0-9]{2})/"), year(issue_date, r"(?U)\b((?:19|20)[0-9]{2})\b"))
 
 
+def enrich(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, title_vi, number_vi, year of the documents (id, doc_number, doc_type, year, issue_date, has_text) with text, from
+    their first chunk (doc_id, seq 0, text); what is not found is null."""
+    first = chunks.filter("seq = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("__pre"))
+    rows = docs.filter("has_text = 1").join(first, "id")
+    pre = F.col("__pre")
+    number = clean_number(F.col("doc_number"), pre)
+    return rows.select(
+        "id", F.nullif(full_title(F.col("doc_type"), extract_title(pre)), F.lit("")).alias("title_vi"), F.nullif(number, F.lit("")).alias("number_vi"),
+        infer_year(number, F.col("issue_date"), F.col("year")).alias("year"),
+    )
+
+
+def enriched(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``enrich``: titles and numbers as found, years replaced, all by key."""
+    for c in ("title_vi", "number_vi"):
+        if c not in docs.columns:
+            docs = docs.withColumn(c, F.lit(None).cast("string"))
+    return keyed_update(docs, changes, "id", ["title_vi", "number_vi", "year"])
+
+
+def coverage(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: documents worked on, titles extracted, years filled in that were missing."""
+    both = changes.join(docs.select("id", F.col("year").alias("__old")), "id")
+    return both.agg(F.count("*").alias("docs"), F.count("title_vi").alias("titles"), F.count_if(F.col("year").isNotNull() & F.col("__old").isNull()).alias("years"))
+
+
 def keyed_update(docs: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """``docs`` with ``cols`` taken from ``changes`` (one row per key) where it has the key, nulls included."""
     new = changes.select(F.col(key).alias("__k"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in cols])

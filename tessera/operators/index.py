@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.runtime import remove, spread
 
 
 def units(df: DataFrame, ref: str, fields: list[str]) -> DataFrame:
@@ -18,14 +20,23 @@ def units(df: DataFrame, ref: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(ref).alias("ref"), F.explode(cells).alias("c")).select("ref", "c.field", "c.text")
 
 
+def tokenised(u: DataFrame) -> DataFrame:
+    """ref, field, t: the tokens of each unit, in order; what all else is derived from."""
+    return u.select("ref", "field", tokens(F.col("text")).alias("t"))
+
+
 def postings(u: DataFrame) -> DataFrame:
     """ref, field, pos, tok."""
-    return u.select("ref", "field", F.posexplode(tokens(F.col("text"))).alias("pos", "tok"))
+    return tokenised(u).select("ref", "field", F.posexplode("t").alias("pos", "tok"))
 
 
 def lengths(u: DataFrame) -> DataFrame:
     """ref, len: tokens of all fields."""
-    return u.groupBy("ref").agg(F.sum(F.size(tokens(F.col("text")))).alias("len"))
+    return _lengths(tokenised(u))
+
+
+def _lengths(told: DataFrame) -> DataFrame:
+    return told.groupBy("ref").agg(F.sum(F.size("t")).alias("len"))
 
 
 def stats(length: DataFrame) -> DataFrame:
@@ -48,11 +59,59 @@ def bigrams(posts: DataFrame) -> DataFrame:
     return posts.withColumn("nxt", nxt).filter("nxt is not null").select("ref", "field", "pos", F.concat_ws(" ", "tok", "nxt").alias("tok"))
 
 
-def text_bigrams(u: DataFrame) -> DataFrame:
-    """The same from texts, within the row: no shuffle."""
+def _pairs(told: DataFrame) -> DataFrame:
     t = F.col("t")
     pairs = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(t, i + 1)))
-    return u.select("ref", "field", tokens(F.col("text")).alias("t")).select("ref", "field", F.posexplode(pairs).alias("pos", "tok"))
+    return told.select("ref", "field", F.posexplode(pairs).alias("pos", "tok"))
+
+
+def text_bigrams(u: DataFrame) -> DataFrame:
+    """The same from texts, within the row: no shuffle."""
+    return _pairs(tokenised(u))
+
+
+@dataclass(frozen=True)
+class Index:
+    """What rankings read: ``words`` and ``pairs`` (tok, ref, field, n: how often), ``lengths`` (ref, len), ``frequencies`` (tok, df)."""
+
+    words: DataFrame
+    pairs: DataFrame
+    lengths: DataFrame
+    frequencies: DataFrame
+
+
+def _counted(posts: DataFrame) -> DataFrame:
+    return posts.filter("ref is not null and tok is not null").groupBy("tok", "ref", "field").agg(F.count("*").alias("n"))
+
+
+def _index(told: DataFrame) -> Index:
+    words = _counted(told.select("ref", "field", F.explode("t").alias("tok")))
+    return Index(words, _counted(_pairs(told)), _lengths(told), frequencies(words))
+
+
+def of(u: DataFrame) -> Index:
+    """The index of ``u`` as relations yet to be worked out: for units that are ranked once."""
+    return _index(tokenised(u))
+
+
+#: Parts over which the rows of one token are dealt, so that a token of nearly all units is no single task.
+SALTS = 8
+
+
+def build(u: DataFrame, path: str) -> Index:
+    """Writes the index of ``u`` under ``path`` and reads it back. Every text is tokenised once; words and pairs lie by
+    token (sorted within files, so that a token's rows are skipped to). A rebuild replaces it."""
+    spark = u.sparkSession
+    names = ("words", "pairs", "lengths", "frequencies")
+    tokenised(spread(u)).write.mode("overwrite").parquet(f"{path}/tokens")
+    made = _index(spark.read.parquet(f"{path}/tokens"))
+    for name in ("words", "pairs"):
+        rows = getattr(made, name).repartition("tok", F.pmod(F.xxhash64("ref"), F.lit(SALTS))).sortWithinPartitions("tok", "ref")
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    frequencies(spark.read.parquet(f"{path}/words")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    remove(spark, f"{path}/tokens")
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in names])
 
 
 def cell_count(n: int, least: int = 64, most: int = 4096) -> int:
@@ -88,14 +147,3 @@ def ann(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", leas
     """(vectors with ``cell``, centroids) with the square root of the rows as cells, or None below ``least`` rows."""
     n = vectors.count()
     return None if n < least else vector_cells(vectors, cell_count(n), key, vector)
-
-
-def build(u: DataFrame, path: str) -> dict[str, DataFrame]:
-    """Writes the index of ``u`` under ``path`` and reads it back: postings (sorted by token within
-    files, so that a token's rows are skipped to), frequencies, lengths. A rebuild replaces it."""
-    spark = u.sparkSession
-    relations = {"postings": postings(u).repartition("tok").sortWithinPartitions("tok", "ref", "pos"), "lengths": lengths(u)}
-    for name, df in relations.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    frequencies(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies", "lengths")}

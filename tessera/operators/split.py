@@ -6,33 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import LEGAL, Profile
+from tessera.functions.arrays import let, offsets
 from tessera.functions.text import normalize, strip
 
 
 def truncate_tail(text: Column, profile: Profile = LEGAL) -> Column:
     """Cuts at the first annex line if it stands late in the text, then at the length limit."""
     if profile.annex:
-        at = F.regexp_instr(text, F.lit(f"(?md)^{profile.annex}")) - 1
+        before = F.regexp_extract(text, rf"(?mds)\A(.*?)(?=^{profile.annex})", 1)
+        at = F.when(F.rlike(text, F.lit(f"(?md)^{profile.annex}")), F.char_length(before)).otherwise(F.lit(0))
         late = (at > profile.annex_after) & (at > 0.4 * F.char_length(text))
-        text = F.when(late, F.substr(text, F.lit(1), at)).otherwise(text)
+        text = F.when(late, before).otherwise(text)
     return F.substring(text, 1, profile.doc_chars)
 
 
 def boundaries(text: Column, pattern: str) -> Column:
     """Offsets at which ``pattern`` (given with its anchor) matches, 0 excluded."""
-    pieces = F.split(text, f"(?md)(?={pattern})", -1)
-    sizes = F.transform(pieces, lambda p: F.char_length(p))
-    run = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["all"], a["at"] + n).alias("all")),
-    )["all"]
-    return F.filter(F.slice(run, 1, F.greatest(F.size(run) - 1, F.lit(0))), lambda x: x > 0)
+    at = offsets(F.transform(F.split(text, f"(?md)(?={pattern})", -1), lambda p: F.char_length(p)))
+    return F.filter(at, lambda x: x > 0)
+
+
+def _line_starts(text: Column) -> Column:
+    """Offsets of the line feeds, 0 excluded: a part begins with the line feed that ends the one before."""
+    at = offsets(F.transform(F.split(text, "\n", -1), lambda p: F.char_length(p) + 1))
+    return F.filter(F.transform(at, lambda x: x - 1), lambda x: x > 0)
 
 
 def greedy_cuts(n: Column, bounds: Column, limit: int) -> Column:
     """Starts of the parts: each part goes to the farthest boundary within ``limit`` of its
-    start; where there is none it is cut hard at ``limit``."""
+    start; where there is none it is cut hard at ``limit``. Only a cut touches the list of cuts."""
     start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("last"), F.array(F.lit(0)).alias("cuts"))
 
     def step(a: Column, b: Column) -> Column:
@@ -40,41 +42,32 @@ def greedy_cuts(n: Column, bounds: Column, limit: int) -> Column:
         begin = F.when(far, a["last"]).otherwise(a["start"])
         cuts = F.when(far, F.array_append(a["cuts"], a["last"])).otherwise(a["cuts"])
         more = F.greatest(F.ceil((b - begin) / limit).cast("int") - 1, F.lit(0))
-        hard = F.when(more > 0, F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: (begin + k * limit).cast("int")))
-        return F.struct(
-            (begin + more * limit).cast("int").alias("start"),
-            b.cast("int").alias("last"),
-            F.concat(cuts, F.coalesce(hard, F.array().cast("array<int>"))).alias("cuts"),
-        )
+        hard = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: (begin + k * limit).cast("int"))
+        past = F.struct((begin + more * limit).cast("int").alias("start"), b.cast("int").alias("last"), F.when(more > 0, F.concat(cuts, hard)).otherwise(cuts).alias("cuts"))
+        on = F.struct(a["start"].alias("start"), b.cast("int").alias("last"), a["cuts"].alias("cuts"))
+        return F.when(b - a["start"] <= limit, on).otherwise(past)
 
     return F.aggregate(F.array_append(bounds, n), start, step)["cuts"]
 
 
 def split_long(text: Column, limit: int, clause: str | None) -> Column:
     """Parts of a text of at most ``limit`` characters; blank ones are dropped."""
-    n = F.char_length(text)
-    lines = F.filter(F.transform(_line_starts(text), lambda x: x), lambda x: x > 0)
-    bounds = lines
-    if clause:
-        at = boundaries(text, f"^{clause}")
-        first_ok = (F.size(at) > 0) & (F.coalesce(F.get(at, F.lit(0)), F.lit(0)) <= limit)
-        bounds = F.when(first_ok, at).otherwise(lines)
-    cuts = greedy_cuts(n, bounds, limit)
-    ends = F.concat(F.slice(cuts, 2, F.greatest(F.size(cuts), F.lit(1))), F.array(n))
-    parts = F.zip_with(cuts, ends, lambda s, e: F.substr(text, s + 1, e - s))
-    parts = F.filter(parts, lambda p: strip(p) != "")
-    return F.when(n <= limit, F.array(text)).otherwise(parts)
 
+    def cut(t: Column) -> Column:
+        n = F.char_length(t)
+        if clause:
+            first = lambda at: (F.size(at) > 0) & (F.coalesce(F.get(at, F.lit(0)), F.lit(0)) <= limit)
+            bounds = let(boundaries(t, f"^{clause}"), lambda at: F.when(first(at), at).otherwise(_line_starts(t)))
+        else:
+            bounds = _line_starts(t)
 
-def _line_starts(text: Column) -> Column:
-    """Offsets of the line feeds: a part begins with the line feed that ends the one before."""
-    sizes = F.transform(F.split(text, "\n", -1), lambda p: F.char_length(p))
-    run = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, n: F.struct((a["at"] + n + 1).alias("at"), F.array_append(a["all"], a["at"] + n).alias("all")),
-    )["all"]
-    return F.slice(run, 1, F.greatest(F.size(run) - 1, F.lit(0)))
+        def parts(cuts: Column) -> Column:
+            ends = F.concat(F.slice(cuts, 2, F.greatest(F.size(cuts), F.lit(1))), F.array(n))
+            return F.filter(F.zip_with(cuts, ends, lambda s, e: F.substr(t, s + 1, e - s)), lambda p: strip(p) != "")
+
+        return let(greedy_cuts(n, bounds, limit), parts)
+
+    return F.when(F.char_length(text) <= limit, F.array(text)).otherwise(let(text, cut))
 
 
 def books(articles: DataFrame, doc: str = "doc_id", order: str = "piece", number: str = "no") -> DataFrame:
@@ -93,13 +86,13 @@ def books(articles: DataFrame, doc: str = "doc_id", order: str = "piece", number
 
 
 def pieces(docs: DataFrame, profile: Profile = LEGAL, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, body, no (article number, null: preamble), chapter (nearest above) per piece of the normalized text."""
+    """doc_id, piece, body, no (article number, null: preamble), chapter (nearest above), pieces (of the document) per piece of the normalized text."""
     t = truncate_tail(normalize(F.coalesce(F.col(text), F.lit(""))), profile)
     rows = docs.select(F.col(doc).alias("doc_id"), t.alias("t")).filter(F.char_length("t") >= profile.least_chars)
     if not profile.article:
-        return rows.select("doc_id", F.lit(0).alias("piece"), F.col("t").alias("body"), F.lit("").alias("no"), F.lit("").alias("chapter"))
+        return rows.select("doc_id", F.lit(0).alias("piece"), F.col("t").alias("body"), F.lit("").alias("no"), F.lit("").alias("chapter"), F.lit(1).alias("pieces"))
     cut = F.split("t", f"(?md)(?=^{profile.article})", -1)
-    rows = rows.select("doc_id", F.posexplode(cut).alias("piece", "body"))
+    rows = rows.select("doc_id", cut.alias("cut")).select("doc_id", F.size("cut").alias("pieces"), F.posexplode("cut").alias("piece", "body"))
     rows = rows.withColumn("no", F.nullif(F.regexp_extract("body", f"(?md)\\A{profile.article}", 1), F.lit("")))
     own = F.regexp_extract_all("body", F.lit(f"(?md)^({profile.chapter})"), F.lit(1))
     rows = rows.withColumn("__own", F.try_element_at(own, F.lit(-1)))
@@ -116,9 +109,10 @@ def split_documents(docs: DataFrame, profile: Profile = LEGAL, doc: str = "doc_i
     """
     p = pieces(docs, profile, doc, text).withColumn("body", strip("body"))
     if profile.article:
-        alone = F.max(F.col("no").isNotNull()).over(Window.partitionBy("doc_id"))
-        pre = p.withColumn("__any", alone).filter("no is null and piece = 0")
-        pre = pre.withColumn("body", strip(F.substring("body", 1, profile.preamble_chars))).filter(F.char_length("body") >= profile.least_chars)
+        # Before articles it is stripped, then cut; of a text without articles the beginning is cut, then stripped.
+        head = F.substring("body", 1, profile.preamble_chars)
+        pre = p.filter("no is null and piece = 0").filter(F.char_length("body") >= profile.least_chars)
+        pre = pre.withColumn("body", F.when(F.col("pieces") > 1, head).otherwise(strip(head))).filter((F.col("pieces") > 1) | (F.char_length("body") >= profile.least_chars))
         pre = pre.select("doc_id", F.lit(-1).alias("piece"), F.lit(0).alias("book"), F.lit("").alias("chapter"), F.lit("").alias("no"), F.lit("").alias("title"), "body")
         art = p.filter("no is not null").withColumn("n", F.regexp_extract("no", r"^(\d+)", 1).cast("long"))
         art = books(art, number="n").filter(F.char_length("body") >= profile.least_chars)
@@ -129,7 +123,7 @@ def split_documents(docs: DataFrame, profile: Profile = LEGAL, doc: str = "doc_i
     else:
         rows = p.select("doc_id", "piece", F.lit(0).alias("book"), "chapter", "no", F.lit("").alias("title"), "body").withColumn("parts", split_long(F.col("body"), profile.chunk_chars, None))
     rows = rows.withColumn("n_parts", F.size("parts")).select("doc_id", "piece", "book", "chapter", "no", "title", "n_parts", F.posexplode("parts").alias("part", "text"))
-    rows = rows.withColumn("text", strip("text")).filter((F.col("n_parts") == 1) | (F.char_length("text") >= profile.least_chars))
+    rows = rows.withColumn("text", F.when(F.col("piece") < 0, F.col("text")).otherwise(strip("text"))).filter((F.col("n_parts") == 1) | (F.char_length("text") >= profile.least_chars))
     if profile.article:
         rows = rows.withColumn("text", F.when((F.col("part") > 0) & (F.col("title") != ""), F.concat(F.lit(profile.continued), "title", F.lit("\n"), "text")).otherwise(F.col("text")))
     rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("piece", "part")) - 1)

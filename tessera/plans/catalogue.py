@@ -12,7 +12,7 @@ from tessera.functions import text as tx
 from tessera.operators import bm25, context, enrich, evaluate, fuse, index, rerank, serve, split, vector
 from tessera.plans import retrieval
 from tessera.plans import sqltext as s
-from tessera.runtime import scratch, table
+from tessera.runtime import scratch, spread, table
 from tessera.sources import store
 from tessera.sources import tables as src
 
@@ -49,14 +49,12 @@ def _r(c: str, digits: int = 6):
 
 @query(s.with_(s.BODIES, s.index("bodies")) + "SELECT tok AS term, df FROM bodies_df WHERE df > 20")
 def token_document_frequency(spark, sf):
-    df = index.frequent(index.postings(src.bodies(spark, sf)), 20)
-    return df.select(F.col("tok").alias("term"), "df")
+    return src.indexed(spark, sf, "bodies").frequencies.filter("df > 20").select(F.col("tok").alias("term"), "df")
 
 
 @query(s.with_(s.BODIES, s.index("bodies")) + "SELECT n, round(avgdl, 6) AS avgdl, (SELECT sum(len)::BIGINT FROM bodies_len) AS total FROM bodies_st")
 def doc_length_stats(spark, sf):
-    length = index.lengths(src.bodies(spark, sf))
-    return length.agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("avgdl"), F.sum("len").alias("total"))
+    return src.indexed(spark, sf, "bodies").lengths.agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("avgdl"), F.sum("len").alias("total"))
 
 
 @query(
@@ -84,8 +82,8 @@ _RANKED = "qid, ref, pos::INT AS pos, round(score, 6) AS score"
 
 @query(s.with_(s.BODIES, s.index("bodies"), s.QUERIES, s.OR_TERMS, s.score("r", "bodies", "bodies_p", "or_terms")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
 def bm25_or_topk(spark, sf):
-    u, q = src.bodies(spark, sf), src.questions(spark, sf)
-    return bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q)), 10).select("qid", "ref", "pos", _r("score"))
+    ix, q = src.indexed(spark, sf, "bodies"), src.questions(spark, sf)
+    return bm25.rank(bm25.score(ix, bm25.or_terms(q)), 10).select("qid", "ref", "pos", _r("score"))
 
 
 @query(
@@ -94,10 +92,8 @@ def bm25_or_topk(spark, sf):
     + f"SELECT {_RANKED} FROM ({s.top('m', 10)})"
 )
 def bm25_and_topk(spark, sf):
-    u, q = src.bodies(spark, sf), src.questions(spark, sf)
-    t = bm25.and_terms(q, GENERIC)
-    full = bm25.score(u, index.postings(u), t).join(t.select("qid", "n").distinct(), "qid").filter("hits = n")
-    return bm25.rank(full, 10).select("qid", "ref", "pos", _r("score"))
+    ix, q = src.indexed(spark, sf, "bodies"), src.questions(spark, sf)
+    return bm25.rank(bm25.score_all(ix, bm25.and_terms(q, GENERIC)), 10).select("qid", "ref", "pos", _r("score"))
 
 
 @query(
@@ -105,40 +101,39 @@ def bm25_and_topk(spark, sf):
     + f"SELECT {_RANKED} FROM ({s.top('r', 10)})"
 )
 def bm25_weighted_fields(spark, sf):
-    u, q = index.units(src.qa(spark, sf), "ref", ["question", "answer"]), src.questions(spark, sf)
-    return bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q), GENERIC.qa_weights), 10).select("qid", "ref", "pos", _r("score"))
+    ix, q = src.indexed(spark, sf, "qa"), src.questions(spark, sf)
+    return bm25.rank(bm25.score(ix, bm25.or_terms(q), GENERIC.qa_weights), 10).select("qid", "ref", "pos", _r("score"))
 
 
 @query(
     s.with_(s.TERMS, s.units("u", "terms", "ref", {"term": 5.0, "definition": 1.0}), s.index("u"),
-            "queries AS (SELECT p_partkey AS qid, p_name || ' ' || p_brand AS text FROM part WHERE p_size = 7)", s.OR_TERMS, s.score("r", "u", "u_p", "or_terms"))
+            "queries AS (SELECT p_partkey AS qid, p_name || ' ' || p_brand AS text FROM part WHERE p_partkey % 100 = 0)", s.OR_TERMS, s.score("r", "u", "u_p", "or_terms"))
     + f"SELECT {_RANKED} FROM ({s.top('r', 15)})"
 )
 def bm25_terms_topk(spark, sf):
-    u = index.units(src.terms(spark, sf), "ref", ["term", "definition"])
-    q = table(spark, sf, "part").filter("p_size = 7").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
-    return bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q), GENERIC.term_weights), 15).select("qid", "ref", "pos", _r("score"))
+    ix = src.indexed(spark, sf, "terms")
+    q = table(spark, sf, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    return bm25.rank(bm25.score(ix, bm25.or_terms(q), GENERIC.term_weights), 15).select("qid", "ref", "pos", _r("score"))
 
 
 @query(s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.whole("bodies"), s.score("r", "bodies", "bodies_b", "bodies_pt")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
 def bm25_phrase_topk(spark, sf):
-    u, q = src.bodies(spark, sf), src.questions(spark, sf)
-    t = bm25.phrase_terms(q, bm25.asked_frequencies(index.postings(u), q, GENERIC), GENERIC)
-    return bm25.rank(bm25.score(u, index.text_bigrams(u), t), 10).select("qid", "ref", "pos", _r("score"))
+    ix, q = src.indexed(spark, sf, "bodies"), src.questions(spark, sf)
+    return bm25.rank(bm25.score(ix, bm25.phrase_terms(q, ix.frequencies, GENERIC), pairs=True), 10).select("qid", "ref", "pos", _r("score"))
 
 
 @query(
-    s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40))
+    s.with_(s.DOCS, s.BODIES, s.TITLE_QUERIES, s.FILTERED, s.AND_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40))
     + "SELECT qid, ref, stage, pos::INT AS pos, round(score, 6) AS score FROM c"
 )
 def bm25_cascade(spark, sf):
-    return bm25.cascade(src.bodies(spark, sf), src.questions(spark, sf), 40, None, GENERIC).select("qid", "ref", "stage", "pos", _r("score"))
+    return bm25.cascade(src.indexed(spark, sf, "bodies"), src.title_questions(spark, sf), 40, None, GENERIC).select("qid", "ref", "stage", "pos", _r("score"))
 
 
 @query(s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.index("bodies"), s.phrases("bodies")) + "SELECT qid, i, a, b, min_df, r::INT AS r FROM bodies_ph")
 def rare_phrase_selection(spark, sf):
     q = src.questions(spark, sf)
-    return bm25.phrases(q, bm25.asked_frequencies(index.postings(src.bodies(spark, sf)), q, GENERIC), GENERIC)
+    return bm25.phrases(q, src.indexed(spark, sf, "bodies").frequencies, GENERIC)
 
 
 @query(s.with_(s.QUERIES, s.FILTERED) + "SELECT qid, array_to_string(t, ' ') AS toks, len(t)::INT AS n FROM filtered")
@@ -153,29 +148,28 @@ def query_token_cap_24(spark, sf):
     return src.questions(spark, sf).select("qid", F.array_join(tx.query_tokens(F.col("text")), " ").alias("toks"))
 
 
-_DOC_W = {"title": 1.0, "issuer": 1.0, "doc_type": 4.0}
+_DOC_W = {f: GENERIC.doc_weights[f] for f in src.DOC_FIELDS}
 
 
 @query(
-    s.with_(s.DOCS, s.units("u", "docs", "id", _DOC_W), s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("u"), s.cascade("c", "u", 60), s.doc_rank("r", "c", 15))
+    s.with_(s.DOCS, s.units("u", "docs", "id", _DOC_W), s.TITLE_QUERIES, s.FILTERED, s.AND_TERMS, s.whole("u"), s.cascade("c", "u", 60), s.doc_rank("r", "c", 15))
     + "SELECT qid, ref, pos::INT AS pos, round(final, 6) AS final FROM r"
 )
 def docs_boosted_ranking(spark, sf):
-    d, q = src.docs(spark, sf), src.questions(spark, sf)
-    few = bm25.cascade(index.units(d, "id", ["title", "issuer", "doc_type"]), q, 60, GENERIC.doc_weights, GENERIC)
-    info = d.select(F.col("id").alias("ref"), "doc_type", "year", "expired", "title", "tier")
-    return bm25.rank_docs(few, info, q, 15).select("qid", "ref", "pos", _r("final"))
+    q = src.title_questions(spark, sf)
+    few = bm25.cascade(src.indexed(spark, sf, "documents"), q, 60, GENERIC.doc_weights, GENERIC)
+    return bm25.rank_docs(few, retrieval._info(src.docs(spark, sf)), q, 15).select("qid", "ref", "pos", _r("final"))
 
 
 # Vectors
 
 _COS = "1 - list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 _EXACT = f"""x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS pos FROM
-  (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS dist FROM embeddings a, embeddings q WHERE q.vec_id < 5))"""
+  (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS dist FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0))"""
 
 
 def _asked(spark, sf):
-    return table(spark, sf, "embeddings").filter("vec_id < 5")
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0")
 
 
 @query(s.with_(_EXACT) + "SELECT query_id, vec_id, pos::INT AS pos, round(dist, 6) + 0.0 AS dist FROM x WHERE pos <= 40")
@@ -221,6 +215,13 @@ def ivf_topk(spark, sf):
     return vector.cells_top(celled, centres, asked, 10, vector.probes_for(celled, centres, 10)).select("query_id", "vec_id", "pos", _r("dist"))
 
 
+@query()
+def pq_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    coded, books = index.product_codes(v, 16, 32)
+    return vector.product_top(coded, books, v.filter("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "pos", _r("dist"))
+
+
 @query()
 def pq_codes(spark, sf):
     coded, _ = index.product_codes(table(spark, sf, "embeddings"), 8, 16)
@@ -236,7 +237,7 @@ def encoded_questions(spark, sf):
 # Fusion
 
 _TWO = s.with_(
-    s.BODIES, s.DOCS, s.units("u", "docs", "id", _DOC_W), s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40),
+    s.BODIES, s.DOCS, s.units("u", "docs", "id", _DOC_W), s.TITLE_QUERIES, s.FILTERED, s.AND_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40),
     s.whole("u"), s.cascade("e", "u", 60), s.doc_rank("d", "e", 15),
     "lists AS (SELECT qid, 1 AS list_no, pos, ref, 'body' AS source FROM c UNION ALL SELECT qid, 2, pos, ref, 'title' FROM d)",
     """f AS (SELECT qid, ref, sum(1.0 / (60 + pos)) AS score, array_to_string(list_distinct(list(source ORDER BY list_no, pos)), ',') AS s0,
@@ -245,10 +246,10 @@ _TWO = s.with_(
 
 
 def _two(spark, sf):
-    d, q = src.docs(spark, sf), src.questions(spark, sf)
-    body = bm25.cascade(src.bodies(spark, sf), q, 40, None, GENERIC)
-    few = bm25.cascade(index.units(d, "id", ["title", "issuer", "doc_type"]), q, 60, GENERIC.doc_weights, GENERIC)
-    title = bm25.rank_docs(few, d.select(F.col("id").alias("ref"), "doc_type", "year", "expired", "title", "tier"), q, 15)
+    q = src.title_questions(spark, sf)
+    body = bm25.cascade(src.indexed(spark, sf, "bodies"), q, 40, None, GENERIC)
+    few = bm25.cascade(src.indexed(spark, sf, "documents"), q, 60, GENERIC.doc_weights, GENERIC)
+    title = bm25.rank_docs(few, retrieval._info(src.docs(spark, sf)), q, 15)
     return retrieval.named(body, 1, "doc", "body").unionByName(retrieval.named(title, 2, "doc", "title"))
 
 
@@ -262,7 +263,7 @@ def rrf_sources_union(spark, sf):
     return fuse.rrf(_two(spark, sf)).select("qid", "ref", F.array_join("sources", ",").alias("sources"))
 
 
-_KEY = "nullif(substr(regexp_replace(lower(substr(coalesce({0}, ''), 1, 220)), '[^0-9a-z\\x{{00e0}}-\\x{{1ef9}}]+', '', 'g'), 1, 160), '')"
+_KEY = s.KEY
 
 
 @query(f"SELECT doc_id, {_KEY.format('text')} AS key FROM documents")
@@ -313,79 +314,87 @@ def accent_insensitive_match(spark, sf):
 # Whole retrieval
 
 
-def _all_lists(spark, sf):
-    return retrieval.lists(src.questions(spark, sf), src.bodies(spark, sf), src.qa(spark, sf), src.terms(spark, sf), src.docs(spark, sf), GENERIC)
+def _store(spark, sf):
+    """The vectors as those of documents; every third is a term's, and some refer to rows that are not there."""
+    kind = F.when(F.col("vec_id") % 3 == 0, "term").otherwise("chunk")
+    return table(spark, sf, "embeddings").select("vec_id", kind.alias("kind"), (F.col("vec_id") * 2).alias("ref"), "embedding")
+
+
+def _vector_hits(spark, sf):
+    """Each question's vector is the one of the same number."""
+    q = src.questions(spark, sf).select(F.col("qid").alias("vec_id"))
+    encoded = table(spark, sf, "embeddings").join(q, "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "embedding")
+    known = {"chunk": table(spark, sf, "documents").select(F.col("doc_id").alias("ref")), "term": table(spark, sf, "part").select(F.col("p_partkey").alias("ref"))}
+    return retrieval.vector_hits(_store(spark, sf), encoded, 40, known)
+
+
+_VECTOR = f"""vx AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS pos FROM
+  (SELECT q.vec_id AS qid, a.vec_id, {_COS} AS dist FROM embeddings a, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark))),
+v AS (SELECT qid, pos, CASE WHEN vec_id % 3 = 0 THEN 'term' ELSE 'chunk' END AS kind, vec_id * 2 AS ref FROM vx WHERE pos <= 40
+  AND CASE WHEN vec_id % 3 = 0 THEN vec_id * 2 IN (SELECT p_partkey FROM part) ELSE vec_id * 2 IN (SELECT doc_id FROM documents) END)"""
+
+
+@query(s.with_(_VECTOR) + "SELECT qid, kind, ref, pos::INT AS pos FROM v")
+def vector_retrieval(spark, sf):
+    return _vector_hits(spark, sf).select("qid", "kind", "ref", "pos")
+
+
+def _all_lists(spark, sf, with_vector=False):
+    ix = lambda name: lambda: src.indexed(spark, sf, name)
+    docs = lambda: (src.indexed(spark, sf, "documents"), src.docs(spark, sf))
+    return retrieval.lists(src.questions(spark, sf), ix("bodies"), ix("qa"), ix("terms"), docs, GENERIC, (lambda: _vector_hits(spark, sf)) if with_vector else None)
 
 
 def _payload(spark, sf):
-    return retrieval.payloads(src.bodies(spark, sf), src.docs(spark, sf), src.qa(spark, sf), src.terms(spark, sf))
+    return retrieval.payloads(src.docs(spark, sf), src.qa(spark, sf), src.terms(spark, sf))
+
+
+def _hits(spark, sf, use_rerank, with_vector=False, top=None):
+    return retrieval.retrieve(_all_lists(spark, sf, with_vector), _payload(spark, sf), src.questions(spark, sf), top, use_rerank)
 
 
-_HYBRID = s.with_(
+_SOURCES = s.with_(
     s.BODIES, s.DOCS, s.QA, s.TERMS, s.QUERIES, s.FILTERED, s.AND_TERMS, s.OR_TERMS,
     s.whole("bodies"), s.cascade("c1", "bodies", 40),
     s.units("uq", "qa", "ref", {"question": 3.0, "answer": 1.0}), s.whole("uq"), s.cascade("c2", "uq", 40),
     s.units("ut", "terms", "ref", {"term": 5.0, "definition": 1.0}), s.index("ut"), s.score("c3s", "ut", "ut_p", "or_terms"), f"c3 AS ({s.top('c3s', 15)})",
-    s.units("ud", "docs", "id", _DOC_W), s.whole("ud"), s.cascade("c4c", "ud", 60), s.doc_rank("c4", "c4c", 15),
-    """lists AS (SELECT qid, 1 AS list_no, pos, 'chunk' AS kind, ref FROM c1 UNION ALL SELECT qid, 2, pos, 'qa', ref FROM c2
-      UNION ALL SELECT qid, 3, pos, 'term', ref FROM c3 UNION ALL SELECT qid, 4, pos, 'doc', ref FROM c4)""",
-    "f AS (SELECT qid, kind, ref, sum(1.0 / (60 + pos)) AS score, min(list_no * 1000 + pos) AS first FROM lists GROUP BY ALL)",
-    "g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first, kind, ref) AS pos FROM f)",
-    """pay AS (SELECT 'chunk' AS kind, id AS ref, text, expired, year FROM docs UNION ALL SELECT 'doc', id, '', expired, year FROM docs
-      UNION ALL SELECT 'qa', ref, answer, 0, NULL FROM qa UNION ALL SELECT 'term', ref, term || ': ' || definition, 0, NULL FROM terms)""",
-    f"""l AS (SELECT qid, kind, ref, pos, score, {_KEY.format('text')} AS key, expired, text,
-      expired * 1000000 + 80000 + 9999 - coalesce(year, 0) AS authority FROM g JOIN pay USING (kind, ref))""",
-    """k AS (SELECT *, coalesce(key, chr(1) || pos::VARCHAR) AS kk FROM l)""",
-    """m AS (SELECT *, min(authority) OVER (PARTITION BY qid, kk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-      min(pos) OVER (PARTITION BY qid, kk) AS first_pos, arg_min(score, pos) OVER (PARTITION BY qid, kk) AS first_score FROM k)""",
-    """won AS (SELECT qid, kk, arg_max(kind, pos) AS kind, arg_max(ref, pos) AS ref, any_value(key) AS key, arg_max(expired, pos) AS expired, arg_max(text, pos) AS text,
-      any_value(first_pos) AS first_pos, any_value(first_score) AS score FROM m WHERE before IS NULL OR authority < before GROUP BY qid, kk)""",
-    "dd AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, first_pos) AS pos FROM won)",
-    "ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY expired, round(score, 12) DESC, pos) AS rk FROM dd)",
-)
+    s.units("ud", "docs", "id", _DOC_W), s.whole("ud"), s.cascade("c4c", "ud", 60), s.doc_rank("c4", "c4c", 15), s.PAYLOAD,
+).rstrip()
+_LISTS = """SELECT qid, 1 AS list_no, pos, 'chunk' AS kind, ref FROM c1 UNION ALL SELECT qid, 2, pos, 'qa', ref FROM c2
+  UNION ALL SELECT qid, 3, pos, 'term', ref FROM c3 UNION ALL SELECT qid, 4, pos, 'doc', ref FROM c4"""
+_FIVE = _LISTS + " UNION ALL SELECT qid, 5, pos, kind, ref FROM v"
 
 
-@query(
-    _HYBRID.rstrip() + """,
-out AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, rk) AS p FROM ranked WHERE rk <= 8)
-SELECT qid, kind, ref, p::INT AS pos, round(score, 6) AS score FROM out"""
-)
+@query(f"{_SOURCES},\n{s.fused('h', _LISTS)},\n{s.plain('h', 8)}\nSELECT qid, kind, ref, p::INT AS pos, round(score, 6) AS score FROM h_out")
 def hybrid_full_no_rerank(spark, sf):
-    hits = retrieval.retrieve(_all_lists(spark, sf), _payload(spark, sf), src.questions(spark, sf), use_rerank=False)
-    return hits.select("qid", "kind", "ref", "pos", _r("score"))
+    return _hits(spark, sf, False).select("qid", "kind", "ref", "pos", _r("score"))
 
 
-_LEX = f"""CASE WHEN len(qd) > 0 THEN len(list_intersect(qd, td)) * 1.0 / len(qd) ELSE 0 END"""
+@query(f"{_SOURCES},\n{_VECTOR},\n{s.fused('h', _FIVE)},\n{s.plain('h', 8)}\nSELECT qid, kind, ref, p::INT AS pos, round(score, 6) AS score FROM h_out")
+def hybrid_with_vector(spark, sf):
+    return _hits(spark, sf, False, True).select("qid", "kind", "ref", "pos", _r("score"))
 
 
-@query(
-    _HYBRID.rstrip() + f""",
-ti AS (SELECT 'chunk' AS kind, id AS ref, title FROM docs UNION ALL SELECT 'doc', id, title FROM docs UNION ALL SELECT 'qa', ref, question FROM qa UNION ALL SELECT 'term', ref, term FROM terms),
-sc AS (SELECT r.qid, r.kind, r.ref, r.rk, r.key, list_distinct({s.toks('q.text')}) AS qd, list_distinct({s.toks("substr(coalesce(title, '') || chr(10) || coalesce(r.text, ''), 1, 800)")}) AS td
-  FROM ranked r JOIN ti USING (kind, ref) JOIN queries q USING (qid) WHERE rk <= 32),
-sd AS (SELECT *, {_LEX} AS sim FROM sc),
-se AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, rk) AS rp FROM sd),
-out AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, rp) AS p FROM se WHERE rp <= 8)
-SELECT qid, kind, ref, p::INT AS pos, round(sim, 6) AS rerank_score FROM out"""
-)
+@query(f"{_SOURCES},\n{s.fused('h', _LISTS)},\n{s.reranked('h', 8)}\nSELECT qid, kind, ref, p::INT AS pos, round(score, 6) AS rerank_score FROM h_out")
 def rerank_lexical(spark, sf):
-    hits = retrieval.retrieve(_all_lists(spark, sf), _payload(spark, sf), src.questions(spark, sf))
-    return hits.select("qid", "kind", "ref", "pos", _r("rerank_score"))
+    return _hits(spark, sf, True).select("qid", "kind", "ref", "pos", _r("rerank_score"))
 
 
 @query()
 def answer_prompts(spark, sf):
     q = src.questions(spark, sf)
-    hits = retrieval.retrieve(_all_lists(spark, sf), _payload(spark, sf), q, use_rerank=False)
-    return retrieval.answer(hits, q).select("qid", "n_sources", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+    past = table(spark, sf, "conversations").select(F.col("conv_id").alias("qid"), "turn", "role", "text")
+    out = retrieval.answer(_hits(spark, sf, False), q, past=past, system="Trả lời theo nguồn.")
+    return out.select("qid", "n_sources", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.size("messages").alias("n_messages"), F.md5(F.to_json("messages").cast("binary")).alias("messages_md5"))
 
 
 @query(
     s.with_(s.BODIES, s.index("bodies"))
-    + "SELECT 'postings' AS name, count(*) AS n FROM bodies_p UNION ALL SELECT 'frequencies', count(*) FROM bodies_df UNION ALL SELECT 'lengths', count(*) FROM bodies_len"
+    + "SELECT 'words' AS name, count(*) AS n FROM (SELECT DISTINCT tok, ref, field FROM bodies_p) UNION ALL SELECT 'frequencies', count(*) FROM bodies_df UNION ALL SELECT 'lengths', count(*) FROM bodies_len"
 )
 def index_relations(spark, sf):
-    return serve.counts(index.build(src.bodies(spark, sf), scratch(spark, "index")))
+    ix = src.indexed(spark, sf, "bodies")
+    return serve.counts({"words": ix.words, "frequencies": ix.frequencies, "lengths": ix.lengths})
 
 
 # Structure of texts
@@ -395,7 +404,7 @@ _NORM = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(1
 
 @query("SELECT doc_id, md5(" + _NORM.format("text") + ") AS h, length(" + _NORM.format("text") + ")::INT AS n FROM documents")
 def normalize_whitespace(spark, sf):
-    t = tx.normalize(F.col("text"), compose=True)
+    t = tx.normalize(F.col("text"))
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(t.cast("binary")).alias("h"), F.char_length(t).alias("n"))
 
 
@@ -412,7 +421,7 @@ def truncate_tail(spark, sf):
 
 
 def _legal(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", src.articles_of(tx.normalize(F.col("text"))).alias("text"))
+    return spread(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", src.articles_of(tx.normalize(F.col("text"))).alias("text"))
 
 
 # A form feed marks where a piece begins: RE2 has no lookahead.
@@ -468,7 +477,7 @@ z AS (SELECT doc_id, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) |
 
 @query(_GREEDY + "SELECT doc_id, part::INT AS part, n_parts::INT AS n_parts, md5(body) AS h FROM z WHERE n_parts = 1 OR length(body) >= 50")
 def split_long_greedy(spark, sf):
-    c = split.split_documents(table(spark, sf, "documents", "doc_id", "text"), GENERIC)
+    c = split.split_documents(spread(table(spark, sf, "documents", "doc_id", "text")), GENERIC)
     return c.select("doc_id", "part", "n_parts", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
@@ -496,12 +505,55 @@ def clean_number_trim_suffix(spark, sf):
     return o.select("o_orderkey", enrich.clean_number(raw, pre).alias("number"))
 
 
-@query()
+# A part's name is plain words: under a kind line, after the first of two date lines, or after neither.
+_PREAMBLE = {
+    0: ("QUỐC HỘI\nSố: 59/2020/QH14\nHà Nội, ngày 17 tháng 6 năm 2020\nLUẬT\n", "\nCăn cứ Hiến pháp;"),
+    1: ("Số: 12/2001/NĐ-CP ngày 1 tháng 2 năm 2001\n- ", " ngày 3 tháng 4 năm 2003 về thuế\nXét đề nghị của bộ;"),
+    2: ("Số: ", "\nĐiều 1. Phạm vi"),
+}
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_partkey % 3 AS m, p_name AS t FROM part),
+x AS (SELECT id, CASE m WHEN 0 THEN t WHEN 1 THEN t || ' ngày 3 tháng 4 năm 2003 về thuế' ELSE '' END AS title FROM p)
+SELECT id, title, CASE WHEN title = '' THEN '' ELSE 'Luật ' || lower(substr(title, 1, 1)) || substr(title, 2) END AS full_title FROM x"""
+)
 def title_extraction(spark, sf):
-    d = src.docs(spark, sf)
-    pre = F.concat(F.lit("QUỐC HỘI\nSố: 59/2020/QH14\nHà Nội, ngày 17 tháng 6 năm 2020\nLUẬT\n"), F.upper("title"), F.lit("\nCăn cứ Hiến pháp;"))
-    title = enrich.extract_title(pre)
-    return d.select("id", title.alias("title"), enrich.full_title(F.lit("Luật"), title).alias("full_title"))
+    d = table(spark, sf, "part", "p_partkey", "p_name")
+    pre = F.lit("")
+    for m, (a, b) in _PREAMBLE.items():
+        pre = F.when(F.col("p_partkey") % 3 == m, F.concat(F.lit(a), "p_name", F.lit(b))).otherwise(pre)
+    d = d.select(F.col("p_partkey").alias("id"), enrich.extract_title(pre).alias("title"))
+    return d.select("id", "title", enrich.full_title(F.lit("Luật"), F.col("title")).alias("full_title"))
+
+
+def _enriched(spark, sf):
+    """(docs, changes): parts as documents whose first chunk tells title, number and year."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    k = F.col("p_partkey")
+    docs = p.select(
+        k.alias("id"), F.concat(k, F.lit("-slug")).alias("doc_number"), F.lit("Luật").alias("doc_type"), F.when(k % 5 == 0, 2014).cast("int").alias("year"),
+        F.when(k % 5 == 1, F.lit("17/06/2020")).alias("issue_date"), (k % 4 != 0).cast("int").alias("has_text"),
+    )
+    told = F.concat(F.when(k % 2 == 0, F.concat(F.lit("Số: "), k, F.lit("/1999/QH10\n"))).otherwise(F.lit("")), F.lit("LUẬT\n"), "p_name", F.lit("\nCăn cứ Hiến pháp;"))
+    chunks = p.select(k.alias("doc_id"), F.lit(0).alias("seq"), told.alias("text")).unionByName(p.select(k.alias("doc_id"), F.lit(1).alias("seq"), F.lit("LUẬT\nMột điều khác\n").alias("text")))
+    return docs, enrich.enrich(docs, chunks)
+
+
+_ENRICHED = """d AS (SELECT p_partkey AS id, p_name, p_partkey % 4 <> 0 AS has_text, CASE WHEN p_partkey % 5 = 0 THEN 2014 END AS year FROM part),
+e AS (SELECT id, CASE WHEN has_text THEN 'Luật ' || lower(substr(p_name, 1, 1)) || substr(p_name, 2) END AS title_vi,
+  CASE WHEN NOT has_text THEN NULL WHEN id % 2 = 0 THEN id::VARCHAR || '/1999/QH10' ELSE id::VARCHAR END AS number_vi, year AS old,
+  CASE WHEN year IS NOT NULL OR NOT has_text THEN year WHEN id % 2 = 0 THEN 1999 WHEN id % 5 = 1 THEN 2020 END AS year, has_text FROM d)"""
+
+
+@query(s.with_(_ENRICHED) + "SELECT id, title_vi, number_vi, year::INT AS year FROM e")
+def enrichment_job(spark, sf):
+    return enrich.enriched(*_enriched(spark, sf)).select("id", "title_vi", "number_vi", "year")
+
+
+@query(s.with_(_ENRICHED) + "SELECT count(*) AS docs, count(title_vi) AS titles, count(*) FILTER (year IS NOT NULL AND old IS NULL) AS years FROM e WHERE has_text")
+def enrichment_filled(spark, sf):
+    return enrich.coverage(*_enriched(spark, sf))
 
 
 @query(
@@ -542,19 +594,21 @@ def browse_docs(spark, sf):
 
 
 @query(
-    s.with_(s.DOCS, s.units("u", "docs", "id", _DOC_W), s.QUERIES, s.FILTERED, s.AND_TERMS, s.whole("u"), s.cascade("c", "u", 120), s.doc_rank("r", "c", 30))
-    + "SELECT qid, ref, pos::INT AS pos FROM (SELECT qid, ref, row_number() OVER (PARTITION BY qid ORDER BY pos) AS pos FROM r WHERE doc_type = 'en') WHERE pos <= 10"
+    s.with_(s.DOCS, s.units("u", "docs", "id", _DOC_W), s.TITLE_QUERIES.replace("queries AS (", "tq AS ("), "queries AS (SELECT * FROM tq UNION ALL SELECT -1, ' ?! ')", s.FILTERED, s.AND_TERMS, s.whole("u"), s.cascade("c", "u", 120), s.doc_rank("r", "c", 30))
+    + """SELECT qid, ref, pos::INT AS pos FROM (SELECT qid, ref, row_number() OVER (PARTITION BY qid ORDER BY pos) AS pos FROM r WHERE doc_type = 'en') WHERE pos <= 10
+UNION ALL SELECT -1, id, pos::INT FROM (SELECT id, row_number() OVER (ORDER BY year DESC NULLS LAST, id) AS pos FROM docs WHERE doc_type = 'en') WHERE pos <= 10"""
 )
 def search_then_filter(spark, sf):
-    return retrieval.search_docs(src.docs(spark, sf), src.questions(spark, sf), 10, "en", None, GENERIC).select("qid", "ref", "pos")
+    q = src.title_questions(spark, sf).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("qid"), F.lit(" ?! ").alias("text")))
+    return retrieval.search_docs(src.indexed(spark, sf, "documents"), src.docs(spark, sf), q, 10, "en", None, GENERIC)
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations GROUP BY conv_id")
 def get_document(spark, sf):
     c = table(spark, sf, "conversations")
     chunks = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.lit("").alias("chunk_id"), F.lit("").alias("chapter"), F.lit("").alias("article_no"), F.col("role").alias("article_title"), "text")
     ids = c.select(F.col("conv_id").alias("id")).distinct()
-    got = serve.document(ids, chunks, ids.filter("id % 3 = 0"))
+    got = serve.document(ids, chunks, ids)
     return got.select(F.col("id").alias("conv_id"), F.array_join(F.transform("articles", lambda a: F.concat(a["article_title"], F.lit(": "), a["text"])), "\n").alias("body"), F.size("articles").cast("long").alias("n"))
 
 
@@ -631,22 +685,24 @@ def _gold_sql(hits: str) -> str:
     + f"SELECT n, {_ROUNDED}, round(mrr, 6) AS mrr FROM m"
 )
 def recall_mrr(spark, sf):
-    hits = bm25.cascade(src.bodies(spark, sf), src.questions(spark, sf), 40, None, GENERIC)
+    hits = bm25.cascade(src.indexed(spark, sf, "bodies"), src.questions(spark, sf), 40, None, GENERIC)
     m = evaluate.measure(evaluate.gold_ranks(src.gold(spark, sf), hits))
     return m.select("n", *[_r(f"r{k}") for k in evaluate.CUTS], _r("mrr"))
 
 
+_CONFIGS = {"full": (_FIVE, True), "no_rerank": (_FIVE, False), "no_vector": (_LISTS, True), "bm25_only": (_LISTS, False)}
+
+
 @query(
-    s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.AND_TERMS, s.OR_TERMS, s.whole("bodies"), s.cascade("c", "bodies", 40), s.score("o", "bodies", "bodies_p", "or_terms"), f"ot AS ({s.top('o', 40)})", s.GOLD,
-            f"k AS (SELECT 'cascade' AS config, * FROM ({_gold_sql('c')}) UNION ALL SELECT 'or', * FROM ({_gold_sql('ot')}))", f"m AS (SELECT config, count(*) AS n, {_METRICS}, avg(coalesce(1.0 / rank, 0)) AS mrr FROM k GROUP BY config)")
-    + f"SELECT config, n, {_ROUNDED}, round(mrr, 6) AS mrr FROM m"
-)
+    f"{_SOURCES},\n{_VECTOR},\n{s.GOLD},\n"
+    + ",\n".join(f"{s.fused(c, ls)},\n{(s.reranked if rr else s.plain)(c, 10)},\n{c}_h AS (SELECT qid, ref, p AS pos FROM {c}_out WHERE kind = 'chunk')" for c, (ls, rr) in _CONFIGS.items())
+    + ",\nk AS (" + " UNION ALL ".join(f"SELECT '{c}' AS config, * FROM ({_gold_sql(c + '_h')})" for c in _CONFIGS)
+    + f"),\nm AS (SELECT config, count(*) AS n, {_METRICS}, avg(coalesce(1.0 / rank, 0)) AS mrr FROM k GROUP BY config)\nSELECT config, n, {_ROUNDED}, round(mrr, 6) AS mrr FROM m"
+)
 def ablation_table(spark, sf):
-    u, q, g = src.bodies(spark, sf), src.questions(spark, sf), src.gold(spark, sf)
-    one = evaluate.gold_ranks(g, bm25.cascade(u, q, 40, None, GENERIC)).withColumn("config", F.lit("cascade"))
-    two = evaluate.gold_ranks(g, bm25.rank(bm25.score(u, index.postings(u), bm25.or_terms(q)), 40)).withColumn("config", F.lit("or"))
-    m = evaluate.measure(one.unionByName(two), "config")
-    return m.select("config", "n", *[_r(f"r{k}") for k in evaluate.CUTS], _r("mrr"))
+    """With and without vectors, with and without reranking; the seconds that each took are left out of what is compared."""
+    hits = {c: _hits(spark, sf, rr, ls is _FIVE, 10).filter("kind = 'chunk'").select("qid", "ref", "pos") for c, (ls, rr) in _CONFIGS.items()}
+    return evaluate.ablation(src.gold(spark, sf), hits).select("config", "n", *[_r(f"r{k}") for k in evaluate.CUTS], _r("mrr"))
 
 
 # Sources and sinks

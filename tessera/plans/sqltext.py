@@ -16,10 +16,16 @@ def qtoks(x: str) -> str:
 
 
 DOCS = """docs AS (SELECT d.doc_id AS id, d.lang AS doc_type, d.source AS issuer, substr(string_split(d.text, chr(10))[1], 1, 250) AS title,
+  d.doc_id::VARCHAR || '-' || d.source AS doc_number,
+  CASE WHEN d.doc_id % 4 <= 1 THEN d.lang || ' ' || substr(string_split(d.text, chr(10))[1], 1, 250) END AS title_vi,
+  CASE WHEN d.doc_id % 4 <= 1 THEN d.doc_id::VARCHAR || '/' || (1990 + d.doc_id % 40)::VARCHAR || '/QH' || (d.doc_id % 7)::VARCHAR END AS number_vi,
   (d.doc_id % 4)::INT AS tier, CASE WHEN d.doc_id % 10 <> 7 THEN (1990 + d.doc_id % 40)::INT END AS year, coalesce(l.toxic, 0) AS expired, d.text
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 QUERIES = "queries AS (SELECT item_id AS qid, text FROM benchmark)"
-BODIES = "bodies AS (SELECT doc_id AS ref, 'body' AS field, text, 1.0 AS w FROM documents)"
+TITLE_QUERIES = """queries AS (SELECT id AS qid, CASE WHEN id % 300 = 0 THEN 'en ' || number_vi
+  ELSE array_to_string(string_split(title, ' ')[1:4], ' ') END AS text FROM docs WHERE id % 100 = 0)"""
+BODIES = """bodies AS (SELECT doc_id AS ref, 'body' AS field, text, 1.0 AS w FROM documents
+  UNION ALL SELECT doc_id, 'heading', substr(string_split(text, chr(10))[1], 1, 250), 1.0 FROM documents)"""
 QA = """qa AS (SELECT conv_id * 100000 + turn AS ref, text AS question, answer FROM
   (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
   WHERE role = 'user' AND nr = 'assistant')"""
@@ -105,5 +111,42 @@ def doc_rank(out: str, src: str, limit: int) -> str:
 {out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9), ref) AS pos FROM {out}_f) WHERE pos <= {limit})"""
 
 
+KEY = "nullif(substr(regexp_replace(lower(substr(coalesce({0}, ''), 1, 220)), '[^0-9a-z\\x{{00e0}}-\\x{{1ef9}}]+', '', 'g'), 1, 160), '')"
+PAYLOAD = """pay AS (SELECT 'chunk' AS kind, id AS ref, text, expired, year FROM docs UNION ALL SELECT 'doc', id, '', expired, year FROM docs
+  UNION ALL SELECT 'qa', ref, answer, 0, NULL FROM qa UNION ALL SELECT 'term', ref, term || ': ' || definition, 0, NULL FROM terms),
+ti AS (SELECT 'chunk' AS kind, id AS ref, title FROM docs UNION ALL SELECT 'doc', id, title FROM docs UNION ALL SELECT 'qa', ref, question FROM qa UNION ALL SELECT 'term', ref, term FROM terms)"""
+
+
+def fused(p: str, lists: str) -> str:
+    """{p}_ranked (qid, kind, ref, rk, key, text, score): RRF of ``lists`` (qid, list_no, pos, kind, ref), first sight wins ties; texts
+    with one key become the most authoritative in the first one's place; valid before expired, by score."""
+    return f"""{p}_lists AS ({lists}),
+{p}_f AS (SELECT qid, kind, ref, sum(1.0 / (60 + pos)) AS score, min(list_no * 1000 + pos) AS first FROM {p}_lists GROUP BY ALL),
+{p}_g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first, kind, ref) AS pos FROM {p}_f),
+{p}_l AS (SELECT qid, kind, ref, pos, score, {KEY.format('text')} AS key, expired, text,
+  expired * 1000000 + 80000 + 9999 - coalesce(year, 0) AS authority FROM {p}_g JOIN pay USING (kind, ref)),
+{p}_k AS (SELECT *, coalesce(key, chr(1) || pos::VARCHAR) AS kk FROM {p}_l),
+{p}_m AS (SELECT *, min(authority) OVER (PARTITION BY qid, kk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  min(pos) OVER (PARTITION BY qid, kk) AS first_pos, arg_min(score, pos) OVER (PARTITION BY qid, kk) AS first_score FROM {p}_k),
+{p}_won AS (SELECT qid, kk, arg_max(kind, pos) AS kind, arg_max(ref, pos) AS ref, any_value(key) AS key, arg_max(expired, pos) AS expired, arg_max(text, pos) AS text,
+  any_value(first_pos) AS first_pos, any_value(first_score) AS score FROM {p}_m WHERE before IS NULL OR authority < before GROUP BY qid, kk),
+{p}_dd AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, first_pos) AS pos FROM {p}_won),
+{p}_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY expired, round(score, 12) DESC, pos) AS rk FROM {p}_dd)"""
+
+
+def plain(p: str, top: int) -> str:
+    """{p}_out without reranking: the first ``top`` as they stand, texts with no key among them."""
+    return f"{p}_out AS (SELECT qid, kind, ref, rk AS p, score FROM {p}_ranked WHERE rk <= {top})"
+
+
+def reranked(p: str, top: int, candidates: int = 32) -> str:
+    """{p}_out with the lexical scorer over the first candidates; texts without a key go to the end."""
+    return f"""{p}_sc AS (SELECT r.qid, r.kind, r.ref, r.rk, r.key, list_distinct({toks('q.text')}) AS qd, list_distinct({toks("substr(coalesce(title, '') || chr(10) || coalesce(r.text, ''), 1, 800)")}) AS td
+  FROM {p}_ranked r JOIN ti USING (kind, ref) JOIN queries q USING (qid) WHERE rk <= {candidates}),
+{p}_sd AS (SELECT *, CASE WHEN len(qd) > 0 THEN len(list_intersect(qd, td)) * 1.0 / len(qd) ELSE 0 END AS sim FROM {p}_sc),
+{p}_se AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, rk) AS rp FROM {p}_sd),
+{p}_out AS (SELECT qid, kind, ref, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, rp) AS p, sim AS score FROM {p}_se WHERE rp <= {top})"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -19,16 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see, from ``spark.checkpoint.dir``.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, where a scan has fewer splits than there are cores (a file of one row
+    group is one split's work whatever its size); a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    enough = len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() > 2 * cores
+    return df if enough else df.repartition(cores)
+
 
-    Only where the session has none (local tests) is a folder of our own set.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can see, from ``spark.checkpoint.dir``."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
+    if there:
+        return there
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        # One process: its own disk is all the sharing there is.
         there = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(there)
-    return there
+        return there
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,3 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder for tables that an operator writes itself."""
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch, where it is there."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a table was last written, and its bytes: tells whether what was derived from it still holds."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(there).getModificationTime(), fs.getContentSummary(there).getLength()

@@ -34,6 +34,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def open_table(spark: SparkSession, path: str, schema: T.StructType | str, create: bool = False) -> DataFrame:
     """A parquet table; missing: empty if it may be created, else an error."""
+    recover(spark, path)
     if not exists(spark, path):
         if not create:
             raise FileNotFoundError(path)
@@ -43,13 +44,26 @@ def open_table(spark: SparkSession, path: str, schema: T.StructType | str, creat
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> None:
     """Merges ``rows`` (with load_seq) into the table at ``path`` by writing its next version beside
-    it and swapping; the old version stays until the new one is whole."""
+    it and swapping. The old version is put aside, not deleted, until the new one has its place: after a crash
+    between the steps ``open_table`` finishes the swap or undoes it."""
     old = open_table(spark, path, rows.schema, create=True)
     last_wins(old.unionByName(rows), keys).write.mode("overwrite").parquet(f"{path}.next")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
+    fs.delete(fs_path(f"{path}.old"), True)
+    if fs.exists(fs_path(path)):
+        fs.rename(fs_path(path), fs_path(f"{path}.old"))
     fs.rename(fs_path(f"{path}.next"), fs_path(path))
+    fs.delete(fs_path(f"{path}.old"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finishes a swap that was cut off: the next version if it was written whole, else the old one."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for version, whole in ((f"{path}.next", f"{path}.next/_SUCCESS"), (f"{path}.old", f"{path}.old")):
+        if not fs.exists(fs_path(path)) and fs.exists(fs_path(f"{path}.old")) and fs.exists(fs_path(whole)):
+            fs.rename(fs_path(version), fs_path(path))
 
 
 def set_state(spark: SparkSession, path: str, key: str, value: str, seq: int) -> None:

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import table
+from tessera.functions.text import tokens
+from tessera.operators import index
+from tessera.runtime import scratch, stamp, table
+
+#: Fields of the document index, and how many texts without a pair of words a join may broadcast.
+DOC_FIELDS, MOST_BARE = ("title", "doc_number", "issuer", "title_vi", "number_vi", "doc_type"), 1000
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    """id, doc_type, issuer, title, tier, year, expired, text."""
+    """id, doc_type, doc_number, issuer, title, title_vi, number_vi, tier, year, expired, text: the first two tiers have the
+    title and number that enrichment would find."""
     d, lab = table(spark, sf, "documents", "doc_id", "text", "lang", "source"), table(spark, sf, "labels", "doc_id", "toxic")
     first = F.substring(F.split("text", "\n", 2)[0], 1, 250)
+    found = F.col("doc_id") % 4 <= 1
     return d.join(lab, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("doc_type"), F.col("source").alias("issuer"), first.alias("title"),
+        F.col("doc_id").alias("id"), F.col("lang").alias("doc_type"), F.concat("doc_id", F.lit("-"), "source").alias("doc_number"),
+        F.col("source").alias("issuer"), first.alias("title"), F.when(found, F.concat("lang", F.lit(" "), first)).alias("title_vi"),
+        F.when(found, F.concat("doc_id", F.lit("/"), 1990 + F.col("doc_id") % 40, F.lit("/QH"), F.col("doc_id") % 7)).alias("number_vi"),
         (F.col("doc_id") % 4).cast("int").alias("tier"),
         F.when(F.col("doc_id") % 10 != 7, 1990 + F.col("doc_id") % 40).cast("int").alias("year"),
         F.coalesce("toxic", F.lit(0)).alias("expired"), "text",
@@ -21,8 +30,9 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """ref, field, text: whole documents as units of search."""
-    return table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("ref"), F.lit("body").alias("field"), "text")
+    """ref, field, text: whole documents as units of search; their headings are indexed beside them and so count twice."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return index.units(d.select("doc_id", F.col("text").alias("body"), F.substring(F.split("text", "\n", 2)[0], 1, 250).alias("heading")), "doc_id", ["body", "heading"])
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,6 +40,30 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark", "item_id", "text").select(F.col("item_id").alias("qid"), "text")
 
 
+def title_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """qid, text: for each document whose id is divisible by 100 a question by its number, or by words of its title."""
+    d = docs(spark, sf).filter("id % 100 = 0")
+    words = F.array_join(F.slice(F.split("title", " "), 1, 4), " ")
+    return d.select(F.col("id").alias("qid"), F.when(F.col("id") % 300 == 0, F.concat(F.lit("en "), "number_vi")).otherwise(words).alias("text"))
+
+
+_KEPT: dict[tuple, index.Index] = {}
+
+
+def indexed(spark: SparkSession, sf: str, name: str) -> index.Index:
+    """The index of ``bodies``, ``qa``, ``terms`` or ``documents``: built once in the shared folder, then read by
+    every ranking of the session as long as the tables under it stay as they are."""
+    base = {"bodies": "documents", "documents": "documents", "qa": "conversations", "terms": "part"}[name]
+    at = (spark.sparkContext.applicationId, sf, name, stamp(spark, f"{sf}/{base}.parquet"))
+    if at not in _KEPT:
+        u = {
+            "bodies": lambda: bodies(spark, sf), "qa": lambda: index.units(qa(spark, sf), "ref", ["question", "answer"]),
+            "terms": lambda: index.units(terms(spark, sf), "ref", ["term", "definition"]), "documents": lambda: index.units(docs(spark, sf), "id", list(DOC_FIELDS)),
+        }[name]()
+        _KEPT[at] = index.build(u, scratch(spark, f"index-{name}"))
+    return _KEPT[at]
+
+
 def qa(spark: SparkSession, sf: str) -> DataFrame:
     """ref, question, answer: a user turn and the assistant turn that follows it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -45,10 +79,24 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """qid, ref of the documents that hold a benchmark text whole."""
-    d = table(spark, sf, "documents", "doc_id", "text")
+    """qid, ref of the documents that hold a benchmark text whole. Candidates hold the rarest pair of
+    adjacent words of the text (by the index); only these are compared. A text without such a pair is compared with all."""
+    ix, d = indexed(spark, sf, "bodies"), table(spark, sf, "documents", "doc_id", "text")
     q = table(spark, sf, "benchmark", "item_id", "text").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    return d.join(q, F.contains("text", F.col("q"))).select("qid", F.col("doc_id").alias("ref"))
+    # The first and the last word may go on in the document, so the pairs are of the words between.
+    t = tokens(F.col("q"))
+    inner = q.select("qid", F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))).alias("t"))
+    pairs = inner.select("qid", F.explode(F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("t", i + 1)))).alias("tok"))
+    posts = ix.pairs.join(pairs.select("tok").distinct(), "tok", "left_semi").select("tok", "ref").distinct()
+    least = pairs.join(posts.groupBy("tok").agg(F.count("*").alias("df")), "tok", "left").groupBy("qid").agg(F.min_by("tok", F.struct(F.coalesce("df", F.lit(0)), "tok")).alias("tok"))
+    likely = least.join(posts, "tok").select("qid", "ref")
+    d, whole = d.withColumnRenamed("doc_id", "ref"), F.contains("text", F.col("q"))
+    near = likely.join(q, "qid").join(d, "ref").filter(whole).select("qid", "ref")
+    bare = q.join(least, "qid", "left_anti")
+    n = bare.count()
+    if not n:
+        return near
+    return near.unionByName(d.join(F.broadcast(bare) if n <= MOST_BARE else bare, whole).select("qid", "ref"))
 
 
 #: Lines of a document as numbered articles under chapters, for the structure of legal texts.

@@ -1,8 +1,11 @@
 """Hand-worked fixtures for text structure, metadata, ranking, fusion and context."""
 
+import json
 import math
 import random
 import sqlite3
+import time
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.config import GENERIC, LEGAL
 from tessera.functions import text as tx
 from tessera.operators import bm25, context, enrich, evaluate, fuse, index, rerank, serve, split, vector
-from tessera.plans import catalogue
+from tessera.plans import catalogue, retrieval
 from tessera.runtime import scratch
 from tessera.sources import legal, store
 from tessera.streaming import ingest
@@ -215,8 +218,7 @@ def test_bm25_as_sqlite(spark, query, phrase):
     want = dict(con.execute("select rowid, bm25(t, 3.0, 1.0) from t where t match ?", (match,)))
     u = index.units(spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS)], "ref int, question string, answer string"), "ref", ["question", "answer"])
     terms = spark.createDataFrame([(1, t, 1) for t in ([query] if phrase else query.split())], "qid int, tok string, times int")
-    posts = index.text_bigrams(u) if phrase else index.postings(u)
-    got = {r["ref"]: r["score"] for r in bm25.score(u, posts, terms, LEGAL.qa_weights).collect()}
+    got = {r["ref"]: r["score"] for r in bm25.score(index.of(u), terms, LEGAL.qa_weights, pairs=phrase).collect()}
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-12)
@@ -475,7 +477,7 @@ def test_index_and_cells_are_built(spark):
     path = scratch(spark, "fts")
     for _ in range(2):
         built = index.build(u, path)
-        assert built["postings"].count() == index.postings(u).count() and built["lengths"].count() == 5
+        assert built.words.agg(F.sum("n")).first()[0] == index.postings(u).count() and built.lengths.count() == 5
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     assert index.ann(v) is None
     celled, centres = index.ann(v, least=100)
@@ -494,3 +496,153 @@ def test_preview_and_answers(spark):
 
 def test_profiles():
     assert len(LEGAL.stop) == 52 and GENERIC.article is None and LEGAL.rrf_k == 60
+
+
+# Worked out by hand from the rules
+
+
+def test_title_goes_on_from_the_first_date(spark):
+    pre = "Số: 1/2001/NĐ-CP ngày 1 tháng 2 năm 2001\nQuy định một ngày 3 tháng 4 năm 2003 của bộ về thuế\nCăn cứ x"
+    assert one(spark, enrich.extract_title(F.lit(pre))) == "Quy định một ngày 3 tháng 4 năm 2003 của bộ về thuế"
+    assert one(spark, enrich.extract_title(F.lit("Một văn bản không ngày\nCăn cứ"))) == "Một văn bản không ngày"
+
+
+def test_annex_is_cut_by_code_points(spark):
+    text = "😀" * 3000 + "\nPHỤ LỤC I\nbiểu mẫu"
+    assert one(spark, F.char_length(split.truncate_tail(F.lit(text)))) == 3001
+    assert one(spark, F.char_length(split.truncate_tail(F.lit("PHỤ LỤC I\n" + "x" * 5000 + "\nPHỤ LỤC II")))) == 5021
+
+
+def test_decomposed_articles_are_found(spark):
+    body = " nội dung đủ dài để được giữ lại trong kết quả cuối cùng"
+    text = unicodedata.normalize("NFD", f"Điều 1. a{body}\nĐiều 2. b{body}")
+    got = split.split_documents(spark.createDataFrame([("x", text)], "doc_id string, text string")).orderBy("seq").collect()
+    assert [r["chunk_id"] for r in got] == ["x#d1", "x#d2"] and got[0]["text"] == f"Điều 1. a{body}"
+    samples = ["A\u030a \u212b", "\u1100\u1161", "\u0344", "plain", "Ệ", "\u2126 \uf900", "…—", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(samples)], "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", tx.normalize(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if x is None else unicodedata.normalize("NFC", x) for i, x in enumerate(samples)}
+
+
+def test_preamble_before_articles_is_cut_not_stripped(spark):
+    article = "Điều 1. nội dung đủ dài để được giữ lại trong kết quả cuối cùng"
+    docs = spark.createDataFrame([("a", "x" * 1199 + " y" * 40 + "\n" + article), ("b", "x" * 1199 + " y" * 40)], "doc_id string, text string")
+    got = {r["chunk_id"]: r["text"] for r in split.split_documents(docs).collect()}
+    assert got["a#pre"] == "x" * 1199 + " " and got["b#pre"] == "x" * 1199
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    def seconds(n):
+        df = spark.range(1).select(F.repeat(F.lit("some words in a line\n"), n).alias("t")).cache()
+        df.count()
+        began = time.perf_counter()
+        assert df.select(F.size(split.split_long(F.col("t"), 2400, None)).alias("k")).first()["k"] == -(-(21 * n) // 2394)
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    assert seconds(64_000) < 6 * seconds(16_000) + 1
+
+
+def test_streams_end_on_their_own(spark):
+    line = lambda c, done: json.dumps({"message": {"content": c}, "done": done})
+    rows = [("x", 1, line("a", False)), ("x", 2, line("b", True)), ("x", 3, line("c", False)), ("y", 1, line("d", False)), ("y", 2, "broken"), ("y", 4, line("e", False))]
+    got = context.parse_stream(spark.createDataFrame(rows, "stream string, n int, line string")).collect()
+    assert sorted((r["stream"], r["content"]) for r in got) == [("x", "a"), ("x", "b"), ("y", "d"), ("y", "e")]
+
+
+def _hits(spark):
+    rows = [(q, p, "chunk", p, f"t{p}", f"text {p} of words", None, None, 0) for q in (1, 2) for p in range(1, 6)]
+    return spark.createDataFrame(rows, "qid int, pos int, kind string, ref int, title string, text string, doc_type string, year int, expired int")
+
+
+def test_scorer_that_fails_leaves_the_order(spark):
+    q = spark.createDataFrame([(1, "words"), (2, "")], "qid int, text string")
+
+    def broken(query, text):
+        raise OSError("no model here")
+
+    got = rerank.rerank(_hits(spark), q, 5, 3, broken).collect()
+    assert sorted((r["qid"], r["pos"], r["ref"]) for r in got) == [(k, p, p) for k in (1, 2) for p in (1, 2, 3)]
+    half = lambda query, text: F.when((query == "") & F.contains(text, F.lit("4")), F.lit(None)).otherwise(F.char_length(text) + F.try_element_at(F.split(text, "[a-z ]+"), F.lit(-2)).cast("double") * 0 + F.instr(text, "5"))
+    got = rerank.rerank(_hits(spark), q, 5, 3, half).collect()
+    assert sorted(r["ref"] for r in got if r["qid"] == 2) == [1, 2, 3] and min((r["pos"], r["ref"]) for r in got if r["qid"] == 1)[1] == 5
+
+
+def test_pairs_are_scored_in_batches_of_like_length(spark):
+    sizes = []
+
+    def score(q, t):
+        assert len(q) <= 4
+        return [float(len(a) * 1000 + len(b)) for a, b in zip(q, t, strict=True)]
+
+    df = spark.createDataFrame([("a" * (i % 3), "b" * ((i * 7) % 50) if i else None) for i in range(40)], "q string, t string")
+    got = df.select("q", "t", rerank.pair_scorer(score, 4)(F.col("q"), F.col("t")).alias("s")).collect()
+    assert all(r["s"] == len(r["q"]) * 1000 + len(r["t"] or "") for r in got) and not sizes
+
+
+def test_source_that_fails_is_left_out(spark):
+    q = spark.createDataFrame([(1, "alpha beta")], "qid long, text string")
+    u = index.units(spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "id long, body string"), "id", ["body"])
+
+    def gone():
+        raise FileNotFoundError("no such table")
+
+    got = retrieval.lists(q, bodies=lambda: index.of(u), qa=gone, vector=gone).collect()
+    assert [(r["kind"], r["ref"], r["pos"]) for r in got] == [("chunk", 1, 1)]
+    with pytest.raises(ValueError):
+        retrieval.lists(q, qa=gone)
+
+
+def test_without_reranking_hits_stay_as_they_stand(spark):
+    """A whole document has no text; without reranking it keeps the place that its score gives."""
+    ranked = spark.createDataFrame([(1, 1, 1, "doc", 7, "bm25"), (1, 2, 1, "doc", 7, "vector"), (1, 2, 2, "chunk", 8, "vector")], "qid long, list_no int, pos int, kind string, ref long, source string")
+    payload = spark.createDataFrame([("doc", 7, "T", "", None, None, 0), ("chunk", 8, "U", "some text", None, None, 0)], "kind string, ref long, title string, text string, doc_type string, year int, expired int")
+    q = spark.createDataFrame([(1, "some")], "qid long, text string")
+    places = lambda rr: [r["kind"] for r in sorted(retrieval.retrieve(ranked, payload, q, 8, rr).collect(), key=lambda r: r["pos"])]
+    assert places(False) == ["doc", "chunk"] and places(True) == ["chunk", "doc"]
+
+
+def test_document_by_its_number(spark):
+    rows = [(i, f"Luật số {i}", f"{50 + i}/2020/QH14", "Quốc hội", None, None, "Luật", 2020, 0, 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "id long, title string, doc_number string, issuer string, title_vi string, number_vi string, doc_type string, year int, expired int, tier int")
+    ix = index.of(index.units(docs, "id", ["title", "doc_number", "issuer", "title_vi", "number_vi", "doc_type"]))
+    q = spark.createDataFrame([(1, "59/2020/QH14"), (2, "")], "qid long, text string")
+    got = retrieval.search_docs(ix, docs, q, 3).collect()
+    assert [r["ref"] for r in got if r["qid"] == 1 and r["pos"] == 1] == [9] and sorted(r["ref"] for r in got if r["qid"] == 2) == [0, 1, 2]
+
+
+def test_article_of_the_gold_answer(spark):
+    gold = spark.createDataFrame([(1, "59/2020/QH14", "111")], "qid int, ref string, article string")
+    hits = spark.createDataFrame([(1, "59/2020/QH14", 1, "Điều 46"), (1, "59/2020/QH14", 2, "Điều 111 (phần 1/2)")], "qid int, ref string, pos int, label string")
+    assert evaluate.gold_ranks(gold, hits).first()["rank"] == 2 and evaluate.gold_ranks(gold.drop("article"), hits).first()["rank"] == 1
+
+
+def test_ablation_tells_seconds(spark):
+    gold = spark.createDataFrame([(1, 5), (2, 6)], "qid int, ref int")
+    hits = spark.createDataFrame([(1, 5, 1), (2, 6, 2)], "qid int, ref int, pos int")
+    got = {r["config"]: r for r in evaluate.ablation(gold, {"a": hits, "b": hits.filter("qid = 1")}).collect()}
+    assert got["a"]["mrr"] == 0.75 and got["b"]["mrr"] == 0.5 and got["a"]["seconds"] > 0
+
+
+def test_swap_that_was_cut_off_is_finished(spark):
+    path = scratch(spark, "swap")
+    schema = "key string, value string, load_seq long"
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.set_state(spark, path, "a", "1", 1)
+    fs.rename(fs_path(path), fs_path(f"{path}.old"))
+    assert store.get_state(spark, path, "a") == "1"
+    spark.createDataFrame([("a", "2", 2)], schema).write.parquet(f"{path}.next")
+    fs.rename(fs_path(path), fs_path(f"{path}.old"))
+    assert store.get_state(spark, path, "a") == "2"
+    store.set_state(spark, path, "a", "3", 3)
+    assert store.get_state(spark, path, "a") == "3"
+
+
+def test_cells_and_codes_find_the_near_ones(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = v.filter("vec_id % 25 = 0")
+    exact = {(r["query_id"], r["vec_id"]) for r in vector.exact_top(v, asked, 10).collect()}
+    coded, books = index.product_codes(v, 16, 32)
+    near = {(r["query_id"], r["vec_id"]) for r in vector.product_top(coded, books, asked, 10).collect()}
+    assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact)
