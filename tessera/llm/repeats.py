@@ -16,17 +16,22 @@ id that holds it. Hashes that decide are 104 bits (block with its gram) and 128
 
 Everything streams: the scan holds the distinct blocks of one gram (beyond ``HELD`` all of them
 are opened, which decides the same), a text is worked in segments of 1 MB whatever its
-length, and a passage that many documents share is one row per document, never a pair.
+length, and a passage that many documents share is one row per document, never a pair. Where a segment
+holds a block or window twice, all but the smallest id's are decided there: these rows are dealt by document, and
+of a passage that a third of all documents share one row per segment goes to the task of its gram.
+
+The order within a level is that of the grams' hashes and contexts, not of the bytes: rows of 24 bytes. The bytes
+themselves (50 per sampled suffix) would be more than three times that, beyond the disk that the work may take.
 
 Cases: null text has no bytes; texts under ``LENGTH`` bytes are kept whole; a null id counts as
-larger than all others; rows of equal ids do not remove from each other; repeated rows get equal
-results; an empty table gives an empty result; other columns do not take part.
+larger than all others, and null ids as equal; rows of equal ids do not remove from each other; repeated rows get equal
+results; a very long text goes segment by segment; an empty table gives an empty result; other columns do not take part. What is
+removed from an id is one row of hashes, so many rows of one id (not null) are one task's work.
 """
 
 from __future__ import annotations
 
 import contextlib
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -36,13 +41,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import scratch
+from tessera.runtime import remove, scratch
+from tessera.sources.store import exists
 
 LENGTH, GRAM = 50, 20
 LEFT, RIGHT = 15, 35  # a match that is cut on the right before RIGHT bytes reaches LEFT bytes to the left
-BATCHES = 2
+#: Batches of the query: the second makes two levels of one batch merge, the last is scanned against levels of one and two.
+BATCHES = 4
 HELD = 200_000
-LAST = (1 << 63) - 1
+#: Null ids stand from here on, told apart by their texts; in comparisons all are this one.
+NULLS = (1 << 63) - (1 << 41)
 SEGMENT, BEFORE, AFTER = 1 << 20, 16, 80
 _MASK = np.uint64(SEGMENT - 1)
 
@@ -161,19 +169,32 @@ def segments(texts: pa.Array) -> Iterator[tuple[Segment, np.ndarray, np.ndarray,
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(key, block, doc): the sampled suffixes of (doc, text)."""
+    """(key, block, doc, done): the sampled suffixes of (doc, text); ``done``: the segment has them of a smaller id too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for seg, rows, _, _ in segments(b.column(1)):
                 doc = ids[rows[seg.piece]]
-                order = np.lexsort((seg.block, seg.key, seg.piece))
+                order = np.lexsort((doc, seg.block, seg.key))
                 key, block, doc = seg.key[order], seg.block[order], doc[order]
                 new = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])][: len(key)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(block[new]), pa.array(doc[new])], names=["key", "block", "doc"])
+                key, block, doc = key[new], block[new], doc[new]
+                first = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])][: len(key)]
+                done = _clipped(doc) > _low(first, _clipped(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(doc), pa.array(done)], names=["key", "block", "doc", "done"])
+
+    return docs.select("doc", "text").mapInArrow(run, "key long, block long, doc long, done boolean")
+
+
+def _clipped(doc: np.ndarray) -> np.ndarray:
+    """Ids as they compare: null ids are equal."""
+    return np.minimum(doc, NULLS)
+
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, block long, doc long")
+def _low(first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each row the id of its run's first row."""
+    return doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))] if len(doc) else doc
 
 
 #: Kinds of rows that the merge-scan writes: suffixes for the level, removed blocks, opened blocks.
@@ -183,7 +204,7 @@ LEVEL, REMOVED, OPENED = 0, 1, 2
 
 
 def _scan(keep: bool, held_most: int):
-    """Rows (key, block, doc, old) sorted by key, block and doc to rows (kind, key, block, doc)."""
+    """Rows (key, block, doc, old, done) sorted by key, block and doc to rows (kind, key, block, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3 + [np.empty(0, bool)]
@@ -214,12 +235,18 @@ def _scan(keep: bool, held_most: int):
         for b in batches:
             if not b.num_rows:
                 continue
+            done = b.column(4).to_numpy(zero_copy_only=False)
+            if done.any():
+                yield rows(REMOVED, *[b.column(i).to_numpy(zero_copy_only=False)[done] for i in range(3)])
+                b = b.filter(pa.array(~done))
+                if not b.num_rows:
+                    continue
             key, block, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             old = b.column(3).to_numpy(zero_copy_only=False)
             first = np.r_[(key[0], block[0]) != last[:2], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]
             rep = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
             low = np.where(rep >= 0, doc[np.maximum(rep, 0)], last[2])
-            gone = (doc > low) & ~old
+            gone = (_clipped(doc) > _clipped(low)) & ~old
             if gone.any():
                 yield rows(REMOVED, key[gone], block[gone], doc[gone])
             last = (key[-1], block[-1], low[-1])
@@ -252,7 +279,9 @@ class Index:
         self.parts: list[str] = []
 
     def _sorted(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(F.shiftright("key", 24)).sortWithinPartitions("key", "block", "doc")
+        gram = F.shiftright("key", 24)
+        by = F.when(F.col("done"), F.xxhash64("doc", "block")).otherwise(gram) if "done" in rows.columns else gram
+        return rows.repartition(by).sortWithinPartitions("key", "block", "doc")
 
     def _level(self, path: str) -> DataFrame:
         return self.spark.read.schema("key long, block long, doc long").parquet(path)
@@ -261,14 +290,14 @@ class Index:
         """Scans (doc, text) against all levels and itself; ``keep`` makes it a level."""
         run = suffixes(docs).withColumn("old", F.lit(False))
         for level in self.levels.values():
-            run = run.unionByName(self._level(level).withColumn("old", F.lit(True)))
+            run = run.unionByName(self._level(level).withColumns({"old": F.lit(True), "done": F.lit(False)}))
         part = f"{self.path}/scans/scan={len(self.parts)}"
-        scanned = self._sorted(run).mapInArrow(_scan(keep, self.held_most), "kind int, key long, block long, doc long")
+        scanned = self._sorted(run.select("key", "block", "doc", "old", "done")).mapInArrow(_scan(keep, self.held_most), "kind int, key long, block long, doc long")
         with tidy(self.spark):
             scanned.write.partitionBy("kind").parquet(part)
         self.parts.append(part)
-        release(self.spark)
-        if keep:
+        # A batch without a suffix writes no level.
+        if keep and exists(self.spark, f"{part}/kind={LEVEL}"):
             size, level = 1, f"{part}/kind={LEVEL}"
             while size in self.levels:
                 other, merged = self.levels.pop(size), f"{self.path}/level-{len(self.parts)}-{2 * size}"
@@ -276,7 +305,6 @@ class Index:
                     self._sorted(self._level(other).unionByName(self._level(level))).write.parquet(merged)
                 for gone in (other, level):
                     remove(self.spark, gone)
-                release(self.spark)
                 size, level = 2 * size, merged
             self.levels[size] = level
 
@@ -291,11 +319,6 @@ class Index:
         self.levels = {}
 
 
-def remove(spark, path: str) -> None:
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
 @contextlib.contextmanager
 def tidy(spark) -> Iterator[None]:
     """Within it, the shuffle files of a finished query go at its end."""
@@ -308,12 +331,6 @@ def tidy(spark) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def release(spark) -> None:
-    """Lets the context cleaner drop the shuffle files of finished jobs now, not at the next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, values) of list cells; null as empty."""
     size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
@@ -343,7 +360,7 @@ def _member(of: np.ndarray, rows: np.ndarray, lists: tuple[np.ndarray, np.ndarra
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, opened blocks) to (a, b, doc): the windows of opened blocks."""
+    """(doc, text, opened blocks) to (a, b, doc, done): the windows of opened blocks; ``done``: the segment has them of a smaller id too."""
     for b in batches:
         ids, lists = b.column(0).to_numpy(zero_copy_only=False), _lists(b.column(2))
         for seg, rows, _, _ in segments(b.column(1)):
@@ -354,7 +371,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = np.concatenate([np.maximum(seg.low[k], seg.at[k] + f) if f else seg.low[k] for k, f, _ in parts])
             high = np.concatenate([np.minimum(seg.high[k], seg.at[k] + t) if t else seg.high[k] for k, _, t in parts])
             _, who, first, second = seg.windows(np.concatenate([k for k, _, _ in parts]), low, high)
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(ids[row[who]])], names=["a", "b", "doc"])
+            doc = ids[row[who]]
+            order = np.lexsort((doc, second, first))
+            first, second, doc = first[order], second[order], doc[order]
+            new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])][: len(doc)]
+            done = _clipped(doc) > _low(new, _clipped(doc))
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(doc), pa.array(done)], names=["a", "b", "doc", "done"])
 
 
 def _cut(with_text: bool):
@@ -411,7 +433,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bat
     """(key, n_bytes, n_removed, n_spans, kept) per input row; ``kept`` is the text that is left
     (bytes cut out of a character are replaced) or, without ``with_text``, its digest."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    unknown = F.lit(NULLS) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 23)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), unknown).alias("doc"), F.col(text).alias("text"))
     cuts = sorted(set(rows.select("doc").approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     index = Index(spark, scratch(spark, "repeats"), held_most)
     bounds = [None, *[int(c) for c in cuts], None]
@@ -421,17 +444,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bat
         # Nothing reads the level that the last batch would become.
         index.append(batch, keep=i + 2 < len(bounds))
     index.drop_levels()
-    release(spark)
     texts = rows.repartition("doc")
     opened = index.found(OPENED).groupBy("doc").agg(F.collect_set("block").alias("blocks"))
-    singles = texts.join(opened, "doc").select("doc", "text", "blocks").mapInArrow(_windows, "a long, b long, doc long")
-    low = F.min("doc").over(Window.partitionBy("a", "b"))
-    singles = singles.withColumn("low", low).filter("doc > low").groupBy("doc").agg(F.collect_set("a").alias("windows"))
+    singles = texts.join(opened, "doc").select("doc", "text", "blocks").mapInArrow(_windows, "a long, b long, doc long, done boolean")
+    # What a segment has decided stands apart by document: of a common window the rest is a row per segment.
+    apart = F.when(F.col("done"), F.col("doc")).otherwise(F.lit(-1))
+    known = F.least("doc", F.lit(NULLS))
+    low = F.min(known).over(Window.partitionBy("a", "b", apart))
+    singles = singles.withColumn("low", low).filter(F.col("done") | (known > F.col("low"))).groupBy("doc").agg(F.collect_set("a").alias("windows"))
     removed = index.found(REMOVED).groupBy("doc").agg(F.collect_set("block").alias("blocks"))
     at = scratch(spark, "repeat-marks")
     with tidy(spark):
         removed.join(singles, "doc", "full_outer").write.parquet(at)
-    release(spark)
     marks = spark.read.schema("doc long, blocks array<long>, windows array<long>").parquet(at)
     out = texts.join(marks, "doc", "left").select("id", "text", "blocks", "windows")
     out = out.mapInArrow(_cut(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept string")

@@ -209,6 +209,23 @@ def test_repeats_null_ids_long_texts_and_empty(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_passage_of_very_many_documents(spark):
+    """A passage in every document goes from all but the first, of null ids too, and no task takes all of its rows."""
+    line = "this licence line stands in every single document of the whole corpus"
+    docs = spark.range(30_000).select(F.when(F.col("id") % 10 != 3, F.col("id")).alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" " + line + " "), F.sha2((-F.col("id")).cast("string"), 256)).alias("text"))
+    got = repeats.remove_repeats(docs, with_text=False).agg(F.count("*").alias("n"), F.sum("n_removed").alias("r"), F.sum("n_spans").alias("s"), F.min("n_removed").alias("least"), F.count_if(F.col("n_removed") >= len(line)).alias("hit")).first()
+    # A space to either side goes with the line, and the few random characters that some smaller id has beside it too.
+    assert (got["n"], got["least"], got["hit"], got["s"]) == (30_000, 0, 29_999, 29_999) and 29_999 * (len(line) + 2) <= got["r"] <= 29_999 * (len(line) + 16)
+
+
+def test_query_merges_levels(spark, monkeypatch):
+    seen = []
+    whole = repeats.Index.append
+    monkeypatch.setattr(repeats.Index, "append", lambda self, *a, **k: (seen.append(sorted(self.levels)), whole(self, *a, **k))[1])
+    repeats.op7_repeats(spark, "/root/testdata/sf0.001").count()
+    assert seen == [[], [1], [2], [1, 2]]
+
+
 def test_levels_merge_geometrically(spark):
     index = repeats.Index(spark, scratch(spark, "levels"))
     for i in range(7):
