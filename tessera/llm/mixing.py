@@ -11,12 +11,13 @@ integrated to its cumulative token demand; inverting that demand at the words ta
 before a document gives the document's training position, by which rows are range-sorted.
 
 Prefix sums are two-level (hash buckets, then documents within one bucket), so a source
-that holds a third of all rows is never in one task.
+that holds a third of all rows is never in one task, nor are the rows of one id: the order is a hash of id and
+text. Only the table of sources, a row each, is worked in one task.
 
 Cases: null text counts 0 words; null source is a source of its own, last in the order;
-documents of 0 words are never taken; ties of the order key fall back on size and then
-hit interchangeable rows; an empty table gives an empty result; other columns of the
-input are not carried (the keyed ``mix`` is joined or used by the caller).
+documents of 0 words are never taken; ties of the order are rows of one id and text, which are
+interchangeable; repeated rows are taken one by one; a very long text is one document, counted whole; an empty table gives an
+empty result; of ``mix`` other columns of the input are not carried, of ``whole_takes`` all are, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ def placed(
 ) -> DataFrame:
     """key, source, size, source_size, target, rank, before (the source's words that stand before
     the row in its order) per input row, and the carried columns as a struct ``row``."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    none = F.lit("")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), none), F.lit(":"), F.coalesce(F.col(text), none)).cast("binary"))
     known = F.col(source).isNotNull()
     cols = [
         F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), known.alias("known"),
@@ -158,7 +160,7 @@ def op8_mixing(spark, sf_dir):
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+         md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS ord FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM s),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(rank - 1) % 3 + 1] AS w,

@@ -294,6 +294,14 @@ def test_whole_takes(spark):
     assert mixing.whole_takes(df.limit(0)).count() == 0
 
 
+def test_whole_takes_of_repeated_and_null_ids(spark):
+    rows = [(1 if i % 2 else None, f"t{i} " * 3, "a", i) for i in range(40)] + [(2, None, None, 40), (2, "", "a", 41), (3, "x y", None, 42), (3, "x y", None, 42)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, position int")
+    mixes = [sorted(map(str, mixing.whole_takes(d).collect())) for d in (df, df.orderBy(F.desc("position")), df.repartition(7))]
+    assert mixes[0] == mixes[1] == mixes[2] and len(mixes[0]) > 20
+    assert all("text=None" not in r and "text=''" not in r for r in mixes[0])
+
+
 def test_positions_invert_the_schedule(spark):
     for rank, (a, b) in enumerate(mixing.SCHEDULES, 1):
         for t in (0.0, 0.1, 0.5, 0.9, 1.0):
