@@ -456,6 +456,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bat
     at = scratch(spark, "repeat-marks")
     with tidy(spark):
         removed.join(singles, "doc", "full_outer").write.parquet(at)
+    remove(spark, index.path)
     marks = spark.read.schema("doc long, blocks array<long>, windows array<long>").parquet(at)
     out = texts.join(marks, "doc", "left").select("id", "text", "blocks", "windows")
     out = out.mapInArrow(_cut(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept string")
