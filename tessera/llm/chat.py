@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.arrays import let, offsets
+
 TURNS = "array<struct<role:string,text:string>>"
 #: Escapes inside a text, in the order in which they are applied.
 ESCAPES = (("\\", "\\b"), ("</turn>", "\\t"), ("###", "\\h"))
@@ -165,32 +167,12 @@ def unescape(c: Column, table: Sequence[tuple[str, str]] = ESCAPES) -> Column:
     return c
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it is looked at."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _offsets(sizes: Column) -> Column:
-    """The sum of all sizes before each one. Sums run within blocks of some square root of the
-    number of sizes, and over the blocks, as a growing array is copied at every step."""
-    state = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
-    scan = lambda xs: F.aggregate(xs, state, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"]).alias("all")))
-
-    def of(xs: Column) -> Column:
-        k = F.ceil(F.sqrt(F.size(xs))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(1), F.size(xs), k), lambda at: scan(F.slice(xs, at, k)))
-        shifted = lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: b["sum"]))["all"], lambda b, at: F.transform(b["all"], lambda x: x + at)))
-        return F.when(F.size(xs) > 0, _let(blocks, shifted)).otherwise(F.array().cast("array<int>"))
-
-    return _let(sizes, of)
-
-
 def render(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
     """Adds ``formatted`` and ``mask``, array of (start, stop) over it, from ``turns``."""
     piece = lambda t: F.concat(F.lit(HEAD), escape(t["role"], ROLE_ESCAPES), F.lit(MIDDLE), escape(t["text"]), F.lit(END))
     size = lambda t: F.char_length(escape(t["text"]))
     out = turns.withColumn("__pieces", F.transform("turns", lambda t: F.struct(piece(t).alias("p"), size(t).alias("n"), (t["role"] == train_role).alias("on"))))
-    at = _offsets(F.transform("__pieces", lambda x: F.char_length(x["p"])))
+    at = offsets(F.transform("__pieces", lambda x: F.char_length(x["p"])))
     stop = lambda x, at: at + F.char_length(x["p"]) - len(END)
     spans = F.zip_with("__pieces", at, lambda x, at: F.struct((stop(x, at) - x["n"]).alias("start"), stop(x, at).alias("stop"), x["on"].alias("on")))
     return out.withColumns({
@@ -227,14 +209,14 @@ def masked(formatted: Column, mask: Column) -> Column:
         return place(at + begin - 1, at + F.char_length(p), F.substr(p, begin))
 
     def of(pieces: Column) -> Column:
-        return F.zip_with(pieces, _offsets(F.transform(pieces, lambda p: F.char_length(p) + len(END))), told)
+        return F.zip_with(pieces, offsets(F.transform(pieces, lambda p: F.char_length(p) + len(END))), told)
 
     def under(places: Column) -> Column:
         before = lambda i: F.get(places, i - 1)
         same = lambda x, y: ~y["is_text"] & (x["stop"] == y["stop"]) & (x["start"] == y["start"])
         return F.filter(places, lambda x, i: x["is_text"] & F.coalesce(same(x, before(i)), F.lit(False)))
 
-    found = _let(F.sort_array(F.concat(spans, _let(_pieces(formatted), of))), under)
+    found = let(F.sort_array(F.concat(spans, let(_pieces(formatted), of))), under)
     return F.array_join(F.transform(found, lambda x: unescape(x["text"])), "")
 
 

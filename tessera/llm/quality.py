@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
 from tessera.llm.words import GAP, words
 from tessera.runtime import cut
 
@@ -83,11 +84,6 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is looked at."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _lines(text: Column) -> Column:
     """Lines with a word in them."""
     return F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -154,8 +150,8 @@ def inline(text: str = "text") -> Given:
     """Over rows without measures: each is worked out where it is asked."""
     t = F.coalesce(F.col(text), F.lit(""))
     n_words = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    repeat = _let(words(t), lambda ws: _let(_windows(ws), lambda h: _let(_sorted(h), lambda s: _let(_places(s), _covered))))
-    return Given(t, n_words, _word_chars(t), _symbols(t), _let(_lines(t), _dup), repeat, F.size(_lines(t)))
+    repeat = let(words(t), lambda ws: let(_windows(ws), lambda h: let(_sorted(h), lambda s: let(_places(s), _covered))))
+    return Given(t, n_words, _word_chars(t), _symbols(t), let(_lines(t), _dup), repeat, F.size(_lines(t)))
 
 
 def base_failed(g: Given) -> Column:

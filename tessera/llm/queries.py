@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tessera.llm import chat, html, mixing, neighbours, quality, repeats, secrets, segment, simhash, toxicity
+from tessera.llm import chat, html, mixing, neighbours, pipeline, quality, repeats, secrets, segment, simhash, toxicity
 
 
 def queries():
@@ -18,7 +17,7 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_secret_scans": secrets.op10_secret_scans,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

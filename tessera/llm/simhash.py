@@ -21,6 +21,7 @@ all pairs: components are the same and rows stay linear.
 Cases: a null or empty text, or one without words, has fingerprint 0 and is linked like any
 other; fewer words than a shingle hash as one; repeated rows each keep a row; null ids are
 passed over in the smallest id and share their fingerprint's component (null if all ids of a component are null);
+a very long text is shingled whole, in memory linear in its length; fingerprints at the same distance are linked alike;
 an empty table gives an empty result; other columns do not take part.
 """
 
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import similar
 from tessera.llm.components import components
 from tessera.runtime import cut
 
@@ -238,9 +240,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fps.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, jaccard: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each component does: the one of the
-    smallest key, of rows of that key the one of the smallest fingerprint, of exact copies one."""
+    smallest key, of rows of that key the one of the smallest fingerprint, of exact copies one.
+
+    ``jaccard``: links are not by fingerprint but by a similarity of 0.8 or more of the sets of five-word shingles. Such
+    pairs differ in up to some twenty bits, beyond any covering of 64: ``similar`` finds them by minima instead."""
+    if jaccard:
+        return similar.one_of_each(docs, key, text)
     told = near_duplicates(docs, key, text, shingle, threshold).filter(F.col(key).eqNullSafe(F.col("component_id")))
     best = told.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), "fp")).alias("b")).select(F.col("b.k").alias("__k"), F.col("b.fp").alias("__fp"))
     rows = with_fingerprint(docs, text, shingle)

@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-import corpus_pipeline
+from tessera.llm import pipeline as corpus_pipeline
 from tessera.llm import queries, segment, toxicity
 from tests.compare import connect, differences
+from tests.llm.test_similar import brute
 from tests.llm.test_table_ops import brute_targets, words
-from tests.llm.test_text_ops import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,13 +44,9 @@ def test_toxic_documents_go(spark, stages):
 
 
 def test_one_of_each_component_stays(stages):
+    """Near duplicates of a stage are by five words and a similarity of 0.8, by all pairs."""
     before, after = stages[1]
-    fp = {r["doc_id"]: brute_fingerprint(r["text"], 5) for r in before.collect()}
-    root = brute_components(set(fp.values()))
-    least = {}
-    for i, f in fp.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(least.values())
+    assert sorted(r["doc_id"] for r in after.collect()) == brute([(r["doc_id"], r["text"]) for r in before.collect()])
 
 
 def test_secrets_are_redacted(stages):
