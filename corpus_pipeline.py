@@ -1,77 +1,5 @@
-"""The corpus pipeline: documents to sampled token ids.
+"""The corpus pipeline: documents to sampled token ids. Its stages are part of the training-data package."""
 
-STAGES lists (name, function); each takes (spark, docs, sf_dir) and returns a DataFrame that
-is written as Parquet and read again as the next stage's docs. All but the last return
-the columns of documents.
-"""
+from tessera.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.llm import mixing, secrets, segment, similar, toxicity
-from tessera.runtime import scratch
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated trees score 0.5 or more go. The model learns from the labels
-    table of the corpus and the documents at hand; the score is computed in the pass that carries the row."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train(docs, labels)
-    return toxicity.scored(docs.select(*COLUMNS), model).filter("score < 0.5").select(*COLUMNS)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or
-    more one row stays: the one of the smallest id."""
-    return similar.one_of_each(docs.select(*COLUMNS), "doc_id", "text").select(*COLUMNS)
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Findings are replaced by a mark; no document goes, and one without findings stays as it is."""
-    ledger = scratch(spark, "pipeline-ledger")
-    secrets.commit(docs.select("text"), ledger)
-    found = secrets.paths(docs.select(*COLUMNS), ledger)
-    clean = F.when(F.size("__spans") > 0, secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    changed = F.when(F.size("__spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("text", clean).withColumn("n_chars", changed).select(*COLUMNS)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each take of a document is a row, whole, where at least half of its words are within the
-    source's target; documents that the mix does not take go. Rows are range-sorted by training position."""
-    takes = mixing.whole_takes(docs.select(*COLUMNS), "doc_id", "text", "source")
-    return takes.select(*COLUMNS)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled piece ids of every row."""
-    ids = segment.encoded(docs.select("doc_id", "text"), "doc_id", "text")
-    return ids.withColumn("n_pieces", F.size("ids").cast("long"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("secret_scans", redact_secrets),
-    ("mixing", mix_sources),
-    ("sentencepiece", encode),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = scratch(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
-
-
-#: Trees, components and sampled segmentations are beyond SQL: tests/llm compares with a brute-force version.
-ORACLE_SQL = None
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
