@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import give_back, small
+
 #: The default model; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 42
@@ -43,8 +45,8 @@ MARK = "▁"
 #: Stands for a literal mark while a lattice is built; a Unicode non-character that no vocabulary holds.
 HIDDEN = "﷐"
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
-#: Chunks and characters drawn at once, and edges that a worker keeps.
-SLICE, SLICE_CHARS, EDGES = 200_000, 2_000_000, 2_000_000
+#: Rows of a batch, chunks and characters drawn at once, and edges that a worker keeps.
+ROWS, SLICE, SLICE_CHARS, EDGES = 100, 100_000, 500_000, 1_500_000
 #: Characters of a chunk beyond which its lattice is cut in windows, and of such a window.
 LONG, WINDOW = 1_000, 16_384
 #: The weight of going from a character to byte pieces, where it has no piece of its own.
@@ -407,10 +409,12 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(v)
-        for b in _small(batches):
+        for b in small(batches, ROWS):
             ids, per = encode(b.column(1).to_pylist(), _keys(b.column(0)), lattices, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["key", "ids"])
+        del lattices
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
@@ -433,12 +437,6 @@ def _keys(column: pa.Array) -> np.ndarray:
     return column.fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def op4_sentencepiece(spark, sf_dir):
     """Every whole text, encoded and decoded: pieces, digest of the ids, whether the text came back."""
     v = vocabulary()
@@ -446,7 +444,7 @@ def op4_sentencepiece(spark, sf_dir):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(v)
-        for b in _small(batches):
+        for b in small(batches, ROWS):
             texts = b.column(1).to_pylist()
             ids, per = encode(texts, _keys(b.column(0)), lattices)
             cuts = np.split(ids, np.cumsum(per)[:-1])
@@ -458,6 +456,8 @@ def op4_sentencepiece(spark, sf_dir):
                 ],
                 names=["doc_id", "n_pieces", "ids_sha256", "decoded_chars", "lossless"],
             )
+        del lattices
+        give_back()
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_chars long, lossless boolean")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.workers import give_back, small
 from tessera.runtime import cut
 
 #: Lexicons and second-person pronouns.
@@ -49,6 +50,8 @@ NEAR = 5
 STEMS = (5, 7)
 FOLDS = 5
 SAMPLE_ROWS = 8000
+#: Rows that are scored at once.
+ROWS = 1000
 TOKENS = 5000
 NAMES = ("insult", "profanity", "threat", "learned", "learned_hits", "learned_max", "second_near", "capitals", "shouted", "exclaims", "punctuation", "obfuscated", "unmasked", "spaced", "log_words")
 
@@ -246,10 +249,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", margin: str | None
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, ROWS):
             x = np.array([features(t.as_py(), model.weights) for t in b.column(at)], dtype=float).reshape(-1, len(NAMES))
             got = [pa.array(np.clip(model.score(x), 0, 1)), pa.array(model.margin(x))][: len(added)]
             yield pa.RecordBatch.from_arrays([*b.columns, *got], names=[*b.schema.names, *added])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
