@@ -168,8 +168,12 @@ def segments(texts: pa.Array) -> Iterator[tuple[Segment, np.ndarray, np.ndarray,
         k += 1
 
 
+#: States of a suffix on its way to the scan: of the batch, of the batch and decided, of a level.
+FRESH, DONE, OLD = 0, 1, 2
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(key, block, doc, done): the sampled suffixes of (doc, text); ``done``: the segment has them of a smaller id too."""
+    """(key, block, doc, state): the sampled suffixes of (doc, text), FRESH, or DONE where the segment has them of a smaller id too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,9 +186,10 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 key, block, doc = key[new], block[new], doc[new]
                 first = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])][: len(key)]
                 done = _clipped(doc) > _low(first, _clipped(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(doc), pa.array(done)], names=["key", "block", "doc", "done"])
+                state = pa.array(np.where(done, DONE, FRESH).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(doc), state], names=["key", "block", "doc", "state"])
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, block long, doc long, done boolean")
+    return docs.select("doc", "text").mapInArrow(run, "key long, block long, doc long, state int")
 
 
 def _clipped(doc: np.ndarray) -> np.ndarray:
@@ -204,7 +209,7 @@ LEVEL, REMOVED, OPENED = 0, 1, 2
 
 
 def _scan(keep: bool, held_most: int):
-    """Rows (key, block, doc, old, done) sorted by key, block and doc to rows (kind, key, block, doc)."""
+    """Rows (key, block, doc, state) sorted by key, block and doc to rows (kind, key, block, doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3 + [np.empty(0, bool)]
@@ -235,14 +240,14 @@ def _scan(keep: bool, held_most: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            done = b.column(4).to_numpy(zero_copy_only=False)
+            done = b.column(3).to_numpy(zero_copy_only=False) == DONE
             if done.any():
                 yield rows(REMOVED, *[b.column(i).to_numpy(zero_copy_only=False)[done] for i in range(3)])
                 b = b.filter(pa.array(~done))
                 if not b.num_rows:
                     continue
             key, block, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            old = b.column(3).to_numpy(zero_copy_only=False)
+            old = b.column(3).to_numpy(zero_copy_only=False) == OLD
             first = np.r_[(key[0], block[0]) != last[:2], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]
             rep = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
             low = np.where(rep >= 0, doc[np.maximum(rep, 0)], last[2])
@@ -280,7 +285,7 @@ class Index:
 
     def _sorted(self, rows: DataFrame) -> DataFrame:
         gram = F.shiftright("key", 24)
-        by = F.when(F.col("done"), F.xxhash64("doc", "block")).otherwise(gram) if "done" in rows.columns else gram
+        by = F.when(F.col("state") == DONE, F.xxhash64("doc", "block")).otherwise(gram) if "state" in rows.columns else gram
         return rows.repartition(by).sortWithinPartitions("key", "block", "doc")
 
     def _level(self, path: str) -> DataFrame:
@@ -288,11 +293,11 @@ class Index:
 
     def append(self, docs: DataFrame, keep: bool = True) -> None:
         """Scans (doc, text) against all levels and itself; ``keep`` makes it a level."""
-        run = suffixes(docs).withColumn("old", F.lit(False))
+        run = suffixes(docs)
         for level in self.levels.values():
-            run = run.unionByName(self._level(level).withColumns({"old": F.lit(True), "done": F.lit(False)}))
+            run = run.unionByName(self._level(level).withColumn("state", F.lit(OLD)))
         part = f"{self.path}/scans/scan={len(self.parts)}"
-        scanned = self._sorted(run.select("key", "block", "doc", "old", "done")).mapInArrow(_scan(keep, self.held_most), "kind int, key long, block long, doc long")
+        scanned = self._sorted(run).mapInArrow(_scan(keep, self.held_most), "kind int, key long, block long, doc long")
         with tidy(self.spark):
             scanned.write.partitionBy("kind").parquet(part)
         self.parts.append(part)
