@@ -12,7 +12,7 @@ from tessera.functions import text as tx
 from tessera.operators import bm25, context, enrich, evaluate, fuse, index, rerank, serve, split, vector
 from tessera.plans import retrieval
 from tessera.plans import sqltext as s
-from tessera.runtime import scratch, spread, table
+from tessera.runtime import cut, remove, scratch, spread, table
 from tessera.sources import store
 from tessera.sources import tables as src
 
@@ -717,6 +717,34 @@ def embed_source_text(spark, sf):
     return vector.embedding_source(chunks, d.drop("text")).select("ref", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
+@query(
+    s.with_(s.DOCS, s.QA, s.TERMS)
+    + "SELECT 'chunk' AS kind, count(*) AS total, count(*) AS n, count(*) AS refs FROM docs WHERE tier <= 0 AND expired = 0 "
+    "UNION ALL SELECT 'qa', count(*), count(*), count(DISTINCT ref) FROM qa UNION ALL SELECT 'term', count(*), count(*), count(DISTINCT ref) FROM terms"
+)
+def embedding_build(spark, sf):
+    """Builds the vectors of three kinds, each cut off after its first batch and resumed; per kind its rows, vectors and refs."""
+    from tessera.streaming.ingest import EMBED_ROWS, embed_new, read_once
+
+    base = scratch(spark, "embeddings")
+    d = src.docs(spark, sf)
+    chunks = d.select(F.col("id").alias("chunk_id"), F.col("id").alias("doc_id"), F.lit("I").alias("chapter"), "text")
+    qa_text, term_text = vector.qa_embedding_text(F.col("question"), F.lit(""), F.col("answer")), vector.term_embedding_text(F.col("term"), F.col("definition"))
+    kinds = {
+        "chunk": vector.embedding_source(chunks, d.drop("text")),
+        "qa": src.qa(spark, sf).select("ref", qa_text.alias("text")),
+        "term": src.terms(spark, sf).select("ref", term_text.alias("text")),
+    }
+    encode, totals = vector.hashing_encoder(64, "passage: "), []
+    for kind, rows in kinds.items():
+        _, total = embed_new(rows, kind, encode, f"{base}/vectors", f"{base}/state", batch_rows=min(EMBED_ROWS, max(1, rows.count() // 2)), most=1)
+        embed_new(rows, kind, encode, f"{base}/vectors", f"{base}/state")
+        totals.append((kind, total))
+    built = cut(read_once(spark, f"{base}/vectors", ["vid"]).filter("size(vector) = 64").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("ref").alias("refs")))
+    remove(spark, base)
+    return spark.createDataFrame(totals, "kind string, total long").join(built, "kind", "left").select("kind", "total", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("refs", F.lit(0)).alias("refs"))
+
+
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_last_wins(spark, sf):
     return store.last_wins(table(spark, sf, "events", "user_id", "event_id", "value"), ["user_id"], "event_id")

@@ -443,6 +443,28 @@ def test_ingest_resumes(spark, tmp_path):
     assert [r["name"] for r in ingest.unfinished(files, files.filter("name = 'a'")).collect()] == ["b"]
 
 
+def test_embedding_build_resumes(spark, tmp_path):
+    sink, state = str(tmp_path / "vectors"), str(tmp_path / "state")
+    rows = spark.range(1, 101).selectExpr("id AS ref", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(None, "no ref")], "ref long, text string"))
+    encode = vector.hashing_encoder(8, "passage: ")
+    run = lambda r, **more: ingest.embed_new(r, "chunk", encode, sink, state, **more)
+    assert run(rows, batch_rows=25, most=1) == (1, 100)
+    first = spark.read.parquet(sink).count()
+    assert 0 < first < 100
+    cursor = store.get_state(spark, state, "embed_cursor_chunk_default")
+    assert run(rows)[0] == 1 and run(rows) == (0, 100)
+    # An append whose cursor was not saved is made again.
+    store.set_state(spark, state, "embed_cursor_chunk_default", cursor, 1000)
+    run(rows)
+    assert spark.read.parquet(sink).count() == 200 - first
+    got = ingest.read_once(spark, sink, ["vid"])
+    assert sorted(r["ref"] for r in got.collect()) == list(range(1, 101))
+    # Further rows, another model, and a kind without rows.
+    assert run(spark.range(1, 121).selectExpr("id AS ref", "'x' AS text")) == (1, 120)
+    assert run(rows, model="other") == (1, 100)
+    assert ingest.embed_new(rows.filter("ref < 0"), "qa", encode, sink, state) == (0, 0)
+
+
 def test_windowed_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "e"))
