@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, html, mixing, neighbours, pipeline, quality, repeats, secrets, segment, simhash, toxicity
+from tessera.llm import audit, chat, html, mixing, neighbours, pipeline, quality, repeats, secrets, segment, simhash, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "op11_filter_audit": audit.op11_filter_audit,
         "pipeline": pipeline.run,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql():
         "op6_quality_rules": quality.OP6_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op10_secret_scans": secrets.OP10_SQL,
+        "op11_filter_audit": audit.OP11_SQL,
     }
