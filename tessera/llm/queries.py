@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import audit, chat, html, mixing, neighbours, pipeline, quality, repeats, secrets, segment, simhash, toxicity
+from tessera.llm import audit, chat, encoding, html, mixing, neighbours, pipeline, quality, repeats, secrets, segment, simhash, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_secret_scans": secrets.op10_secret_scans,
         "op11_filter_audit": audit.op11_filter_audit,
+        "op12_target_encoding": encoding.op12_target_encoding,
         "pipeline": pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql():
         "op8_mixing": mixing.OP8_SQL,
         "op10_secret_scans": secrets.OP10_SQL,
         "op11_filter_audit": audit.OP11_SQL,
+        "op12_target_encoding": encoding.OP12_SQL,
     }
