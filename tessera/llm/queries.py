@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import audit, chat, encoding, html, mixing, neighbours, pipeline, quality, repeats, secrets, segment, simhash, toxicity
+from tessera.llm import audit, chat, encoding, html, lm, mixing, neighbours, pipeline, quality, repeats, secrets, segment, simhash, toxicity
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_secret_scans": secrets.op10_secret_scans,
         "op11_filter_audit": audit.op11_filter_audit,
         "op12_target_encoding": encoding.op12_target_encoding,
+        "op13_lm_scoring": lm.op13_lm_scoring,
         "pipeline": pipeline.run,
     }
 
