@@ -7,13 +7,15 @@ before anything is grouped, so a token that most rows hold costs only if a query
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import LEGAL, Profile
 from tessera.functions.text import asks_year, query_tokens, strip_marks, tokens, without_stop
-from tessera.operators.index import Index, stats
+from tessera.operators.index import Index, on_shelf, shelf
+from tessera.runtime import cut
 
 K1, B = 1.2, 0.75
 
@@ -25,13 +27,20 @@ def _weighted(weights: Mapping[str, float] | None) -> Column:
     return F.sum(w * F.col("n")).alias("f")
 
 
+def _idf() -> Column:
+    idf = F.log((F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+
+
+def _share(f: Column) -> Column:
+    """What ``f`` occurrences in a unit of ``len`` tokens weigh: it rises with f and falls with len."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+
+
 def _part(ix: Index, rows: DataFrame) -> DataFrame:
-    """``rows`` (ref, f, df, ..) with ``part``: what a token adds to a unit's score."""
+    """``rows`` (ref, f, df, len, ..) with ``part``: what a token adds to a unit's score."""
     # One row of statistics beside every posting: a broadcast of one row.
-    s = rows.join(ix.lengths, "ref").crossJoin(F.broadcast(stats(ix.lengths).withColumnRenamed("n", "units")))
-    idf = F.log((F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    return s.withColumn("part", idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))).drop("units", "avgdl", "len")
+    return rows.crossJoin(F.broadcast(ix.totals)).withColumn("part", _idf() * _share(F.col("f"))).drop("units", "avgdl", "len")
 
 
 def _summed() -> Column:
@@ -41,24 +50,84 @@ def _summed() -> Column:
 def score(ix: Index, terms: DataFrame, weights: Mapping[str, float] | None = None, pairs: bool = False) -> DataFrame:
     """qid, ref, hits (distinct terms found), score (negative: better is less) of all units with any of ``terms`` (qid, tok, times).
 
-    The terms are words or, with ``pairs``, pairs of words; field weights scale the occurrences.
+    The terms are words or, with ``pairs``, pairs of words; field weights scale the occurrences. Only folders of asked shelves are read.
     """
-    wanted = terms.select("tok").distinct()
-    tf = (ix.pairs if pairs else ix.words).join(wanted, "tok", "left_semi").groupBy("ref", "tok").agg(_weighted(weights))
+    wanted = on_shelf(terms.select("tok").distinct())
+    tf = (ix.pairs if pairs else ix.words).join(wanted, ["shelf", "tok"], "left_semi").groupBy("ref", "tok", "len").agg(_weighted(weights))
     df = tf.groupBy("tok").agg(F.count("f").alias("df")) if pairs else ix.frequencies
     parts = _part(ix, tf.join(df, "tok")).select("ref", "tok", "part")
     return terms.join(parts, "tok").groupBy("qid", "ref").agg(F.count("*").alias("hits"), _summed())
 
 
+#: Share of a query's postings that is scored first, those of its rarest tokens, and what a bound may lack by rounding.
+EARLY, SLACK = 0.2, 1e-6
+
+
+def _parts(ix: Index, asked: DataFrame, on: Sequence[str], weights: Mapping[str, float] | None) -> DataFrame:
+    """qid, ref, block, part: what the tokens of ``asked`` (qid, .., tok, shelf, times, df, units, avgdl) add to units."""
+    f = ix.words.join(on_shelf(asked), list(on)).groupBy("qid", "ref", "block", "tok", "len", "times", "df", "units", "avgdl").agg(_weighted(weights))
+    return f.groupBy("qid", "ref", "block").agg(F.sum(F.col("times") * _idf() * _share(F.col("f"))).alias("part"))
+
+
+@dataclass(frozen=True)
+class Bounded:
+    """The state of a bounded ranking: ``early`` (qid, ref, block, part) of each query's rarest tokens, ``later`` its other tokens, ``near``
+    (qid, ref, part) the units whose bound reaches the last place, ``open`` (qid, block) where tokens of ``later`` alone could reach it."""
+
+    early: DataFrame
+    later: DataFrame
+    near: DataFrame
+    open: DataFrame
+
+
+def bounded(ix: Index, terms: DataFrame, limit: int, weights: Mapping[str, float] | None = None) -> Bounded:
+    """Scores the postings of each query's rarest tokens, EARLY of all its postings; the last of the ``limit`` best so far is what every
+    other unit has to reach. In a block of units of like length the later tokens add no more than the most occurrences at the
+    least length of one; a unit that cannot make up for the rest by that is out, and a block where they alone stay below is closed."""
+    most = max([1.0, *(weights or {}).values()])
+    by_df = Window.partitionBy("qid").orderBy("df", "tok")
+    known = terms.join(ix.frequencies, "tok").withColumns({"so_far": F.sum("df").over(by_df), "all": F.sum("df").over(Window.partitionBy("qid")), "place": F.row_number().over(by_df)})
+    known = known.withColumn("first", (F.col("place") == 1) | (F.col("so_far") <= EARLY * F.col("all"))).crossJoin(F.broadcast(ix.totals))
+    known = cut(known.select("qid", "tok", "times", "df", "units", "avgdl", "first", shelf(F.col("tok")).alias("shelf")))
+    early, later = cut(_parts(ix, known.filter("first"), ["shelf", "tok"], weights)), known.filter("NOT first")
+    last = rank(early.withColumn("score", -F.col("part")), limit).filter(F.col("pos") == limit).select("qid", (F.col("part") - SLACK).alias("least"))
+    bound = F.sum(F.col("times") * _idf() * _share(most * F.col("n"))).alias("more")
+    more = cut(ix.bounds.drop("df").join(on_shelf(later), ["shelf", "tok"]).groupBy("qid", "block").agg(bound).join(last, "qid", "left"))
+    opened = more.filter(F.col("least").isNull() | (F.col("more") >= F.col("least"))).select("qid", "block")
+    # Where nothing can be added ``more`` has no row; where the limit was not reached every block is open.
+    near = early.join(last, "qid", "left").join(more.drop("least"), ["qid", "block"], "left")
+    near = near.filter(F.col("least").isNull() | (F.col("part") + F.coalesce("more", F.lit(0.0)) >= F.col("least"))).select("qid", "ref", "block", "part")
+    return Bounded(early, later, cut(near), opened)
+
+
+#: Postings of all queries below which scoring them outright costs less than finding out which ones count.
+OUTRIGHT = 20_000_000
+
+
+def top(ix: Index, terms: DataFrame, limit: int, weights: Mapping[str, float] | None = None, outright: int = OUTRIGHT) -> DataFrame:
+    """The first ``limit`` per query of ``score`` (qid, ref, score, pos); of ``outright`` postings or more, what cannot reach them is not scored."""
+    if (terms.join(ix.frequencies, "tok").agg(F.sum("df")).first()[0] or 0) < outright:
+        return rank(score(ix, terms, weights), limit).drop("hits")
+    b = bounded(ix, terms, limit, weights)
+    closed = b.near.join(b.open, ["qid", "block"], "left_anti").select("qid", "ref")
+    looked_up = _parts(ix, closed.join(b.later, "qid"), ["shelf", "tok", "ref"], weights)
+    scanned = _parts(ix, b.open.join(b.later, "qid"), ["shelf", "tok", "block"], weights)
+    # In open blocks a unit counts that only later tokens hold, or whose early ones alone were too little.
+    early = b.near.unionByName(b.early.join(b.open, ["qid", "block"], "left_semi").join(b.near.select("qid", "ref"), ["qid", "ref"], "left_anti"))
+    parts = early.unionByName(looked_up).unionByName(scanned)
+    return rank(parts.groupBy("qid", "ref").agg((-F.sum("part")).alias("score")), limit)
+
+
 def score_all(ix: Index, terms: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """The same of the units that hold every one of a query's ``terms`` (qid, n, tok, times). Each query starts from the units of
+    """The same as ``score`` of the units that hold every one of a query's ``terms`` (qid, n, tok, times). Each query starts from the units of
     its rarest token; of the other tokens' postings only those of these units are kept, before anything is grouped."""
     known = terms.withColumnRenamed("n", "m").join(ix.frequencies, "tok")
     least = known.groupBy("qid", "m").agg(F.count("*").alias("known"), F.min(F.struct("df", "tok")).alias("least")).filter("known = m")
-    likely = least.select("qid", F.col("least.tok").alias("tok")).join(ix.words.select("tok", "ref"), "tok").select("qid", "ref").distinct()
-    pairs = likely.join(known, "qid").join(ix.words, ["tok", "ref"])
+    rarest = on_shelf(least.select("qid", F.col("least.tok").alias("tok")))
+    likely = rarest.join(ix.words.select("shelf", "tok", "ref"), ["shelf", "tok"]).select("qid", "ref").distinct()
+    pairs = likely.join(known, "qid").withColumn("shelf", shelf(F.col("tok"))).join(ix.words, ["shelf", "tok", "ref"])
     # A row per (query, unit, term) from a row per field.
-    f = pairs.groupBy("qid", "ref", "tok", "m", "times", "df").agg(_weighted(weights))
+    f = pairs.groupBy("qid", "ref", "tok", "m", "times", "df", "len").agg(_weighted(weights))
     return _part(ix, f).groupBy("qid", "ref", "m").agg(F.count("*").alias("hits"), _summed()).filter("hits = m").drop("m")
 
 
@@ -145,12 +214,3 @@ def rank_docs(candidates: DataFrame, docs: DataFrame, queries: DataFrame, limit:
 
 def n_tokens(text: Column) -> Column:
     return F.size(tokens(text))
-
-
-def drop_common(terms: DataFrame, df: DataFrame, n: int, ratio: float | None) -> DataFrame:
-    """Optionally without tokens that more than ``ratio`` of all rows hold."""
-    if ratio is None:
-        return terms
-    return terms.join(df.filter(F.col("df") > ratio * n).select("tok"), "tok", "left_anti")
-
-

@@ -1,17 +1,16 @@
-"""The full-text index as relations, and inverted vector cells."""
+"""The full-text index as relations."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import tokens
-from tessera.runtime import remove, spread
+from tessera.runtime import spread
 
 
 def units(df: DataFrame, ref: str, fields: list[str]) -> DataFrame:
@@ -32,11 +31,7 @@ def postings(u: DataFrame) -> DataFrame:
 
 def lengths(u: DataFrame) -> DataFrame:
     """ref, len: tokens of all fields."""
-    return _lengths(tokenised(u))
-
-
-def _lengths(told: DataFrame) -> DataFrame:
-    return told.groupBy("ref").agg(F.sum(F.size("t")).alias("len"))
+    return tokenised(u).filter("ref IS NOT NULL").groupBy("ref").agg(F.sum(F.size("t")).alias("len"))
 
 
 def stats(length: DataFrame) -> DataFrame:
@@ -70,48 +65,97 @@ def text_bigrams(u: DataFrame) -> DataFrame:
     return _pairs(tokenised(u))
 
 
+#: Places that tokens are dealt to (folders of a written index), and that the rows of one token are dealt to within a place.
+SHELVES, SALTS = 64, 8
+#: Units within a step of an octave of length share a block.
+LIKE = 3
+
+
+def shelf(tok: Column) -> Column:
+    """Where a token's postings stand."""
+    return F.pmod(F.xxhash64(tok), F.lit(SHELVES)).cast("int")
+
+
+def on_shelf(terms: DataFrame) -> DataFrame:
+    """``terms`` with the shelf of ``tok``. The comparison filters nothing; it tells the optimizer that terms are selective, so that
+    their join with postings prunes the folders read by the shelves asked for."""
+    return terms.withColumn("shelf", shelf(F.col("tok"))).filter("tok > ''")
+
+
 @dataclass(frozen=True)
 class Index:
-    """What rankings read: ``words`` and ``pairs`` (tok, ref, field, n: how often), ``lengths`` (ref, len), ``frequencies`` (tok, df)."""
+    """What rankings read: ``words`` and ``pairs`` (tok, ref, field, n: how often, len: tokens of the unit, block, shelf), ``bounds`` (tok, block, df, n, len:
+    units of the block that hold the token, the most of it in one and the least length of one, shelf), ``lengths`` (ref, len), ``frequencies`` (tok, df),
+    ``totals`` (one row: units, avgdl)."""
 
     words: DataFrame
     pairs: DataFrame
+    bounds: DataFrame
     lengths: DataFrame
     frequencies: DataFrame
+    totals: DataFrame
+
 
+def _block() -> Column:
+    """Blocks hold units of like length: a step of its logarithm."""
+    return F.floor(F.log2(F.col("len") + 1) * LIKE).cast("int")
 
-def _counted(posts: DataFrame) -> DataFrame:
-    return posts.filter("ref is not null and tok is not null").groupBy("tok", "ref", "field").agg(F.count("*").alias("n"))
 
+def _posted(told: DataFrame) -> DataFrame:
+    """kind (0: words, 1: pairs, 2: the unit itself, with an empty token), tok, ref, field, n, len, block, shelf. Rows are dealt by unit
+    once; what stands in one unit is counted there, without another shuffle."""
+    t = F.col("t")
+    pairs = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(t, i + 1)))
+    whole = F.sum(F.size("t")).over(Window.partitionBy("ref"))
+    rows = told.filter("ref IS NOT NULL").withColumn("len", whole).select("ref", "field", "len", F.explode(F.concat(t, pairs, F.array(F.lit("")))).alias("tok")).filter("tok IS NOT NULL")
+    counted = rows.groupBy("ref", "len", "field", "tok").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("tok") == "", 2).when(F.contains("tok", F.lit(" ")), 1).otherwise(0)
+    return counted.select(kind.alias("kind"), "tok", "ref", "field", "n", "len", _block().alias("block"), shelf(F.col("tok")).alias("shelf"))
 
-def _index(told: DataFrame) -> Index:
-    words = _counted(told.select("ref", "field", F.explode("t").alias("tok")))
-    return Index(words, _counted(_pairs(told)), _lengths(told), frequencies(words))
 
+def _views(posted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """words, pairs, lengths."""
+    one = lambda kind: posted.filter(F.col("kind") == kind).drop("kind")
+    return one(0), one(1), one(2).select("ref", "len").distinct()
 
-def of(u: DataFrame) -> Index:
-    """The index of ``u`` as relations yet to be worked out: for units that are ranked once."""
-    return _index(tokenised(u))
 
+def _bounds(words: DataFrame) -> DataFrame:
+    unit = words.groupBy("shelf", "tok", "ref", "block", "len").agg(F.sum("n").alias("n"))
+    return unit.groupBy("shelf", "tok", "block").agg(F.count("*").alias("df"), F.max("n").alias("n"), F.min("len").alias("len"))
 
-#: Parts over which the rows of one token are dealt, so that a token of nearly all units is no single task.
-SALTS = 8
+
+def _frequencies(bounds: DataFrame) -> DataFrame:
+    return bounds.groupBy("tok").agg(F.sum("df").alias("df"))
+
+
+def _totals(length: DataFrame) -> DataFrame:
+    return stats(length).withColumnRenamed("n", "units")
+
+
+def of(u: DataFrame) -> Index:
+    """The index of ``u`` as relations yet to be worked out: for units that are ranked once."""
+    words, pairs, length = _views(_posted(tokenised(u)))
+    bounds = _bounds(words)
+    return Index(words, pairs, bounds, length, _frequencies(bounds), _totals(length))
 
 
 def build(u: DataFrame, path: str) -> Index:
-    """Writes the index of ``u`` under ``path`` and reads it back. Every text is tokenised once; words and pairs lie by
-    token (sorted within files, so that a token's rows are skipped to). A rebuild replaces it."""
+    """Writes the index of ``u`` under ``path`` and reads it back. Every text is tokenised once; words and pairs lie in a folder for each
+    shelf, sorted by token within files, those of one token in several files. A rebuild replaces it."""
     spark = u.sparkSession
-    names = ("words", "pairs", "lengths", "frequencies")
-    tokenised(spread(u)).write.mode("overwrite").parquet(f"{path}/tokens")
-    made = _index(spark.read.parquet(f"{path}/tokens"))
-    for name in ("words", "pairs"):
-        rows = getattr(made, name).repartition("tok", F.pmod(F.xxhash64("ref"), F.lit(SALTS))).sortWithinPartitions("tok", "ref")
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    frequencies(spark.read.parquet(f"{path}/words")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    remove(spark, f"{path}/tokens")
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in names])
+    write = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}") if by else rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    posted = _posted(tokenised(spread(u)))
+    laid = posted.repartition("kind", "shelf", F.pmod(F.xxhash64("ref"), F.lit(SALTS))).sortWithinPartitions("kind", "shelf", "tok", "block")
+    write(laid, "postings", "kind", "shelf")
+    schema = T.StructType([*[f for f in posted.schema if f.name not in ("kind", "shelf")], posted.schema["kind"], posted.schema["shelf"]])
+    words, pairs, length = _views(spark.read.schema(schema).parquet(f"{path}/postings"))
+    write(length, "lengths")
+    write(_bounds(words).repartition("shelf").sortWithinPartitions("shelf", "tok"), "bounds", "shelf")
+    bounds = spark.read.schema("tok string, block int, df long, n long, len long, shelf int").parquet(f"{path}/bounds")
+    write(_frequencies(bounds), "frequencies")
+    length = spark.read.parquet(f"{path}/lengths")
+    write(_totals(length), "totals")
+    return Index(words, pairs, bounds, length, spark.read.parquet(f"{path}/frequencies"), spark.read.parquet(f"{path}/totals"))
 
 
 def cell_count(n: int, least: int = 64, most: int = 4096) -> int:
@@ -119,31 +163,5 @@ def cell_count(n: int, least: int = 64, most: int = 4096) -> int:
     return max(least, min(most, math.isqrt(n)))
 
 
-def vector_cells(vectors: DataFrame, cells: int, key: str = "vec_id", vector: str = "embedding", seed: int = 7, sample: int = 100_000):
-    """(vectors with ``cell``, centroids): coarse quantiser fitted on at most ``sample`` rows."""
-    asked = vectors.select(key, vector).orderBy(F.xxhash64(key)).limit(sample).withColumn("features", array_to_vector(vector))
-    model = KMeans(k=cells, seed=seed, maxIter=15, featuresCol="features", predictionCol="cell").fit(asked)
-    return model.transform(vectors.withColumn("features", array_to_vector(vector))).drop("features"), model.clusterCenters()
-
-
-def product_codes(vectors: DataFrame, parts: int, codes: int = 256, key: str = "vec_id", vector: str = "embedding", seed: int = 7, sample: int = 20_000):
-    """(vectors with ``code``, array of one small integer per sub-vector; codebooks): product quantisation."""
-    width = vectors.select(F.size(vector)).first()[0] // parts
-    out, books = vectors, []
-    for p in range(parts):
-        part = F.slice(vector, p * width + 1, width).cast("array<double>")
-        asked = vectors.select(key, part.alias("s")).orderBy(F.xxhash64(key)).limit(sample).withColumn("features", array_to_vector("s"))
-        model = KMeans(k=codes, seed=seed + p, maxIter=8, featuresCol="features", predictionCol=f"__c{p}").fit(asked)
-        out = model.transform(out.withColumn("features", array_to_vector(part))).drop("features")
-        books.append(model.clusterCenters())
-    return out.withColumn("code", F.array(*[f"__c{p}" for p in range(parts)])).drop(*[f"__c{p}" for p in range(parts)]), books
-
-
 #: Below so many vectors a search of all of them needs no cells.
 LEAST_FOR_CELLS = 10_000
-
-
-def ann(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: int = LEAST_FOR_CELLS):
-    """(vectors with ``cell``, centroids) with the square root of the rows as cells, or None below ``least`` rows."""
-    n = vectors.count()
-    return None if n < least else vector_cells(vectors, cell_count(n), key, vector)

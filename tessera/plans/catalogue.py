@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import GENERIC, LEGAL
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, enrich, evaluate, fuse, index, rerank, serve, split, vector
+from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf, rerank, serve, split, vector
 from tessera.plans import retrieval
 from tessera.plans import sqltext as s
 from tessera.runtime import cut, remove, scratch, spread, table
@@ -83,7 +83,7 @@ _RANKED = "qid, ref, pos::INT AS pos, round(score, 6) AS score"
 @query(s.with_(s.BODIES, s.index("bodies"), s.QUERIES, s.OR_TERMS, s.score("r", "bodies", "bodies_p", "or_terms")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
 def bm25_or_topk(spark, sf):
     ix, q = src.indexed(spark, sf, "bodies"), src.questions(spark, sf)
-    return bm25.rank(bm25.score(ix, bm25.or_terms(q)), 10).select("qid", "ref", "pos", _r("score"))
+    return bm25.top(ix, bm25.or_terms(q), 10).select("qid", "ref", "pos", _r("score"))
 
 
 @query(
@@ -102,7 +102,7 @@ def bm25_and_topk(spark, sf):
 )
 def bm25_weighted_fields(spark, sf):
     ix, q = src.indexed(spark, sf, "qa"), src.questions(spark, sf)
-    return bm25.rank(bm25.score(ix, bm25.or_terms(q), GENERIC.qa_weights), 10).select("qid", "ref", "pos", _r("score"))
+    return bm25.top(ix, bm25.or_terms(q), 10, GENERIC.qa_weights).select("qid", "ref", "pos", _r("score"))
 
 
 @query(
@@ -113,7 +113,7 @@ def bm25_weighted_fields(spark, sf):
 def bm25_terms_topk(spark, sf):
     ix = src.indexed(spark, sf, "terms")
     q = table(spark, sf, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
-    return bm25.rank(bm25.score(ix, bm25.or_terms(q), GENERIC.term_weights), 15).select("qid", "ref", "pos", _r("score"))
+    return bm25.top(ix, bm25.or_terms(q), 15, GENERIC.term_weights).select("qid", "ref", "pos", _r("score"))
 
 
 @query(s.with_(s.BODIES, s.QUERIES, s.FILTERED, s.whole("bodies"), s.score("r", "bodies", "bodies_b", "bodies_pt")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
@@ -209,23 +209,22 @@ def vector_dangling_refs(spark, sf):
 
 @query()
 def ivf_topk(spark, sf):
-    v = table(spark, sf, "embeddings")
-    celled, centres = index.vector_cells(v, index.cell_count(v.count(), 16))
-    asked = v.filter("vec_id % 100 = 0")
-    return vector.cells_top(celled, centres, asked, 10, vector.probes_for(celled, centres, 10)).select("query_id", "vec_id", "pos", _r("dist"))
+    """Cells alone: the vectors of the visited cells are compared themselves."""
+    ix = src.vector_index(spark, sf, 1)
+    return ivf.search(ix, _asked(spark, sf), 10, codes=False).select("query_id", "vec_id", "pos", _r("dist"))
 
 
 @query()
 def pq_topk(spark, sf):
-    v = table(spark, sf, "embeddings")
-    coded, books = index.product_codes(v, 16, 32)
-    return vector.product_top(coded, books, v.filter("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "pos", _r("dist"))
+    """Cells and residual codes: only the best by codes are compared by their vectors."""
+    ix = src.vector_index(spark, sf, 1)
+    return ivf.search(ix, _asked(spark, sf), 10).select("query_id", "vec_id", "pos", _r("dist"))
 
 
 @query()
 def pq_codes(spark, sf):
-    coded, _ = index.product_codes(table(spark, sf, "embeddings"), 8, 16)
-    return coded.select("vec_id", F.array_join("code", ",").alias("code"))
+    """The cell and the residual's codes of every vector."""
+    return src.vector_index(spark, sf, 1).codes.select(F.col("key").alias("vec_id"), "cell", F.hex("code").alias("code"))
 
 
 @query()
@@ -325,7 +324,7 @@ def _vector_hits(spark, sf):
     q = src.questions(spark, sf).select(F.col("qid").alias("vec_id"))
     encoded = table(spark, sf, "embeddings").join(q, "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), "embedding")
     known = {"chunk": table(spark, sf, "documents").select(F.col("doc_id").alias("ref")), "term": table(spark, sf, "part").select(F.col("p_partkey").alias("ref"))}
-    return retrieval.vector_hits(_store(spark, sf), encoded, 40, known)
+    return retrieval.vector_hits(_store(spark, sf), encoded, 40, known, src.vector_index(spark, sf))
 
 
 _VECTOR = f"""vx AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS pos FROM

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.operators import index
+from tessera.operators import index, ivf
 from tessera.runtime import scratch, stamp, table
 
 #: Fields of the document index, and how many texts without a pair of words a join may broadcast.
@@ -64,6 +64,17 @@ def indexed(spark: SparkSession, sf: str, name: str) -> index.Index:
     return _KEPT[at]
 
 
+_VECTORS: dict[tuple, ivf.VectorIndex | None] = {}
+
+
+def vector_index(spark: SparkSession, sf: str, least: int = ivf.LEAST_FOR_CELLS) -> ivf.VectorIndex | None:
+    """The inverted file of ``embeddings``, built once like the text indexes; None where there are fewer vectors than ``least``."""
+    at = (spark.sparkContext.applicationId, sf, least, stamp(spark, f"{sf}/embeddings.parquet"))
+    if at not in _VECTORS:
+        _VECTORS[at] = ivf.build(table(spark, sf, "embeddings", "vec_id", "embedding"), scratch(spark, "vectors"), least=least)
+    return _VECTORS[at]
+
+
 def qa(spark: SparkSession, sf: str) -> DataFrame:
     """ref, question, answer: a user turn and the assistant turn that follows it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -87,7 +98,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     t = tokens(F.col("q"))
     inner = q.select("qid", F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))).alias("t"))
     pairs = inner.select("qid", F.explode(F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("t", i + 1)))).alias("tok"))
-    posts = ix.pairs.join(pairs.select("tok").distinct(), "tok", "left_semi").select("tok", "ref").distinct()
+    posts = ix.pairs.join(index.on_shelf(pairs.select("tok").distinct()), ["shelf", "tok"], "left_semi").select("tok", "ref").distinct()
     least = pairs.join(posts.groupBy("tok").agg(F.count("*").alias("df")), "tok", "left").groupBy("qid").agg(F.min_by("tok", F.struct(F.coalesce("df", F.lit(0)), "tok")).alias("tok"))
     likely = least.join(posts, "tok").select("qid", "ref")
     d, whole = d.withColumnRenamed("doc_id", "ref"), F.contains("text", F.col("q"))

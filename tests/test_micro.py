@@ -358,32 +358,6 @@ def test_measures(spark):
 # Vectors
 
 
-def test_ivf_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    q = v.filter("vec_id < 20")
-    celled, centres = index.vector_cells(v, 16)
-    exact = {(r["query_id"], r["vec_id"]) for r in vector.exact_top(v, q, 10).collect()}
-    near = {(r["query_id"], r["vec_id"]) for r in vector.cells_top(celled, centres, q, 10, 8).collect()}
-    assert len(exact & near) / len(exact) >= 0.85
-    assert [index.cell_count(n) for n in (100, 1_110_000, 10**9)] == [64, 1053, 4096]
-
-
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_ivf_calibrated_recall(spark, sf):
-    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
-    got = {(r["query_id"], r["vec_id"]) for r in catalogue.queries()["ivf_topk"](spark, f"/root/testdata/{sf}").collect()}
-    exact = {(r["query_id"], r["vec_id"]) for r in vector.exact_top(v, v.filter("vec_id % 100 = 0"), 10).collect()}
-    assert len({q for q, _ in got}) == v.filter("vec_id % 100 = 0").count() and len(exact & got) / len(exact) >= 0.9
-    if sf != "sf0.01":
-        return
-    # All rows as queries, by the same cells and probes.
-    celled, centres = index.vector_cells(v, index.cell_count(v.count(), 16))
-    probes = vector.probes_for(celled, centres, 10)
-    near = {(r["query_id"], r["vec_id"]) for r in vector.cells_top(celled, centres, v, 10, probes).collect()}
-    whole = {(r["query_id"], r["vec_id"]) for r in vector.exact_top(v, v, 10).collect()}
-    assert len(whole & near) / len(whole) >= 0.9
-
-
 def test_encoder_is_unit_and_stable(spark):
     enc = vector.hashing_encoder(32)
     df = spark.createDataFrame([("a b",), ("a b",), ("",)], "t string").select(enc("t").alias("v"))
@@ -500,10 +474,6 @@ def test_index_and_cells_are_built(spark):
     for _ in range(2):
         built = index.build(u, path)
         assert built.words.agg(F.sum("n")).first()[0] == index.postings(u).count() and built.lengths.count() == 5
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    assert index.ann(v) is None
-    celled, centres = index.ann(v, least=100)
-    assert celled.count() == 500 and len(centres) == 64
 
 
 def test_preview_and_answers(spark):
@@ -659,12 +629,3 @@ def test_swap_that_was_cut_off_is_finished(spark):
     assert store.get_state(spark, path, "a") == "2"
     store.set_state(spark, path, "a", "3", 3)
     assert store.get_state(spark, path, "a") == "3"
-
-
-def test_cells_and_codes_find_the_near_ones(spark):
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    asked = v.filter("vec_id % 25 = 0")
-    exact = {(r["query_id"], r["vec_id"]) for r in vector.exact_top(v, asked, 10).collect()}
-    coded, books = index.product_codes(v, 16, 32)
-    near = {(r["query_id"], r["vec_id"]) for r in vector.product_top(coded, books, asked, 10).collect()}
-    assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact)
