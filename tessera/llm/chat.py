@@ -2,7 +2,7 @@ r"""Chat formatting: records of any known layout become canonical turns, then on
 
 A record is a JSON object, or columns whose type has its field paths. A JSON record's schema fingerprint is the hash of its nested field paths
 (``schema_of_variant`` with the types struck out and the fields in name order, as the engine
-gives them). The fingerprint selects a declarative mapping: where the list of turns is and
+gives them); of a record in columns, the hash of the sorted paths of its fields that are not null. The fingerprint selects a declarative mapping: where the list of turns is and
 which field is role and text (``messages``), or which fields make which turns in which order
 (``fields``). A layout is added by adding a ``Layout``; no code changes.
 
@@ -112,15 +112,15 @@ def _described(paths: Sequence[str]) -> str:
 
 def canonical(records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """Adds ``layout`` (name, null: unknown) and ``turns`` by the record's fingerprint. A record is a
-    JSON string, or a struct with one field per layout, of which the one that is not null holds the record."""
+    JSON string, or a struct: its fields that are not null are the record's, and a field that is a struct is a whole record."""
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     r, kind = F.col(record), records.schema[record].dataType
     if isinstance(kind, T.StructType):
-        known = {_described(la.paths): la for la in layouts}
-        for f in kind.fields:
-            if la := known.get(_described(_paths(f.dataType))):
-                hit = r[f.name].isNotNull()
-                name, turns = F.when(hit, F.lit(la.name)).otherwise(name), F.when(hit, _turns(la, r[f.name])).otherwise(turns)
+        fp = _own_fingerprint(r, kind)
+        for la in layouts:
+            if (source := _holder(r, kind, la)) is not None:
+                hit = fp == F.xxhash64(F.lit("\n".join(sorted(la.paths))))
+                name, turns = F.when(hit, F.lit(la.name)).otherwise(name), F.when(hit, _turns(la, source)).otherwise(turns)
         return records.withColumns({"layout": name, "turns": turns})
     for la in reversed(layouts):
         hit = F.col("__fp") == F.xxhash64(F.lit(_described(la.paths)))
@@ -134,6 +134,24 @@ def canonical(records: DataFrame, record: str = "record", layouts: Sequence[Layo
     return records.withColumn("__fp", fingerprint(r)).withColumns({"layout": name, "turns": turns}).drop("__fp")
 
 
+def _own_fingerprint(r: Column, kind: T.StructType) -> Column:
+    """The hash of the sorted field paths that a record in columns has: those of its fields that are not null. A field that is itself
+    a struct is a whole record of another layout, and its paths start in it."""
+    none = F.array().cast("array<string>")
+    paths = lambda f: _paths(f.dataType) if isinstance(f.dataType, T.StructType) else _paths(f.dataType, f.name)
+    here = [F.when(r[f.name].isNotNull(), F.array(*[F.lit(x) for x in paths(f)])).otherwise(none) for f in kind.fields]
+    return F.xxhash64(F.array_join(F.array_sort(F.flatten(F.array(*here))), "\n"))
+
+
+def _holder(r: Column, kind: T.StructType, la: Layout) -> Column | None:
+    """What holds the fields of a layout: a field of the record that is a whole record, or the record; None if its type has neither."""
+    for f in kind.fields:
+        if isinstance(f.dataType, T.StructType) and sorted(_paths(f.dataType)) == sorted(la.paths):
+            return r[f.name]
+    own = {x: f for f in kind.fields if not isinstance(f.dataType, T.StructType) for x in _paths(f.dataType, f.name)}
+    return r if own.keys() >= set(la.paths) else None
+
+
 def _turns(la: Layout, got: Column) -> Column:
     """The canonical turns of a record of a layout."""
     if la.messages:

@@ -13,7 +13,8 @@ short, lists of links included; what markup does not rule out there is not dropp
 Markup that names boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments) takes the weight from its lines, unless it wraps the page's content: a marked element
 that holds half or more of what the page's own article and main elements hold keeps its weight, and so does one
-by layout words or a form that holds ``MOST`` of the page's content by weight. If nothing is left, all
+by layout words or a form that holds ``MOST`` of the page's content by weight, or inside an article or main element of that element's. On
+elements of running text only a class all of whose words are marks counts. If nothing is left, all
 lines count again and the ratio alone decides.
 
 A container knows its parent, and weights are summed from the last container to the first, so the
@@ -21,7 +22,7 @@ work is linear in the page, however deep it nests.
 
 Cases: null and empty pages give an empty text; pages without any line at the threshold
 keep all lines that markup does not rule out; unclosed, crossed and stray tags are repaired
-as they stream; equal lines and equal ratios are judged alike, by their place; repeated rows are extracted row by row; a
+as they stream, a head without its end tag ends where its content cannot be one; equal lines and equal ratios are judged alike, by their place; repeated rows are extracted row by row; a
 very long page is one row's work, in memory linear in its length; an empty table gives an empty
 result; white space, no-break spaces included, becomes one space; other columns of the
 input stay outside, whatever their names.
@@ -47,6 +48,11 @@ DROPPED = SILENT | BOILERPLATE
 CONTAINERS = frozenset("html body main article section div td th table tbody tr blockquote center".split())
 BLOCKS = CONTAINERS | DROPPED | frozenset("header p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre figure figcaption address details summary hr br thead tfoot caption option hgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head, whose end tag may be left out: anything else ends it. What ends a control that nobody closed.
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+CONTROLS, ENDING = ("select", "button", "datalist"), frozenset("body main article section header footer nav".split())
+#: Elements of running text: on these a class has to be made of marks alone.
+TEXTUAL = HEADINGS | frozenset("p li dt dd pre blockquote figcaption summary".split())
 #: Words in class, id or role that mark boilerplate; those of ``LAYOUT`` also name wrappers of whole pages.
 MARKS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar sidenav
@@ -64,7 +70,7 @@ MOST = (2, 3)
 PLAIN, MARKED, WRAPPER = 0, 1, 2
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> int:
+def _marked(attrs: list[tuple[str, str | None]], textual: bool = False) -> int:
     """Whether class, id or role name boilerplate; a header of the article itself is none."""
     found = PLAIN
     for name, value in attrs:
@@ -74,6 +80,8 @@ def _marked(attrs: list[tuple[str, str | None]]) -> int:
             for token in value.lower().split():
                 parts = re.split(r"[^a-z0-9]+", token)
                 named = MARKS.intersection(parts)
+                if textual and not named.issuperset(parts):
+                    continue
                 if named and (OWN.isdisjoint(parts) or not {"comment", "comments", "ad", "ads", "share", "nav", "footer", "related"}.isdisjoint(parts) and {"has", "with", "no", "without"}.isdisjoint(parts)):
                     if not named <= LAYOUT:
                         return MARKED
@@ -126,6 +134,11 @@ class Lines(HTMLParser):
         return place if place > after else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.silent:
+            if self.open.get("head") and tag not in IN_HEAD:
+                self.pop_to(self.open["head"][-1])
+            if tag in ENDING and (place := self.last(CONTROLS)) >= 0:
+                self.pop_to(place)
         if tag in BLOCKS:
             self.end_line()
             if tag in ("p", "li", "dt", "dd") or tag in HEADINGS or tag in CONTAINERS:
@@ -140,7 +153,7 @@ class Lines(HTMLParser):
         inside = tag == "header" and self.last(("article", "main")) >= 0
         mark = WRAPPER if tag == "form" else MARKED if tag in BOILERPLATE or (tag == "header" and not inside) else PLAIN
         if not silent and not mark and attrs and not inside and tag not in ("html", "body", "main"):
-            mark = _marked(attrs)
+            mark = _marked(attrs, tag in TEXTUAL)
         around = -1
         if not silent and (mark or tag in CONTAINERS):
             around, self.at = self.at, len(self.parents)
@@ -172,6 +185,8 @@ class Lines(HTMLParser):
             self.pop_to(place)
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.stack[-1][0] == "head" and data.strip():
+            self.pop_to(len(self.stack) - 1)
         if not self.silent:
             self.text.append(data)
             if not self.links:
@@ -209,11 +224,20 @@ def _ruled_out(p: Lines) -> list[bool]:
         strict[k] |= strict[p.parents[k]]
     own = _summed([w if i else 0 for w, i in zip(weight, within, strict=True)], p.parents)
     apart = _summed([0 if out else w for w, out in zip(weight, strict, strict=True)], p.parents)
+    every = _summed(weight, p.parents)
+    around = [-1] * n  # the innermost own element around each container
+    for k in range(1, n):
+        around[k] = p.parents[k] if p.own[p.parents[k]] else around[p.parents[k]]
     out = [False] * n
     for k in range(1, n):
         mark = p.marks[k]
-        # Inside an own element a mark is meant: the element is what the page calls its content.
-        wraps = not within[k] and mark and (2 * own[k] >= own[0] > 0 or mark == WRAPPER and own[0] == 0 and MOST[1] * apart[k] >= MOST[0] * apart[0] > 0)
+        if not mark:
+            wraps = False
+        elif (e := around[k]) >= 0:
+            # Inside an own element: by layout words what holds most of it, by others what holds most where nothing else is left.
+            wraps = MOST[1] * apart[k] >= MOST[0] * apart[e] > 0 if mark == WRAPPER else apart[e] == 0 < MOST[0] * every[e] <= MOST[1] * every[k]
+        else:
+            wraps = 2 * own[k] >= own[0] > 0 or mark == WRAPPER and own[0] == 0 and MOST[1] * apart[k] >= MOST[0] * apart[0] > 0
         out[k] = out[p.parents[k]] or bool(mark and not wraps)
     return out
 

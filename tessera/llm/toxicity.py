@@ -7,12 +7,13 @@ by the log ratio of their rates in toxic and clean training texts.
 
 Training uses at most ``sample_rows`` labelled rows (a documented bound), the same ones for
 the same table: those with the smallest hash. They are split in folds by crc32(key) mod 5.
-The features of a training row come from a lexicon that its own fold had no part in, and the
+The features of a training row come from lexicon weights that its own fold had no part in (which tokens
+are weighed is chosen on all training folds), and the
 calibration is fitted on scores of trees that did not see the row's fold. The trees are
 small and fitted on the driver from that bounded sample; scoring is one pass over all rows.
 
 Cases: null and empty texts have all-zero features and get the score of those; repeated
-label rows of a key count once, as toxic if any says so, null labels not at all; labels of
+label rows of a key count once, as toxic if any says so, null labels not at all; a labelled key of several texts trains with one of them; labels of
 keys without a text do not take part; without labels of both classes a fixed rule stands in
 (lexicon density on a logistic curve); ties of the sample's order fall back on the key; texts of equal
 margin get equal scores, and equal margins are one point of the calibration; a very long text is scored
@@ -218,8 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).dropna().groupBy("key").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", fold).filter("fold <> 0").orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna()
-    # The broadcast side holds at most sample_rows small rows.
-    sample = cut(rows.join(F.broadcast(known), "key").repartition(24))
+    # The broadcast side holds at most sample_rows small rows; of the texts of a repeated key the one of the least hash stands for it.
+    drawn = rows.join(F.broadcast(known), "key").groupBy("key", "toxic", "fold").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    sample = cut(drawn.select("key", "toxic", "fold", "one.text").repartition(24))
     cells = sample.select("fold", "toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     lexicons = _lexicons(cut(cells.groupBy("word", "fold", "toxic").agg(F.count("*").alias("n"))))
 

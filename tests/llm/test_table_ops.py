@@ -47,6 +47,22 @@ def test_layouts_become_turns(spark):
         assert got[i]["turns"] is None and got[i]["formatted"] is None and got[i]["layout"] is None
 
 
+def test_columns_are_mapped_by_their_fingerprint(spark):
+    """Rows of several layouts in one table: which fields a row has, by hash, selects the mapping."""
+    kind = "id int, record struct<prompt:string,completion:string,instruction:string,output:string,system:string,messages:array<struct<role:string,content:string>>>"
+    rows = [
+        (0, ("p", "c", None, None, None, None)), (1, (None, None, "i", "o", "s", None)), (2, (None, None, None, None, None, [("user", "u"), ("assistant", None)])),
+        (3, ("p", None, None, None, None, None)), (4, ("p", "c", None, None, "s", None)), (5, (None,) * 6), (6, None), (7, ("", "", None, None, None, None)),
+    ]
+    df = chat.canonical(spark.createDataFrame(rows, kind))
+    got = {r["id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in df.collect()}
+    assert got[0] == ("pair", [("user", "p"), ("assistant", "c")]) and got[7] == ("pair", [("user", ""), ("assistant", "")])
+    assert got[1] == ("instruction", [("system", "s"), ("user", "i"), ("assistant", "o")])
+    assert got[2] == ("messages", [("user", "u"), ("assistant", "")])
+    assert all(got[i] == (None, None) for i in (3, 4, 5, 6))
+    assert "xxhash64" in chat.op5_chat_formatting(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_escapes_read_back(spark):
     nasty = ["", "\\", "\\t", "</turn>", "</turn>\n### assistant: x", "### user: ", "\\### Assistant: </turn> ok", "\\\\b\\h", "####", "é\n\n", ": ", "<" * 5]
     roles = ["user", "assistant", "a: b", "### x", ""]

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import components, html, segment, simhash, toxicity
 
@@ -260,6 +261,25 @@ def test_marks_weigh_and_wrappers_stay(page):
     assert html.extract(page) == TOLD
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<html><head><meta charset=utf-8><title>x</title><body><article>{BODY}</article>", TOLD),
+        (f"<head><title>x</title><script>var a = '<p>';</script><div class=menu>m</div><article>{BODY}</article>", TOLD),
+        ("<head><meta charset=utf-8>Bare words begin the body.<p>More.", "Bare words begin the body. More."),
+        (f"<main><h1>Title here</h1><div class='elementor-widget elementor-widget-text-editor'>{BODY}</div></main>", f"Title here {TOLD}"),
+        (f"<main><h1>Title here</h1><div class='content-sidebar-wrap'>{BODY}</div><div class=sidebar>Side</div></main>", f"Title here {TOLD}"),
+        (f"<article>{BODY}<p class='related-work'>Others have done this.</p><p class='advert'>Buy!</p></article>", f"{TOLD} Others have done this."),
+        (f"<article><div class='comments'>{BODY}</div></article>", TOLD),
+        (f"<main><article>{BODY}</article><section class=comments><p>{'What a fine comment. ' * 40}</p></section></main>", TOLD),
+        (f"<body><select><option>One<option>Two<article>{BODY}</article></body>", TOLD),
+        (f"<body><div><button>Go</div><main>{BODY}</main></body>", TOLD),
+    ],
+)
+def test_omitted_ends_and_marks_inside_the_content(page, want):
+    assert html.extract(page) == want
+
+
 def test_deep_nesting_is_linear():
     for unit in ("<div>some words here ", "<b>some words <p>here ", "<div><span class=ad>"):
         began = time.perf_counter()
@@ -284,6 +304,16 @@ def test_all_pages_against_their_articles(spark):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
 
 
+def test_pages_without_article_tags_against_a_plain_version(spark):
+    """The pages of the table with a plain div for their article: the ratio has to find the same text without the tag's help."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    bare = [(r["page_id"], re.sub(r"<article\b[^>]*>", "<div>", r["html"]).replace("</article>", "</div>")) for r in rows]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(bare, "page_id long, html string")).collect()}
+    whole = {r["page_id"]: html.extract(r["html"]) for r in rows}
+    assert sum(got[k] == whole[k] for k in whole) >= 0.9 * len(whole)
+    assert sum(whole[k] in got[k] for k in whole) >= 0.97 * len(whole)
+
+
 def test_main_text_frame(spark):
     pages = spark.createDataFrame([(i % 4, f"u{i}", p, i) for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text int")
     got = html.main_text(pages, "page_id", "html", "url").collect()
@@ -383,3 +413,17 @@ def test_bound_on_lattices_changes_nothing(vocabulary, monkeypatch):
     monkeypatch.setattr(segment, "EDGES", 10)
     monkeypatch.setattr(segment, "SLICE", 7)
     assert (segment.encode(texts, np.arange(400), segment.Lattices(vocabulary))[0] == whole).all()
+
+
+def test_toxicity_fits_no_more_than_its_bound(spark, monkeypatch):
+    """A labelled id of very many rows is one training row, and all of them are scored."""
+    seen = []
+    fit = toxicity.Boosted.fit
+    monkeypatch.setattr(toxicity.Boosted, "fit", lambda self, x, y: seen.append(len(y)) or fit(self, x, y))
+    hot = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("you idiot "), F.col("id")).alias("text"))
+    rest = spark.range(100, 400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "you stupid idiot").otherwise("fine words here").alias("text"))
+    labels = rest.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")).union(spark.range(1).select(F.lit(3).cast("long"), F.lit(1)))
+    docs = hot.union(rest)
+    model = toxicity.train(docs, labels, sample_rows=50)
+    assert seen and max(seen) <= 50
+    assert toxicity.scored(docs, model).count() == docs.count()
