@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,8 +65,9 @@ def text_bigrams(u: DataFrame) -> DataFrame:
     return _pairs(tokenised(u))
 
 
-#: Places that tokens are dealt to (folders of a written index), and that the rows of one token are dealt to within a place.
-SHELVES, SALTS = 64, 8
+#: Places that tokens are dealt to (folders of a written index), and the least number of places that the rows of one token are dealt to within
+#: one: there are more where a shuffle has more partitions. Within a file rows lie by token, so that row groups are skipped by its statistics.
+SHELVES, SALTS = 32, 8
 #: Units within a step of an octave of length share a block.
 LIKE = 3
 
@@ -142,20 +143,39 @@ def of(u: DataFrame) -> Index:
 def build(u: DataFrame, path: str) -> Index:
     """Writes the index of ``u`` under ``path`` and reads it back. Every text is tokenised once; words and pairs lie in a folder for each
     shelf, sorted by token within files, those of one token in several files. A rebuild replaces it."""
-    spark = u.sparkSession
-    write = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}") if by else rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    posted = _posted(tokenised(spread(u)))
-    laid = posted.repartition("kind", "shelf", F.pmod(F.xxhash64("ref"), F.lit(SALTS))).sortWithinPartitions("kind", "shelf", "tok", "block")
+    return lay(_posted(tokenised(spread(u))), path)
+
+
+BOUNDS = "tok string, block int, df long, n long, len long, shelf int"
+
+
+def lay(posted: DataFrame, path: str) -> Index:
+    """Writes postings, and what is derived from them, as an index under ``path``."""
+    write = lambda rows, name, *by: (rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")).parquet(f"{path}/{name}")
+    salts = max(SALTS, int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHELVES)
+    laid = posted.repartition("kind", "shelf", F.pmod(F.xxhash64("ref"), F.lit(salts))).sortWithinPartitions("kind", "shelf", "tok", "block")
     write(laid, "postings", "kind", "shelf")
-    schema = T.StructType([*[f for f in posted.schema if f.name not in ("kind", "shelf")], posted.schema["kind"], posted.schema["shelf"]])
-    words, pairs, length = _views(spark.read.schema(schema).parquet(f"{path}/postings"))
+    ref = posted.schema["ref"].dataType
+    words, _, length = _views(postings_of(posted.sparkSession, path, ref))
     write(length, "lengths")
     write(_bounds(words).repartition("shelf").sortWithinPartitions("shelf", "tok"), "bounds", "shelf")
-    bounds = spark.read.schema("tok string, block int, df long, n long, len long, shelf int").parquet(f"{path}/bounds")
-    write(_frequencies(bounds), "frequencies")
-    length = spark.read.parquet(f"{path}/lengths")
-    write(_totals(length), "totals")
-    return Index(words, pairs, bounds, length, spark.read.parquet(f"{path}/frequencies"), spark.read.parquet(f"{path}/totals"))
+    read = lambda name, told: posted.sparkSession.read.schema(told).parquet(f"{path}/{name}")
+    write(_frequencies(read("bounds", BOUNDS)), "frequencies")
+    write(_totals(read("lengths", f"ref {ref.simpleString()}, len long")), "totals")
+    return opened(posted.sparkSession, path, ref)
+
+
+def postings_of(spark: SparkSession, path: str, ref: T.DataType) -> DataFrame:
+    """All postings of the index under ``path``, with ``kind``."""
+    told = f"tok string, ref {ref.simpleString()}, field string, n long, len long, block int, kind int, shelf int"
+    return spark.read.schema(told).parquet(f"{path}/postings")
+
+
+def opened(spark: SparkSession, path: str, ref: T.DataType) -> Index:
+    """The index that was written under ``path``; ``ref`` is the type of its refs."""
+    read = lambda name, told: spark.read.schema(told).parquet(f"{path}/{name}")
+    words, pairs, _ = _views(postings_of(spark, path, ref))
+    return Index(words, pairs, read("bounds", BOUNDS), read("lengths", f"ref {ref.simpleString()}, len long"), read("frequencies", "tok string, df long"), read("totals", "units long, avgdl double"))
 
 
 def cell_count(n: int, least: int = 64, most: int = 4096) -> int:

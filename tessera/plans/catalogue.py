@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import GENERIC, LEGAL
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf, rerank, serve, split, vector
+from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf, rerank, segments, serve, split, vector
 from tessera.plans import retrieval
 from tessera.plans import sqltext as s
 from tessera.runtime import cut, remove, scratch, spread, table
@@ -86,6 +86,20 @@ def bm25_or_topk(spark, sf):
     return bm25.top(ix, bm25.or_terms(q), 10).select("qid", "ref", "pos", _r("score"))
 
 
+_KEPT_BODIES = s.BODIES.replace("FROM documents", "FROM documents WHERE doc_id % 50 <> 11")
+
+
+@query(s.with_(_KEPT_BODIES, s.index("bodies"), s.QUERIES, s.OR_TERMS, s.score("r", "bodies", "bodies_p", "or_terms")) + f"SELECT {_RANKED} FROM ({s.top('r', 10)})")
+def index_upkeep(spark, sf):
+    """Rankings over an index that was not rebuilt: of every fifty documents one comes late, one had another text before and one is withdrawn."""
+    d, at = src.bodies(spark, sf), F.col("ref") % 50
+    kept = segments.SegmentedIndex(spark, scratch(spark, "upkeep"))
+    kept.upsert(d.filter(at != 7).withColumn("text", F.when(at == 3, F.upper(F.substring("text", 100, 400))).otherwise(F.col("text"))))
+    kept.upsert(d.filter(at.isin(3, 7)), d.filter(at == 11).select("ref"))
+    q = src.questions(spark, sf)
+    return bm25.top(kept.view(), bm25.or_terms(q), 10).select("qid", "ref", "pos", _r("score"))
+
+
 @query(
     s.with_(s.BODIES, s.index("bodies"), s.QUERIES, s.FILTERED, s.AND_TERMS, s.score("r", "bodies", "bodies_p", "and_terms"),
             "m AS (SELECT r.* FROM r JOIN (SELECT DISTINCT qid, n FROM and_terms) USING (qid) WHERE hits = n)")

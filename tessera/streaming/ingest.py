@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.segments import SegmentedIndex
 from tessera.sources.store import first_wins, get_state, set_state
 
 #: Rows that an embedding build encodes between two savings of its cursor.
@@ -60,6 +61,19 @@ def embed_new(
     return len(todo), total
 
 
+def index_new(spark: SparkSession, source: str, schema: T.StructType, to_units: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, pattern: str = "*.parquet") -> int:
+    """Takes every file of ``source`` that the checkpoint does not know into the segmented index at ``path``; ``to_units`` makes (ref,
+    field, text) of a batch's rows. A batch that runs again after a crash is taken once. Returns the batches run."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        SegmentedIndex(spark, path).upsert(to_units(batch), batch=number)
+
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 8).parquet(source)
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return len(query.recentProgress)
+
+
 def unfinished(files: DataFrame, finished: DataFrame) -> DataFrame:
     """Shards (name) still to be done, for batch jobs without a stream."""
     return files.join(finished, "name", "left_anti")
