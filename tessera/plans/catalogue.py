@@ -494,13 +494,31 @@ def split_long_greedy(spark, sf):
     return c.select("doc_id", "part", "n_parts", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
+_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_CHUNKS = f"""j AS (SELECT doc_id, piece, no, book, {_STRIP.format('body')} AS t FROM p JOIN bk USING (doc_id, piece)),
+e AS (SELECT *, length(t) AS n, substr({_STRIP.format("string_split(t, chr(10))[1]")}, 1, {LEGAL.title_chars}) AS title,
+  list_filter(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN length(t) > {LEGAL.chunk_chars} AND substr(t, i, 1) = chr(10) THEN i - 1 END), lambda x: x > 0) AS bs
+  FROM j WHERE length(t) >= {LEGAL.least_chars}),
+r AS (SELECT *, 0::BIGINT AS start, 0 AS k FROM e UNION ALL
+  SELECT * REPLACE (coalesce(list_max(list_filter(bs, lambda x: x > start AND x <= start + {LEGAL.chunk_chars})), start + {LEGAL.chunk_chars})::BIGINT AS start, k + 1 AS k)
+  FROM r WHERE n - start > {LEGAL.chunk_chars}),
+x AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id, piece ORDER BY k), n) AS stop FROM r),
+y AS (SELECT *, {_STRIP.format('substr(t, start + 1, stop - start)')} AS body FROM x),
+z AS (SELECT *, row_number() OVER w - 1 AS part, count(*) OVER (PARTITION BY doc_id, piece) AS n_parts FROM y WHERE body <> '' WINDOW w AS (PARTITION BY doc_id, piece ORDER BY k)),
+v AS (SELECT doc_id, piece, part, n_parts, no, CASE WHEN part > 0 AND title <> '' THEN '{LEGAL.continued}' || title || chr(10) ELSE '' END || body AS body,
+  doc_id::VARCHAR || '#' || CASE WHEN book > 0 THEN 'b' || book::VARCHAR ELSE '' END || 'd' || no || CASE WHEN n_parts > 1 THEN '.' || part::VARCHAR ELSE '' END AS id
+  FROM z WHERE n_parts = 1 OR length(body) >= {LEGAL.least_chars})"""
+
+
 @query(
-    s.with_(_ART, _BOOKS, "j AS (SELECT p.doc_id, p.piece, p.no, bk.book, trim(p.body, ' ' || chr(9) || chr(10)) AS body FROM p JOIN bk USING (doc_id, piece)),\nu AS (SELECT *, doc_id::VARCHAR || '#' || CASE WHEN book > 0 THEN 'b' || book::VARCHAR ELSE '' END || 'd' || no AS id FROM j WHERE length(body) >= 50 AND length(body) <= 2400)")
-    + "SELECT id AS chunk_id, 'Điều ' || no AS label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY piece) AS r FROM u) WHERE r = 1"
+    s.with_(_ART, _BOOKS, _CHUNKS).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT id AS chunk_id, 'Điều ' || no || CASE WHEN n_parts > 1 THEN ' (phần ' || (part + 1)::VARCHAR || '/' || n_parts::VARCHAR || ')' ELSE '' END AS label, md5(body) AS h "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY piece, part) AS r FROM v) WHERE r = 1"
 )
 def chunk_identity_and_label(spark, sf):
-    c = split.split_documents(_legal(spark, sf)).filter("n_parts = 1 and article_no <> ''")
-    return c.select("chunk_id", split.label(F.col("article_no"), F.col("part"), F.col("n_parts")).alias("label"))
+    """All chunks, those of long articles with their part's number, label and repeated title."""
+    c = split.split_documents(_legal(spark, sf))
+    return c.select("chunk_id", split.label(F.col("article_no"), F.col("part"), F.col("n_parts")).alias("label"), F.md5(F.col("text").cast("binary")).alias("h"))
 
 
 # Metadata

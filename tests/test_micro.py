@@ -560,6 +560,49 @@ def test_scorer_that_fails_leaves_the_order(spark):
     assert sorted(r["ref"] for r in got if r["qid"] == 2) == [1, 2, 3] and min((r["pos"], r["ref"]) for r in got if r["qid"] == 1)[1] == 5
 
 
+def test_scorer_that_fails_on_a_worker_leaves_the_order(spark):
+    """A query all of whose pairs are scored is reranked, one with a pair in a failed batch keeps its order."""
+    q = spark.createDataFrame([(1, "words"), (2, "trouble")], "qid int, text string")
+
+    def score(queries, texts):
+        if "trouble" in queries:
+            raise RuntimeError("out of memory")
+        return [float("5" in t) for t in texts]
+
+    got = rerank.rerank(_hits(spark), q, 5, 3, rerank.pair_scorer(score, 1)).collect()
+    at = {k: [r["ref"] for r in sorted(got, key=lambda r: r["pos"]) if r["qid"] == k] for k in (1, 2)}
+    assert at == {1: [5, 1, 2], 2: [1, 2, 3]}
+
+
+def test_encoder_that_fails_on_a_worker_leaves_questions_out(spark):
+    def load():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("cannot encode")
+            return [[1.0, float(len(t))] for t in texts]
+
+        return model
+
+    def missing():
+        raise FileNotFoundError("no weights")
+
+    q = spark.createDataFrame([(1, "aa"), (2, "bad one"), (3, None), (4, "cccc")], "qid int, text string")
+    encoded = q.select("qid", vector.text_encoder(load, 1)(F.col("text")).alias("embedding"))
+    assert {r["qid"]: r["embedding"] for r in encoded.collect()} == {1: [1, 2], 2: None, 3: [1, 0], 4: [1, 4]}
+    store = spark.createDataFrame([(7, "chunk", 70, [1.0, 2.0]), (8, "chunk", 80, [1.0, 0.0])], "vec_id int, kind string, ref int, embedding array<float>")
+    assert sorted((r["qid"], r["ref"]) for r in retrieval.vector_hits(store, encoded, 1).collect()) == [(1, 70), (3, 80), (4, 70)]
+    none = q.select("qid", vector.text_encoder(missing)(F.col("text")).alias("embedding"))
+    assert retrieval.vector_hits(store, none, 1).count() == 0
+
+
+def test_source_that_fails_while_it_runs_is_left_out(spark):
+    q = spark.createDataFrame([(1, "alpha beta")], "qid long, text string")
+    u = index.units(spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "id long, body string"), "id", ["body"])
+    late = lambda: spark.createDataFrame([(1, "chunk", 5, 1)], "qid long, kind string, ref long, pos int").filter(F.raise_error(F.lit("lost")).isNull())
+    got = retrieval.lists(q, bodies=lambda: index.of(u), vector=late, apart=True).collect()
+    assert [(r["kind"], r["ref"], r["pos"]) for r in got] == [("chunk", 1, 1)]
+
+
 def test_pairs_are_scored_in_batches_of_like_length(spark):
     sizes = []
 
