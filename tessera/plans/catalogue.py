@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import GENERIC, LEGAL
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf, rerank, segments, serve, split, vector
+from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf, lsi, rerank, segments, serve, split, vector
 from tessera.plans import retrieval
 from tessera.plans import sqltext as s
 from tessera.runtime import cut, remove, scratch, spread, table
@@ -243,8 +243,28 @@ def pq_codes(spark, sf):
 
 @query()
 def encoded_questions(spark, sf):
-    q = src.questions(spark, sf)
-    return q.select("qid", F.array_join(F.transform(vector.hashing_encoder(64)(F.col("text")), lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
+    """The questions as vectors, by the encoder that is learned from the documents."""
+    encode = lsi.encoder(lsi.fit(table(spark, sf, "documents", "text")), spark)
+    return src.questions(spark, sf).select("qid", F.array_join(F.transform(encode(F.col("text")), lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
+
+
+def _recall(spark, sf, name, encode):
+    """How well the vectors of an encoder find the documents that hold a question whole."""
+    d, q = table(spark, sf, "documents", "doc_id", "text"), src.questions(spark, sf)
+    store = cut(d.select(F.col("doc_id").alias("vec_id"), encode(F.col("text")).alias("embedding")))
+    asked = cut(q.select(F.col("qid").alias("vec_id"), encode(F.col("text")).alias("embedding")))
+    ix = ivf.build(store, scratch(spark, "encoded"))
+    near = vector.exact_top(store, asked, 10) if ix is None else ivf.search(ix, asked, 10)
+    gold = src.gold(spark, sf)
+    ranks = evaluate.gold_ranks(gold, near.select(F.col("query_id").alias("qid"), F.col("vec_id").alias("ref"), "pos"))
+    return evaluate.measure(ranks).withColumn("encoder", F.lit(name))
+
+
+@query()
+def encoder_recall(spark, sf):
+    """The encoder that is learned from the documents beside the one that hashes words."""
+    learned = lsi.encoder(lsi.fit(table(spark, sf, "documents", "text")), spark)
+    return _recall(spark, sf, "learned", learned).unionByName(_recall(spark, sf, "hashed", vector.hashing_encoder(lsi.DIMENSIONS, "")))
 
 
 # Fusion
