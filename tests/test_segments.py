@@ -34,7 +34,7 @@ def test_upserts_and_merges_equal_a_rebuild(spark):
     rng = random.Random(4)
     terms = spark.createDataFrame([(q, f"w{rng.randint(0, 59)}", 1) for q in range(8) for _ in range(5)], "qid int, tok string, times int").dropDuplicates(["qid", "tok"])
     path, live, levels = scratch(spark, "segments"), {}, set()
-    for step in range(6):
+    for step in range(5):
         batch = {rng.randint(0, 80): text(rng) for _ in range(40 if step == 0 else 9)}
         gone = [] if step == 0 else rng.sample(sorted(live), 3) + [999]
         kept = SegmentedIndex(spark, path, fanout=2)
