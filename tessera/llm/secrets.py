@@ -14,7 +14,8 @@ Cases: null text is an empty text; empty texts have no findings; overlapping fin
 different kinds all stay, of equal starts in the order of the kinds; repeated rows and exact copies share one scan; a very
 long text is scanned whole, a kind at a time; an empty table
 gives an empty result; a ledger that does not exist yet counts as empty; other columns of
-the input do not take part, and one named ``__blob`` or ``__spans`` is replaced.
+the input do not take part, and names that start with
+``__`` and are used here are dropped or replaced.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ KINDS: tuple[Kind, ...] = (
     Kind("cloud", r"AIza[A-Za-z0-9_-]+", 0, 39, ("aiza",)),
 )
 RULE_VERSION = "1"
+#: Code points of the blocks that a text with findings is cut into for redaction.
+BLOCK = 2048
 PAIRS = "blob string, rules string"
 FINDINGS = "blob string, rules string, kind string, ord int, start long, stop long"
 
@@ -154,15 +157,36 @@ def joined(spans: Column, base_only: bool) -> Column:
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
-    """The text with each run of overlapping spans replaced by ``mark``."""
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)))
-        .otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], s["stop"]).alias("at"),
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.char_length(text))))
+def gaps(spark: SparkSession, ledger: str, rules: str = RULE_VERSION) -> DataFrame:
+    """blob, gaps (array of structs start, stop: what stands before each run of overlapping spans), stop (where
+    the last run ends) of the blobs with findings. Work is linear in the findings of a blob."""
+    f = _ledger(spark, ledger, "findings", FINDINGS).filter(F.col("rules") == rules)
+    # Dealt by blob once: repeats, the running stop and the array all keep that partitioning.
+    spans = f.select("blob", "start", "stop").repartition("blob").distinct()
+    before = F.max("stop").over(Window.partitionBy("blob").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("before", F.coalesce(before, F.lit(0)))
+    gap = F.when(F.col("start") >= F.col("before"), F.struct(F.col("before").alias("start"), F.col("start").alias("stop")))
+    return spans.groupBy("blob").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("stop").alias("stop"))
+
+
+def redacted(docs: DataFrame, ledger: str, text: str = "text", mark: str = "<secret>", rules: str = RULE_VERSION) -> DataFrame:
+    """``docs`` with each run of overlapping findings replaced by ``mark`` and ``__n``, the runs replaced. A slice of a long string
+    is searched from its start, so a text with findings is first cut into blocks, and a gap is sliced from its own: linear in the text."""
+    keyed = docs.drop("__gaps", "__stop").withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    found = gaps(docs.sparkSession, ledger, rules).select(F.col("blob").alias("__blob"), F.col("gaps").alias("__gaps"), F.col("stop").alias("__stop"))
+    rows = keyed.join(found, "__blob", "left")
+    blocks = F.when(F.col("__gaps").isNotNull(), F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+    def piece(start: Column, stop: Column) -> Column:
+        first, last = F.floor(start / BLOCK), F.floor(stop / BLOCK)
+        own = F.array_join(F.slice("__blocks", (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.substr(own, (start - first * BLOCK + 1).cast("int"), (stop - start).cast("int"))
+
+    kept = F.transform("__gaps", lambda g: F.concat(piece(g["start"], g["stop"]), F.lit(mark)))
+    whole = F.concat(F.array_join(kept, ""), piece(F.col("__stop"), F.char_length(text)))
+    clean = F.when(F.col("__gaps").isNotNull(), whole).otherwise(F.col(text))
+    out = rows.withColumn("__blocks", blocks).withColumn("__n", F.coalesce(F.array_size("__gaps"), F.lit(0)))
+    return out.withColumn(text, clean).drop("__blob", "__blocks", "__gaps", "__stop")
 
 
 def op10_secret_scans(spark, sf_dir):
