@@ -13,7 +13,7 @@ from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf,
 from tessera.plans import retrieval
 from tessera.plans import sqltext as s
 from tessera.runtime import cut, remove, scratch, spread, table
-from tessera.sources import store
+from tessera.sources import keyed, store
 from tessera.sources import tables as src
 
 _QUERIES: dict[str, Callable] = {}
@@ -829,6 +829,43 @@ def incremental_ingest(spark, sf):
     return read_once(spark, f"{base}/sink", ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("""WITH c AS (SELECT client_id, seq, change_id, op, source, segment, city, balance FROM client_changes WHERE client_id IS NOT NULL
+             UNION ALL SELECT client_id, -1, -1, 'I', source, segment, city, balance FROM clients WHERE client_id IS NOT NULL)
+SELECT client_id, seq, source, segment, city, round(balance, 6) AS balance FROM
+  (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST) AS r FROM c) WHERE r = 1 AND op IS DISTINCT FROM 'D'""")
+def clients_after_changes(spark, sf):
+    """The clients as of their newest changes: a keyed table, merged with the changes in two batches, the later change numbers first."""
+    base, rest = scratch(spark, "clients"), ["source", "segment", "city", "balance"]
+    held = keyed.KeyedTable(spark, base, ["client_id"], ["seq", "change_id"])
+    first = table(spark, sf, "clients", "client_id", *rest).withColumns({"seq": F.lit(-1).cast("long"), "change_id": F.lit(-1).cast("long"), "op": F.lit("I")})
+    held.merge(first, batch=0)
+    changes = table(spark, sf, "client_changes", "client_id", "seq", "change_id", "op", *rest)
+    middle = changes.agg(F.avg("change_id").alias("m"))
+    sides = changes.crossJoin(F.broadcast(middle)).withColumn("late", F.coalesce(F.col("change_id") > F.col("m"), F.lit(False))).drop("m")
+    for batch, late in ((1, True), (2, False)):
+        part = sides.filter(F.col("late") == late).select(*first.columns)
+        held.merge(part, F.col("op").eqNullSafe("D"), batch=batch)
+    out = cut(held.read().select("client_id", "seq", "source", "segment", "city", _r("balance")))
+    remove(spark, base)
+    return out
+
+
+@query(s.with_("whole AS (SELECT doc_id AS ref, 'body' AS field, text, 1.0 AS w FROM documents)", s.index("whole")) + "SELECT tok AS term, df FROM whole_df")
+def streamed_frequencies(spark, sf):
+    """Document frequencies by a stateful stream, in which every document comes twice: its first line, then its whole text, and again its first line, late."""
+    from tessera.streaming import frequencies
+
+    base, schema = scratch(spark, "frequencies"), table(spark, sf, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet*").parquet(sf)
+    line = F.substring_index("text", "\n", 1)
+    versions = F.array(*[F.struct(F.lit(n).cast("long").alias("seq"), t.alias("text")) for n, t in ((0, line), (1, F.col("text")), (0, line))])
+    changes = docs.select(F.col("doc_id").alias("ref"), F.explode(versions).alias("v")).select("ref", "v.seq", F.lit(False).alias("gone"), "v.text")
+    frequencies.keep(changes, f"{base}/counts", f"{base}/checkpoint")
+    out = cut(frequencies.frequencies(spark, f"{base}/counts").select(F.col("tok").alias("term"), "df"))
+    remove(spark, base)
+    return out
+
+
 @query("SELECT doc_id, CASE WHEN starts_with(coalesce(lang, ''), 'e') THEN 1 ELSE 0 END AS expired, lang || ', ' || source AS names FROM documents")
 def ingest_flags(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "lang", "source")
