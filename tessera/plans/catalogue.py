@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import GENERIC, LEGAL
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf, lsi, rerank, segments, serve, split, vector
+from tessera.operators import bm25, context, enrich, evaluate, fuse, index, ivf, learned, lsi, rerank, segments, serve, split, vector
 from tessera.plans import retrieval
 from tessera.plans import sqltext as s
 from tessera.runtime import cut, remove, scratch, spread, table
@@ -413,6 +413,59 @@ def rerank_lexical(spark, sf):
     return _hits(spark, sf, True).select("qid", "kind", "ref", "pos", _r("rerank_score"))
 
 
+#: Parts that the questions are dealt to by the checksum of their number: those of each are ranked by a scorer that the others taught.
+_FOLDS = 3
+#: Words of a question that are asked for.
+_ASKED = 5
+
+
+def _candidates(spark, sf):
+    """The documents found for the first words of each question, and whether they hold the question whole: by whole passages every ranking finds them."""
+    asked = src.questions(spark, sf).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, _ASKED), " "))
+    q = asked.select("qid", F.col("text").alias("query"), (F.crc32(F.col("qid").cast("string").cast("binary")) % _FOLDS).alias("fold"))
+    hits = bm25.top(src.indexed(spark, sf, "bodies"), bm25.or_terms(asked, GENERIC), 32, None).select("qid", "ref", "pos")
+    gold = src.gold(spark, sf).select("qid", "ref", F.lit(True).alias("right")).distinct()
+    found = hits.join(gold, ["qid", "ref"], "left").join(q, "qid")
+    texts = table(spark, sf, "documents", "text", "doc_id").withColumnRenamed("doc_id", "ref")
+    return cut(found.withColumn("right", F.coalesce("right", F.lit(False))).join(texts, "ref").withColumn("title", F.lit("")))
+
+
+def _by_folds(found):
+    """Each question's candidates by the scorer that the questions of the other folds taught."""
+    out = None
+    for k in range(_FOLDS):
+        mine = found.filter(F.col("fold") == k)
+        scorer = learned.fit(found.filter(F.col("fold") != k)).scorer()
+        ranked = _whole_rerank(mine, scorer)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
+def _whole_rerank(found, scorer):
+    asked = found.select("qid", F.col("query").alias("text")).distinct()
+    hits = found.select("qid", "ref", "pos", "title", "text")
+    return rerank.rerank(hits, asked, 32, 32, scorer, view=lambda _, text: text).select("qid", "ref", "pos", "rerank_score")
+
+
+@query()
+def learned_rerank(spark, sf):
+    """Candidates of every question, reranked by a scorer learned from the gold answers of other questions, over whole texts."""
+    return _by_folds(_candidates(spark, sf)).select("qid", "ref", "pos", _r("rerank_score"))
+
+
+@query()
+def learned_rerank_recall(spark, sf):
+    """The learned scorer on questions that it was not taught with, beside word overlap and the order of the ranking."""
+    found = _candidates(spark, sf)
+    gold = src.gold(spark, sf)
+    ways = {"ranking": found.select("qid", "ref", "pos"), "overlap": _whole_rerank(found, rerank.lexical), "learned": _by_folds(found)}
+    ranks = None
+    for name, hits in ways.items():
+        got = evaluate.gold_ranks(gold, hits.select("qid", "ref", "pos")).withColumn("scorer", F.lit(name))
+        ranks = got if ranks is None else ranks.unionByName(got)
+    return evaluate.measure(ranks, "scorer").select("scorer", "n", *[_r(f"r{k}") for k in evaluate.CUTS], _r("mrr"))
+
+
 @query()
 def answer_prompts(spark, sf):
     q = src.questions(spark, sf)
