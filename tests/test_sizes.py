@@ -1,6 +1,7 @@
 """Queries over tables as the larger runs have them: folders of many files, and more rows than a switch by size would let pass."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import catalogue
 from tests.compare import connect, differences
@@ -21,3 +22,11 @@ def folders(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["streamed_frequencies", "incremental_ingest"])
 def test_streams_take_tables_of_many_files(spark, folders, name):
     assert differences(catalogue.queries()[name](spark, folders), connect(folders), catalogue.oracle_sql()[name]) == ""
+
+
+def test_vector_retrieval_is_exact_over_many_vectors(spark, folders, tmp_path):
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{folders}/{t}.parquet") if t != "embeddings" else None
+    noise = [(F.rand(seed=i) - 0.5).cast("float") for i in range(8)]
+    spark.range(0, 12_000, 1, 2).select(F.col("id").alias("vec_id"), F.array(*noise).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert differences(catalogue.queries()["vector_retrieval"](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["vector_retrieval"]) == ""
