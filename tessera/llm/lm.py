@@ -9,9 +9,9 @@ all words and one unseen word of each ending add up to 1.
 
 Corpus statistics cover all rows: words are counted by task, then by word. The most frequent words, COMMON at most (a bound on what goes to the
 driver and to workers), are scored where the text is read; a text's other words leave it with their numbers and meet the whole table of
-counts in a join, so that any vocabulary gives exact counts. The model starts on WARM_ROWS training rows (a documented bound), which
-breaks the symmetry, then goes over every training row: tasks train apart from the same start, and their parameters are
-averaged by tokens, as sums of SYMBOLS rows in Spark. Small corpora are gone over more often. The normaliser is a table over all pairs
+counts in a join, so that any vocabulary gives exact counts. The model starts on a sample of about WARM_ROWS training rows (a documented bound), of which
+it sees TRAINED tokens, by as many passes as that takes; this breaks the symmetry. Then it goes over every training row once: tasks train apart from the same start,
+and their parameters are averaged by tokens, as sums of SYMBOLS rows in Spark. Both steps are the same for a corpus of any size. The normaliser is a table over all pairs
 of context symbols, made once by batched matrix products; a token's log probability is then a dot product less an entry of it.
 
 Cases: a null text is empty, and an empty one is its end alone; null ids are text that no modulus holds out (null is not 2), so they train;
@@ -47,9 +47,9 @@ END, START = SYMBOLS - 1, SYMBOLS  # the start is a context only
 WIDTH = 16
 CONTEXT = 2
 COMMON = 150_000
-WARM_ROWS, WARM_EPOCHS = 3000, 3
-#: Tokens that training goes over at least, if more than MOST_ROUNDS times the corpus is not needed for it.
-TRAINED, MOST_ROUNDS = 12_000_000, 6
+WARM_ROWS = 3000
+#: Tokens that the start trains on, of whatever corpus.
+TRAINED = 4_000_000
 BATCH, NOISE, RATE = 1024, 64, 0.15
 ROWS = 300
 BLOCK = 1 << 20
@@ -219,20 +219,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _learn(lexicon, start, order: int):
-    """Trains on the texts of a task from ``start`` and gives parameter rows times tokens."""
+def _learn(lexicon, start, order: int, most: int):
+    """Trains on the texts of a task from ``start`` and gives parameter rows times tokens: the first time (``order`` 0) on ``most`` tokens, the
+    texts over and over, then on each text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, (model, epochs) = pickle.loads(lexicon.value), pickle.loads(start.value)
+        lex, model = pickle.loads(lexicon.value), pickle.loads(start.value)
         rng = np.random.default_rng([order, TaskContext.get().partitionId()])
+
+        def go_over(context: np.ndarray, target: np.ndarray, most: int) -> None:
+            dealt = rng.permutation(len(target))[:most]
+            for at in range(0, len(dealt), BATCH):
+                pick = dealt[at : at + BATCH]
+                model.train(context[pick], target[pick], rng)
+
+        held = []
         for b in small(batches, ROWS):
-            texts = [np.concatenate([s for s, _, _ in lex.read(t.as_py())]) for t in b.column("text")]
-            context, target = contexts(texts)
-            for _ in range(epochs):
-                dealt = rng.permutation(len(target))
-                for at in range(0, len(dealt), BATCH):
-                    pick = dealt[at : at + BATCH]
-                    model.train(context[pick], target[pick], rng)
+            if order or sum(len(target) for _, target in held) < most:
+                texts = [np.concatenate([s for s, _, _ in lex.read(t.as_py())]) for t in b.column("text")]
+                context, target = contexts(texts)
+                if order:
+                    go_over(context, target, len(target))
+                else:
+                    held.append((context, target))
+        if held:
+            context, target = (np.concatenate(x) for x in zip(*held, strict=True))
+            while model.tokens < most:
+                go_over(context, target, most - model.tokens)
         if model.tokens:
             rows = model.rows()
             columns = [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(model.tokens))), *[pa.array(x) for x in (rows * model.tokens).T]]
@@ -342,17 +355,14 @@ class Counted:
 
 
 def fit(rows: DataFrame, counted: Counted, lexicon) -> Bilinear:
-    """The model, trained on the rows (key, text) that are not held out."""
+    """The model, trained on the rows (key, text) that are not held out: on the sample, then on all rows."""
     spark, model = rows.sparkSession, Bilinear(counted.unigram)
     if not counted.ends:
         return model
     width = model.rows().shape[1]
     schema = "row int, tokens double, " + ", ".join(f"x{i} double" for i in range(width))
-    rounds = max(1, min(MOST_ROUNDS, math.ceil(TRAINED / counted.tokens)))
-    for order in range(rounds + 1):
-        start = share(spark, (model, 1 if order else WARM_EPOCHS))
-        source = rows if order else _warm(rows, counted.ends)
-        learned = source.mapInArrow(_learn(lexicon, start, order), schema)
+    for order, source in enumerate((_warm(rows, counted.ends), rows)):
+        learned = source.mapInArrow(_learn(lexicon, share(spark, model), order, TRAINED), schema)
         #: As many rows as the model has parameters' rows.
         mean = learned.groupBy("row").agg(*[(F.sum(f"x{i}") / F.sum("tokens")).alias(f"x{i}") for i in range(width)]).toArrow().sort_by("row")
         if mean.num_rows:

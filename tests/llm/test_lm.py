@@ -145,3 +145,18 @@ def test_long_texts_in_pieces(monkeypatch):
     text = b"aa BB\tccc  dddddddddddddddddd e \n" * 9
     assert [w for p in lm.pieces(text) for w in p] == text.lower().split()
     assert list(lm.pieces(b"")) == [[]]
+
+
+def test_training_is_the_same_for_any_size(spark, monkeypatch):
+    """However few or many tokens there are, a start of TRAINED tokens and one pass over all rows."""
+    seen, shared = [], lm._learn
+    monkeypatch.setattr(lm, "TRAINED", 2000)
+    monkeypatch.setattr(lm, "_learn", lambda lexicon, start, order, most: (seen.append((order, most)), shared(lexicon, start, order, most))[1])
+    for n in (3, 60, 600):
+        docs = spark.createDataFrame([(i, "one two three four") for i in range(n)], SCHEMA)
+        assert lm.scored(docs).count() == n
+    assert seen == [(0, 2000), (1, 2000)] * 3
+    lexicon, model = lm.Lexicon([b"one"], np.array([3]), [b"one"], np.ones(lm.ENDINGS)), lm.Bilinear(np.ones(lm.SYMBOLS))
+    rows = spark.createDataFrame([(i, b"one one one") for i in range(10)], "key long, text binary").coalesce(1)
+    tokens = lambda order: rows.mapInArrow(shared(lm.share(spark, lexicon), lm.share(spark, model), order, 2000), "row int, tokens double, " + ", ".join(f"x{i} double" for i in range(lm.WIDTH + 3))).first()["tokens"]
+    assert (tokens(0), tokens(1)) == (2000, 40)
