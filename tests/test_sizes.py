@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.config import GENERIC
+from tessera.operators import bm25, index
 from tessera.plans import catalogue
+from tessera.sources import tables
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +33,47 @@ def test_vector_retrieval_is_exact_over_many_vectors(spark, folders, tmp_path):
     noise = [(F.rand(seed=i) - 0.5).cast("float") for i in range(8)]
     spark.range(0, 12_000, 1, 2).select(F.col("id").alias("vec_id"), F.array(*noise).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert differences(catalogue.queries()["vector_retrieval"](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["vector_retrieval"]) == ""
+
+
+def test_copies_of_units_and_queries_are_scored_once(spark):
+    """Sixty times the units and the queries leave as many postings to score; the ranking is that over all units."""
+    texts = ["large ring", "hot ring", "hot bolt", "", None, "ring ring large"]
+    rows = [(i, texts[i % 6], ["STEEL", "TIN"][i % 4 // 2]) for i in range(720)]
+    u = index.units(spark.createDataFrame(rows, "ref long, term string, definition string"), "ref", ["term", "definition"])
+    asked = [(q, t, 1) for q in range(90) for t in (("ring", "tin"), ("hot", "nowhere"), ("bolt", "large", "steel"))[q % 3]]
+    terms, weights = spark.createDataFrame(asked, "qid long, tok string, times int"), {"term": 5.0}
+    rows_of = lambda df: sorted((r["qid"], r["pos"], r["ref"], round(r["score"], 9)) for r in df.collect())
+    assert rows_of(bm25.top_by_class(u, terms, 7, weights)) == rows_of(bm25.rank(bm25.score(index.of(u), terms, weights), 7))
+    ix, members = index.of_classes(u, 7)
+    few, _ = index.of_classes(u.filter("ref < 12"), 7)
+    assert ix.words.count() == few.words.count() and members.count() <= 12 * 7
+    assert ix.totals.first()["units"] == 720
+
+
+def test_an_index_for_questions_holds_their_tokens_alone(spark, tmp_path):
+    """What no question asks for is not posted; rankings, lengths and totals are those of the whole index."""
+    sf = "/root/testdata/sf0.01"
+    u, q = tables.bodies(spark, sf).filter("ref < 300"), tables.questions(spark, sf).limit(5)
+    asked = bm25.asked(q, GENERIC)
+    whole, part = index.build(u, f"{tmp_path}/whole"), index.build(u, f"{tmp_path}/part", asked)
+    got = {r["tok"] for r in part.words.unionByName(part.pairs).select("tok").distinct().collect()}
+    assert got and got <= {r["tok"] for r in asked.collect()}
+    assert part.pairs.count() * 10 < whole.pairs.count()
+    for name in ("lengths", "totals"):
+        assert sorted(getattr(part, name).collect()) == sorted(getattr(whole, name).collect())
+    ways = [
+        lambda ix: bm25.rank(bm25.score(ix, bm25.or_terms(q)), 10),
+        lambda ix: bm25.top(ix, bm25.or_terms(q), 10, None, outright=0),
+        lambda ix: bm25.cascade(ix, q, 10, None, GENERIC),
+    ]
+    for way in ways:
+        a, b = (sorted((r["qid"], r["pos"], r["ref"], round(r["score"], 9)) for r in way(ix).collect()) for ix in (whole, part))
+        assert a == b and a
+
+
+def test_frequencies_and_lengths_need_no_index(spark, monkeypatch):
+    monkeypatch.setattr(index, "lay", lambda *_: 1 / 0)
+    for name in ("token_document_frequency", "doc_length_stats"):
+        assert differences(catalogue.queries()[name](spark, SF), connect(SF), catalogue.oracle_sql()[name]) == ""
+    u = spark.createDataFrame([(1, "a", "x y x"), (1, "b", "y z"), (2, "a", None), (None, "a", "x"), (3, "a", "x")], "ref int, field string, text string")
+    assert {(r["tok"], r["df"]) for r in index.unit_frequencies(u).collect()} == {("x", 2), ("y", 1), ("z", 1)}
