@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import GENERIC
-from tessera.operators import bm25, index
+from tessera.operators import bm25, index, lsi
 from tessera.plans import catalogue
 from tessera.sources import tables
 from tests.compare import connect, differences
@@ -77,3 +77,16 @@ def test_frequencies_and_lengths_need_no_index(spark, monkeypatch):
         assert differences(catalogue.queries()[name](spark, SF), connect(SF), catalogue.oracle_sql()[name]) == ""
     u = spark.createDataFrame([(1, "a", "x y x"), (1, "b", "y z"), (2, "a", None), (None, "a", "x"), (3, "a", "x")], "ref int, field string, text string")
     assert {(r["tok"], r["df"]) for r in index.unit_frequencies(u).collect()} == {("x", 2), ("y", 1), ("z", 1)}
+
+
+def test_the_encoder_reads_words_once(spark, monkeypatch):
+    """However many passes are made, the same tokens become numbers once; an empty and a null text have none."""
+    asked, real = [], lsi.tokens
+    monkeypatch.setattr(lsi, "tokens", lambda c: (asked.append(1), real(c))[1])
+    texts = spark.createDataFrame([(f"w{i % 7} w{i % 5} W{i % 3}",) for i in range(60)] + [("",), (None,)], "text string").coalesce(1)
+    cuts, cut = [], lsi.cut
+    monkeypatch.setattr(lsi, "cut", lambda df: (cuts.append(cut(df)), cuts[-1])[1])
+    p = lsi.fit(texts, dimensions=3, passes=5, share=1.0)
+    assert len(asked) == 1 and cuts[-1].columns == ["word", "weight"] and cuts[-1].count() == 62
+    assert sorted(p.place) == [f"w{i}" for i in range(7)] and p.block.shape == (7, 3)
+    assert sorted(len(r["word"]) for r in cuts[-1].collect())[:3] == [0, 0, 1]
