@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import LEGAL, Profile
-from tessera.functions.arrays import let, offsets
+from tessera.functions.arrays import let, offsets, settle
 from tessera.functions.text import normalize, strip
 
 
@@ -74,21 +74,22 @@ def books(articles: DataFrame, doc: str = "doc_id", order: str = "piece", number
     """Adds ``book``: how often the article numbers began anew (a low number after a higher one).
 
     The running state after number n is n itself for n <= 2, else the maximum since the
-    last such n; two windows give it without a fold.
+    last such n; two windows give it without a fold. A first piece without a number counts for nothing.
     """
     w = Window.partitionBy(doc).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     a = articles.withColumn("__seg", F.sum((F.col(number) <= 2).cast("int")).over(upto))
     a = a.withColumn("__hi", F.max(number).over(Window.partitionBy(doc, "__seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    a = a.withColumn("__p", F.lag("__hi", 1, -1).over(w))
+    a = a.withColumn("__p", F.coalesce(F.lag("__hi", 1).over(w), F.lit(-1)))
     fresh = (F.col("__p") >= 1) & (F.col(number) <= 2) & (F.col(number) < F.col("__p"))
     return a.withColumn("book", F.sum(fresh.cast("int")).over(upto)).drop("__seg", "__hi", "__p")
 
 
 def pieces(docs: DataFrame, profile: Profile = LEGAL, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, body, no (article number, null: preamble), chapter (nearest above), pieces (of the document) per piece of the normalized text."""
-    t = truncate_tail(normalize(F.coalesce(F.col(text), F.lit(""))), profile)
-    rows = docs.select(F.col(doc).alias("doc_id"), t.alias("t")).filter(F.char_length("t") >= profile.least_chars)
+    # Whole texts are normalized once and cut once, whatever looks at them after.
+    rows = settle(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("t")), "t", normalize(F.coalesce("t", F.lit(""))))
+    rows = settle(rows, "t", truncate_tail(F.col("t"), profile)).filter(F.char_length("t") >= profile.least_chars)
     if not profile.article:
         return rows.select("doc_id", F.lit(0).alias("piece"), F.col("t").alias("body"), F.lit("").alias("no"), F.lit("").alias("chapter"), F.lit(1).alias("pieces"))
     cut = F.split("t", f"(?md)(?=^{profile.article})", -1)
@@ -107,22 +108,24 @@ def split_documents(docs: DataFrame, profile: Profile = LEGAL, doc: str = "doc_i
     Of chunks with one id the first of the document stays, and leaves its later
     namesakes' places in ``seq`` empty.
     """
-    p = pieces(docs, profile, doc, text).withColumn("body", strip("body"))
+    p = settle(pieces(docs, profile, doc, text), "body", strip("body"))
     if profile.article:
+        # The beginning and the articles in one pass: numbers begin anew among articles alone, and the beginning has no number.
+        p = p.filter("no is not null or piece = 0").withColumn("n", F.regexp_extract("no", r"^(\d+)", 1).cast("long"))
+        p = books(p, number="n").filter(F.char_length("body") >= profile.least_chars)
         # Before articles it is stripped, then cut; of a text without articles the beginning is cut, then stripped.
-        head = F.substring("body", 1, profile.preamble_chars)
-        pre = p.filter("no is null and piece = 0").filter(F.char_length("body") >= profile.least_chars)
-        pre = pre.withColumn("body", F.when(F.col("pieces") > 1, head).otherwise(strip(head))).filter((F.col("pieces") > 1) | (F.char_length("body") >= profile.least_chars))
-        pre = pre.select("doc_id", F.lit(-1).alias("piece"), F.lit(0).alias("book"), F.lit("").alias("chapter"), F.lit("").alias("no"), F.lit("").alias("title"), "body")
-        art = p.filter("no is not null").withColumn("n", F.regexp_extract("no", r"^(\d+)", 1).cast("long"))
-        art = books(art, number="n").filter(F.char_length("body") >= profile.least_chars)
-        art = art.select("doc_id", "piece", "book", "chapter", "no", F.substring(strip(F.split("body", "\n", 2)[0]), 1, profile.title_chars).alias("title"), "body")
-        rows = art.select("*", split_long(F.col("body"), profile.chunk_chars, profile.clause).alias("parts")).unionByName(
-            pre.withColumn("parts", F.array("body"))
-        )
+        pre, head = F.col("no").isNull(), F.substring("body", 1, profile.preamble_chars)
+        p = p.withColumn("body", F.when(~pre, F.col("body")).when(F.col("pieces") > 1, head).otherwise(strip(head)))
+        p = p.filter(~pre | (F.col("pieces") > 1) | (F.char_length("body") >= profile.least_chars))
+        title = F.substring(strip(F.split("body", "\n", 2)[0]), 1, profile.title_chars)
+        of = lambda at_first, else_: F.when(pre, at_first).otherwise(else_)
+        rows = p.select(
+            "doc_id", of(F.lit(-1), F.col("piece")).alias("piece"), of(F.lit(0), F.col("book")).alias("book"), of(F.lit(""), F.col("chapter")).alias("chapter"),
+            F.coalesce("no", F.lit("")).alias("no"), of(F.lit(""), title).alias("title"), "body", of(F.array("body"), split_long(F.col("body"), profile.chunk_chars, profile.clause)).alias("parts"),
+        )
     else:
         rows = p.select("doc_id", "piece", F.lit(0).alias("book"), "chapter", "no", F.lit("").alias("title"), "body").withColumn("parts", split_long(F.col("body"), profile.chunk_chars, None))
-    rows = rows.withColumn("n_parts", F.size("parts")).select("doc_id", "piece", "book", "chapter", "no", "title", "n_parts", F.posexplode("parts").alias("part", "text"))
+    rows = settle(rows, "parts", F.col("parts")).withColumn("n_parts", F.size("parts")).select("doc_id", "piece", "book", "chapter", "no", "title", "n_parts", F.posexplode("parts").alias("part", "text"))
     rows = rows.withColumn("text", F.when(F.col("piece") < 0, F.col("text")).otherwise(strip("text"))).filter((F.col("n_parts") == 1) | (F.char_length("text") >= profile.least_chars))
     if profile.article:
         rows = rows.withColumn("text", F.when((F.col("part") > 0) & (F.col("title") != ""), F.concat(F.lit(profile.continued), "title", F.lit("\n"), "text")).otherwise(F.col("text")))

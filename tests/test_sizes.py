@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import GENERIC
-from tessera.operators import bm25, index, lsi
+from tessera.operators import bm25, index, lsi, split
 from tessera.plans import catalogue
 from tessera.sources import tables
 from tests.compare import connect, differences
@@ -90,3 +90,12 @@ def test_the_encoder_reads_words_once(spark, monkeypatch):
     assert len(asked) == 1 and cuts[-1].columns == ["word", "weight"] and cuts[-1].count() == 62
     assert sorted(p.place) == [f"w{i}" for i in range(7)] and p.block.shape == (7, 3)
     assert sorted(len(r["word"]) for r in cuts[-1].collect())[:3] == [0, 0, 1]
+
+
+def test_splitting_normalizes_a_text_once(spark):
+    """However many filters and expressions look at a text, each step of its normalization stands in the plan once."""
+    docs = spark.createDataFrame([(1, "Mở đầu  " * 20 + "\nĐiều 1. " + "a " * 40)], "doc_id int, text string")
+    out = split.split_documents(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\n{3,}") == 1
+    assert sorted(r["chunk_id"] for r in out.collect()) == ["1#d1", "1#pre"]
