@@ -99,3 +99,25 @@ def test_splitting_normalizes_a_text_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\\n{3,}") == 1
     assert sorted(r["chunk_id"] for r in out.collect()) == ["1#d1", "1#pre"]
+
+
+def test_blocks_rank_as_all_matches_do(spark, monkeypatch):
+    """Of a query no more than the limit leaves a block, however many units match; ties, field weights, repeated and unknown words included."""
+    texts = ["red ring", "ring red ring", "hot bolt", "", None, "red hot ring bolt"]
+    rows = [(i, texts[i % 6] if i % 50 else "ring of red gold", ["tin", "red"][i % 4 // 2]) for i in range(900)]
+    ix = index.of(index.units(spark.createDataFrame(rows, "ref long, a string, b string"), "ref", ["a", "b"]))
+    q = spark.createDataFrame([(1, "red ring"), (2, "hot bolt red"), (3, "nowhere"), (4, "ring nowhere red ring"), (5, ""), (6, "gold")], "qid long, text string")
+    monkeypatch.setattr(bm25, "UNITS", 100)
+    monkeypatch.setattr(bm25, "LEAST_BLOCKS", 3)
+    seen, rank = [], bm25.rank
+    monkeypatch.setattr(bm25, "rank", lambda rows, limit, *b: (seen.append(rows.count()), rank(rows, limit, *b))[1])
+    rows_of = lambda df: sorted((r["qid"], r["pos"], r["ref"], round(r["score"], 9)) for r in df.collect())
+    weights = {"a": 2.0, "b": 0.5}
+    both, any_, phrases = bm25.and_terms(q, GENERIC), bm25.or_terms(q), bm25.phrase_terms(q, ix.frequencies, GENERIC)
+    for got, want in (
+        (bm25.best(ix, both, 7, weights), bm25.score_all(ix, both, weights)),
+        (bm25.best(ix, any_, 7, weights), bm25.score(ix, any_, weights)),
+        (bm25.best(ix, phrases, 7, weights, pairs=True), bm25.score(ix, phrases, weights, pairs=True)),
+    ):
+        assert 0 < seen[-1] <= 6 * 7 * 9
+        assert rows_of(got) == rows_of(rank(want, 7))
