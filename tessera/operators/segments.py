@@ -28,10 +28,11 @@ FANOUT = 4
 
 
 class SegmentedIndex:
-    """The segments under ``path``, as of the newest manifest."""
+    """The segments under ``path``, as of the newest manifest. For standing questions, ``asked`` (tok, the same ones at every opening) are the
+    only tokens that are posted; lengths, totals and what is dead are of all units."""
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, asked: DataFrame | None = None):
+        self.spark, self.path, self.fanout, self.asked = spark, path.rstrip("/"), fanout, asked
         self.state = self._newest()
 
     # The manifest
@@ -110,7 +111,7 @@ class SegmentedIndex:
         if u is not None:
             s["ref"] = T.StructType([T.StructField("ref", u.schema["ref"].dataType)]).jsonValue()
             name = f"segment-{s['made']}"
-            made = index.build(u, f"{self.path}/{name}")
+            made = index.build(u, f"{self.path}/{name}", self.asked)
             if made.totals.first()["units"]:
                 s["segments"].append({"name": name, "level": 0})
             else:

@@ -92,3 +92,21 @@ def test_a_stream_of_files_feeds_the_index(spark, tmp_path):
     units(spark, {2: "a", 3: "d"}).coalesce(1).write.mode("append").parquet(source)
     take(), take()
     assert {r["tok"]: r["df"] for r in SegmentedIndex(spark, path).view().frequencies.collect()} == {"a": 2, "b": 1, "d": 1}
+
+
+def test_a_kept_index_for_standing_questions(spark, tmp_path):
+    """Only asked tokens are posted, through upserts, withdrawals and a merge; rankings, lengths and totals are those of the whole index."""
+    texts = ["red ring", "hot bolt ring", "cold tin", "", "ring red ring gold"]
+    q = spark.createDataFrame([(1, "red ring"), (2, "gold bolt")], "qid long, text string")
+    rows = lambda ids, shift=0: index.units(spark.createDataFrame([(i, texts[(i + shift) % 5]) for i in ids], "ref long, a string"), "ref", ["a"])
+    views = []
+    for name, asked in (("whole", None), ("part", bm25.asked(q))):
+        kept = SegmentedIndex(spark, f"{tmp_path}/{name}", fanout=2, asked=asked)
+        kept.upsert(rows(range(40)))
+        kept.upsert(rows(range(30, 45), 1), spark.createDataFrame([(3,), (4,)], "ref long"))
+        views.append(kept.view())
+    whole, part = views
+    assert {r["tok"] for r in part.words.select("tok").distinct().collect()} == {"red", "ring", "gold", "bolt"}
+    assert sorted(part.lengths.collect()) == sorted(whole.lengths.collect()) and part.totals.collect() == whole.totals.collect()
+    got = [sorted((r["qid"], r["pos"], r["ref"], round(r["score"], 9)) for r in bm25.top(v, bm25.or_terms(q), 10).collect()) for v in views]
+    assert got[0] == got[1] and len(got[0]) == 20
