@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, secrets, segment, simhash, toxicity
+from tessera.llm import mixing, secrets, segment, similar, toxicity
 from tessera.runtime import remove, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or
-    more one row stays: the one of the smallest id."""
-    return simhash.one_of_each(docs.select(*COLUMNS), "doc_id", "text", jaccard=True).select(*COLUMNS)
+    more one row stays: the one of the smallest id. The covering of SimHash fingerprints finds the close
+    copies, MinHash bands those whose fingerprints are too far apart for it; the sets decide."""
+    return similar.one_of_each(docs.select(*COLUMNS), "doc_id", "text").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import similar
 from tessera.llm.components import components
 from tessera.runtime import cut
 
@@ -46,26 +45,35 @@ BLOCK = 4096
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of a text's word shingles in their order, repeats included; none without words."""
     from itertools import repeat
 
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, dtype="<u8")
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    n = max(1, len(w) - shingle + 1)
-    h = np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=n).view(np.uint8).reshape(n, 8)
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=max(1, len(w) - shingle + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is set that is set in over half of them."""
+    cells = h.view(np.uint8).reshape(len(h), 8)
     out = 0
     for byte in range(8):
-        on = np.bincount(h[:, byte], minlength=256) @ _BITS
-        for bit in np.flatnonzero(2 * on > n):
+        on = np.bincount(cells[:, byte], minlength=256) @ _BITS
+        for bit in np.flatnonzero(2 * on > len(h)):
             out |= 1 << (8 * byte + int(bit))
     return out
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text."""
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(key, fp long) per input row."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -240,14 +248,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fps.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, jaccard: bool = False) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each component does: the one of the
-    smallest key, of rows of that key the one of the smallest fingerprint, of exact copies one.
-
-    ``jaccard``: links are not by fingerprint but by a similarity of 0.8 or more of the sets of five-word shingles. Such
-    pairs differ in up to some twenty bits, beyond any covering of 64: ``similar`` finds them by minima instead."""
-    if jaccard:
-        return similar.one_of_each(docs, key, text)
+    smallest key, of rows of that key the one of the smallest fingerprint, of exact copies one."""
     told = near_duplicates(docs, key, text, shingle, threshold).filter(F.col(key).eqNullSafe(F.col("component_id")))
     best = told.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), "fp")).alias("b")).select(F.col("b.k").alias("__k"), F.col("b.fp").alias("__fp"))
     rows = with_fingerprint(docs, text, shingle)

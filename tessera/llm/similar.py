@@ -1,12 +1,16 @@
-"""Near duplicates by Jaccard similarity: MinHash bands find candidates, the shingle sets decide.
+"""Near duplicates by Jaccard similarity: SimHash fingerprints find the close ones, MinHash bands the rest, the shingle sets decide.
 
 Two texts are linked if the sets of their word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
-Candidates share one of ``BANDS`` bands of ``ROWS`` minima each: a pair at 0.8 is missed with a
-probability of (1 - 0.8 ** 4) ** 24 = 3e-6, one at 0.9 with 2e-11. Every link is checked on the whole sets.
+Every link is checked on the whole sets; candidates come by two ways, one after the other.
 
-First every member of a band is checked with the smallest member, which settles groups of near copies of any size
-with linear rows. Bands whose members are still in more than one component are then compared
-in full, in blocks of bounded size; of these comparisons only a spanning forest of the links comes out.
+First by the anchor-point covering of ``simhash``: texts of one fingerprint, and those whose fingerprints differ in two
+bits or fewer. Of a fingerprint every member is checked with the smallest, of linked fingerprints the smallest
+members: linear rows for groups of any size. This joins most near copies into components.
+
+A pair at 0.8 may differ in some twenty bits, beyond any covering of 64. So the members that are not joined yet are candidates where they share one of
+``BANDS`` bands of ``ROWS`` minima each: a pair at 0.8 is missed with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6, one at 0.9 with 2e-11.
+Every member of a band is checked with the smallest member, again with linear rows, unless the covering has them in one component. Bands whose members
+are still in more than one component are then compared in full, in blocks of bounded size; of these comparisons only a spanning forest of the links comes out.
 
 Cases: texts that are the same to the byte are one member; null and empty texts and those without words have
 an empty set and are linked with each other only; fewer words than a shingle are one shingle; null
@@ -16,7 +20,6 @@ ids come last in the choice of the smallest id; an empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.components import components
 from tessera.llm.workers import give_back, small
 from tessera.runtime import cut
@@ -39,13 +43,7 @@ HELD = 500
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles."""
-    from xxhash import xxh64_intdigest
-
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=max(1, len(w) - shingle + 1)))
+    return np.unique(simhash.hashes(text, shingle))
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +74,15 @@ def member(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches, HELD):
-        got = pa.array([bands(shingles(t.as_py())) for t in b.column(2)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), got], names=["key", "h", "bands"])
+        fp, got = [], []
+        for t in b.column(2):
+            held = simhash.hashes(t.as_py())
+            fp.append(simhash.majority(held))
+            got.append(bands(np.unique(held)))
+        fp = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(got, pa.list_(pa.int64()))], names=["key", "h", "fp", "bands"])
     give_back()
 
 
@@ -125,18 +128,36 @@ def forest(h: np.ndarray, root: np.ndarray, sets: list[np.ndarray], block: np.nd
     return out
 
 
-def links(texts: DataFrame, banded: DataFrame, limit: int = BLOCK) -> DataFrame:
-    """(node, root) of the linked members of ``banded`` (h, bands), whose texts are in ``texts`` (h, text)."""
-    at = cut(banded.select(F.explode("bands").alias("band"), "h"))
-    low = at.groupBy("band").agg(F.min("h").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    shared = cut(at.join(low, "band"))
-    pairs = cut(shared.filter("h <> hub").select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct())
-    asked = shared.select("h").distinct()
-    sets = cut(texts.join(asked, "h", "left_semi").dropDuplicates(["h"]).select("h", "text").mapInArrow(_held, "h long, n long, s binary"))
+def covered(members: DataFrame) -> DataFrame:
+    """(a, b): candidates among ``members`` (h, fp) by the covering of fingerprints."""
+    low = cut(members.groupBy("fp").agg(F.min("h").alias("hub")))
+    same = members.join(low, "fp").filter("h <> hub").select(F.col("h").alias("a"), F.col("hub").alias("b"))
+    of = lambda c: low.select(F.col("fp").alias(f"f{c}"), F.col("hub").alias(c))
+    near = simhash.links(low.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    return same.unionByName(near.join(of("a"), "fa").join(of("b"), "fb").select("a", "b"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked by their sets; sizes that rule a link out go before sets are joined."""
     of = lambda c: sets.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
     able = pairs.join(of("a").drop("sa"), "a").join(of("b").drop("sb"), "b").filter(SIMILARITY[1] * F.least("na", "nb") >= SIMILARITY[0] * F.greatest("na", "nb"))
     able = able.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
-    roots = components(able.mapInArrow(_checked, "a long, b long"))
+    return able.mapInArrow(_checked, "a long, b long")
+
+
+def links(texts: DataFrame, marked: DataFrame, limit: int = BLOCK) -> DataFrame:
+    """(node, root) of the linked members of ``marked`` (h, fp, bands), whose texts are in ``texts`` (h, text)."""
+    near = cut(covered(marked.select("h", "fp")))
+    at = cut(marked.select(F.explode("bands").alias("band"), "h"))
+    low = at.groupBy("band").agg(F.min("h").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
+    shared = cut(at.join(low, "band"))
+    asked = shared.select("h").union(near.select("a")).union(near.select("b")).distinct()
+    sets = cut(texts.join(asked, "h", "left_semi").dropDuplicates(["h"]).select("h", "text").mapInArrow(_held, "h long, n long, s binary"))
+    first = components(_linked(near, sets))
+    root = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    pairs = shared.filter("h <> hub").select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = cut(pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("ra is null or rb is null or ra <> rb").select("a", "b"))
+    roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_linked(pairs, sets)))
     # Bands with members of more than one component, one of those with the same members.
     named = shared.select("band", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")).join(sets.select("h", "n"), "h")
     x = F.xxhash64("h")
@@ -162,8 +183,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit:
     """The rows of ``docs`` that stay when one row of each component of links does: the one of the
     smallest key, of rows of that key the one of the smallest hash, of exact copies one."""
     rows = docs.select(F.col(key).cast("long").alias("key"), member(text).alias("h"), F.col(text).alias("text"))
-    told = cut(rows.mapInArrow(_banded, "key long, h long, bands array<long>"))
-    classes = told.groupBy("h").agg(F.first("bands").alias("bands"))
+    told = cut(rows.mapInArrow(_marked, "key long, h long, fp long, bands array<long>"))
+    classes = told.groupBy("h").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     roots = links(rows.select("h", "text"), classes, limit)
     named = told.select("key", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "h")).alias("b")).select(F.col("b.key").alias("__k"), F.col("b.h").alias("__m"))

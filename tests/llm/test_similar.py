@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from tessera.llm import pipeline, similar
+from tessera.llm import pipeline, simhash, similar
 
 
 def brute(rows):
@@ -66,3 +66,19 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in similar.one_of_each(docs).collect()), key=str)
     assert got == [(3, None), (4, "other"), (4, "same words in here"), (None, "alone")]
     assert similar.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_close_fingerprints_are_candidates(spark):
+    """Texts that share no band are linked by the covering of their fingerprints, where the sets allow it."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 400)]
+    fp = simhash.fingerprint(" ".join(base))
+    copies = (" ".join(changed(rng, base, 1)) for _ in range(500))
+    by_bits = {(simhash.fingerprint(t) ^ fp).bit_count(): t for t in copies}
+    near, equal = by_bits[2], by_bits[0]
+    # The last one's fingerprint is given as that of the first; its set is not like it.
+    given = [(1, fp, " ".join(base)), (2, simhash.fingerprint(near), near), (3, fp, equal), (4, fp, "other words of no common shingle")]
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    marked = spark.createDataFrame([(h, signed(f), [1000 + h]) for h, f, _ in given], "h long, fp long, bands array<long>")
+    texts = spark.createDataFrame([(h, t) for h, _, t in given], "h long, text string")
+    assert sorted((r["node"], r["root"]) for r in similar.links(texts, marked).collect()) == [(1, 1), (2, 1), (3, 1)]
