@@ -130,7 +130,8 @@ def masks(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.agg(*[F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0))).alias(to) for c, to in (("quality", "good"), ("toxic", "toxic"))])
     known = known.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     flags = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("good", "toxic")]
-    rows = measured.join(known, ["id", "salt"], "left").select("digest", "part", "mask", "id", *flags)
+    # By the size of their file copied labels look small enough to be sent to every task, through the driver: the merge keeps them in partitions.
+    rows = measured.join(known.hint("merge"), ["id", "salt"], "left").select("digest", "part", "mask", "id", *flags)
     group = ["digest", "part", "mask", "good", "toxic"]
     # Rows of an id and text at first, then the smallest id of a group with the number of its rows.
     ids = rows.groupBy(*group, "id").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import GENERIC
+from tessera.llm import audit
 from tessera.operators import bm25, index, lsi, split
 from tessera.plans import catalogue
 from tessera.sources import tables
@@ -121,3 +122,9 @@ def test_blocks_rank_as_all_matches_do(spark, monkeypatch):
     ):
         assert 0 < seen[-1] <= 6 * 7 * 9
         assert rows_of(got) == rows_of(rank(want, 7))
+
+
+def test_copied_labels_do_not_go_through_the_driver(spark):
+    """A file of labels is a few bytes a row, and its rows are copied before they are joined: whatever it looks like, it is not broadcast."""
+    plan = audit.masks(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
