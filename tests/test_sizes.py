@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import GENERIC
 from tessera.llm import audit
-from tessera.operators import bm25, index, lsi, split
+from tessera.operators import bm25, evaluate, index, lsi, split, vector
 from tessera.plans import catalogue
 from tessera.sources import tables
 from tests.compare import connect, differences
@@ -128,3 +128,33 @@ def test_copied_labels_do_not_go_through_the_driver(spark):
     """A file of labels is a few bytes a row, and its rows are copied before they are joined: whatever it looks like, it is not broadcast."""
     plan = audit.masks(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_refs_of_a_source_do_not_go_through_the_driver(spark):
+    """A file of following refs is a few bytes a row: hits meet it in partitions, whatever its size looks like."""
+    hits = spark.createDataFrame([(1, 1, "term", 5), (1, 2, "chunk", 6), (1, 3, "term", -1)], "qid long, pos int, kind string, ref long")
+    known = {"term": spark.read.parquet(f"{SF}/part.parquet").select(F.col("p_partkey").alias("ref")), "chunk": spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("ref"))}
+    got = vector.hydrate(hits, known)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["kind"], r["ref"]) for r in got.collect()) == [("chunk", 6), ("term", 5)]
+
+
+def test_an_ablation_plans_one_configuration_at_a_time(spark):
+    """Given as functions, each is asked for its hits when it is worked out: of the plans before it nothing is held."""
+    gold = spark.createDataFrame([(1, 5), (2, 6)], "qid int, ref int")
+    told = []
+
+    def found(name, rows):
+        def hits():
+            told.append(name)
+            return spark.createDataFrame(rows, "qid int, ref int, pos int").withColumn("x", F.lit(len(told))).drop("x")
+
+        return hits
+
+    real = evaluate.cut
+    try:
+        evaluate.cut = lambda df: (told.append("cut"), real(df))[1]
+        got = {r["config"]: r["mrr"] for r in evaluate.ablation(gold, {"a": found("a", [(1, 5, 1), (2, 6, 2)]), "b": found("b", [(1, 5, 1)])}).collect()}
+    finally:
+        evaluate.cut = real
+    assert told == ["a", "cut", "b", "cut"] and got == {"a": 0.75, "b": 0.5}
