@@ -158,3 +158,18 @@ def test_an_ablation_plans_one_configuration_at_a_time(spark):
     finally:
         evaluate.cut = real
     assert told == ["a", "cut", "b", "cut"] and got == {"a": 0.75, "b": 0.5}
+
+
+def test_relations_of_an_index_need_no_pairs(spark, monkeypatch, tmp_path):
+    """They are those of the index that is laid, repeated units, null and empty texts included, and texts are dealt once."""
+    rows = [(1, "a", "x y x"), (1, "b", "y z"), (1, "a", "x q"), (2, "a", None), (2, "b", ""), (None, "a", "x"), (3, "a", "x"), (4, None, "x 1")]
+    u = spark.createDataFrame(rows, "ref int, field string, text string")
+    laid, found = index.build(u, f"{tmp_path}/laid"), index.relations(u)
+    for name, df in zip(("words", "frequencies", "lengths"), found, strict=True):
+        want = getattr(laid, name).select(*df.columns)
+        assert sorted(map(str, df.collect())) == sorted(map(str, want.collect())), name
+    monkeypatch.setattr(index, "lay", lambda *_: 1 / 0)
+    got = catalogue.queries()["index_relations"](spark, SF)
+    assert differences(got, connect(SF), catalogue.oracle_sql()["index_relations"]) == ""
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or plan.count("hashpartitioning(ref") == 3
