@@ -173,3 +173,22 @@ def test_relations_of_an_index_need_no_pairs(spark, monkeypatch, tmp_path):
     assert differences(got, connect(SF), catalogue.oracle_sql()["index_relations"]) == ""
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan or plan.count("hashpartitioning(ref") == 3
+
+
+def test_rows_that_leave_blocks_do_not_grow_with_the_blocks(spark, monkeypatch, tmp_path):
+    """Twenty blocks rank a query's matches: little more than its limit leaves them, all that tie with the last among it, and postings are dealt once."""
+    texts = [(i, "red " + "ring " * (i * 7 % 997 // 4)) for i in range(2000)] + [(2000 + i, "blue ring") for i in range(40)] + [(3000 + i, "gold") for i in range(3000)]
+    ix = index.of(index.units(spark.createDataFrame(texts, "ref long, a string"), "ref", ["a"]))
+    q = spark.createDataFrame([(1, "red"), (2, "red ring"), (3, "blue"), (4, "ring blue")], "qid long, text string")
+    monkeypatch.setattr(bm25, "UNITS", 252)
+    monkeypatch.setattr(bm25, "LEAST_BLOCKS", 3)
+    seen, rank = [], bm25.rank
+    monkeypatch.setattr(bm25, "rank", lambda rows, limit, *b: (seen.append({r["qid"]: r["count"] for r in rows.groupBy("qid").count().collect()}), rank(rows, limit, *b))[1])
+    rows_of = lambda df: sorted((r["qid"], r["pos"], r["ref"], round(r["score"], 9)) for r in df.collect())
+    for limit in (10, 60):
+        for terms, want in ((bm25.or_terms(q), bm25.score), (bm25.and_terms(q, GENERIC), bm25.score_all)):
+            got = bm25.best(ix, terms, limit)
+            assert rows_of(got) == rows_of(rank(want(ix, terms), limit))
+            assert all(seen[-1][k] <= 2 * limit + 10 for k in (1, 2)) and seen[-1][3] <= 40
+    built = index.build(index.units(spark.createDataFrame(texts, "ref long, a string"), "ref", ["a"]), f"{tmp_path}/ix")
+    assert rows_of(bm25.best(built, bm25.or_terms(q), 10)) == rows_of(rank(bm25.score(built, bm25.or_terms(q)), 10))
