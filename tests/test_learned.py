@@ -76,3 +76,18 @@ def test_more_than_overlap_on_given_questions(spark):
 
     got = {r["scorer"]: r["mrr"] for r in catalogue.queries()["learned_rerank_recall"](spark, "/root/testdata/sf0.1").collect()}
     assert got["learned"] > got["overlap"] > got["ranking"]
+
+
+def test_every_question_teaches(spark):
+    """More questions than a driver's sample would hold, of which the few of greatest hash tell otherwise: the weights are those of all."""
+    rng = random.Random(7)
+    rows = []
+    for qid in range(2300):
+        words = [f"w{rng.randint(0, 9)}" for _ in range(4)]
+        for k in range(3):
+            text = rng.sample(words, rng.randint(0, 4)) + [f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 6))]
+            rows.append((qid, " ".join(words), " ".join(text), k == qid % 3))
+    pairs = spark.createDataFrame(pd.DataFrame(rows, columns=["qid", "query", "text", "right"]))
+    x = np.array([learned.features(q.split(), t.split()) for _, q, t, _ in rows])
+    right, question = np.array([r[3] for r in rows]), np.array([r[0] for r in rows])
+    assert np.allclose(learned.fit(pairs).weights, learned.pairwise(x, right, question), atol=1e-7)
