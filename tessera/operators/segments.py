@@ -142,7 +142,7 @@ class SegmentedIndex:
         s["made"] += 1
         name = f"segment-{s['made']}"
         posted = self._all(s, lambda path: index.postings_of(self.spark, path, self._ref(s)), names)
-        index.lay(self._live(s, posted).drop("segment"), f"{self.path}/{name}")
+        index.lay(f"{self.path}/{name}", self._live(s, posted).drop("segment"))
         s["segments"] = [x for x in s["segments"] if x["name"] not in names] + [{"name": name, "level": level}]
         s["replaced"] += names
         left = {x["name"] for x in s["segments"]}

@@ -192,3 +192,26 @@ def test_rows_that_leave_blocks_do_not_grow_with_the_blocks(spark, monkeypatch,
             assert all(seen[-1][k] <= 2 * limit + 10 for k in (1, 2)) and seen[-1][3] <= 40
     built = index.build(index.units(spark.createDataFrame(texts, "ref long, a string"), "ref", ["a"]), f"{tmp_path}/ix")
     assert rows_of(bm25.best(built, bm25.or_terms(q), 10)) == rows_of(rank(bm25.score(built, bm25.or_terms(q)), 10))
+
+
+def test_an_index_laid_in_passes_is_the_same(spark, monkeypatch, tmp_path):
+    """By passes, and with texts dealt instead of what is asked for of them, all relations are those of one pass."""
+    rows = [(i % 40, "ab"[i % 2], f"red ring {i % 5} of {i % 3}") for i in range(90)] + [(None, "a", "red"), (7, "a", None)]
+    u = spark.createDataFrame(rows, "ref int, field string, text string")
+    asked = spark.createDataFrame([("red",), ("red ring",), ("of",), ("nowhere",)], "tok string")
+    rows_of = lambda ix: {n: sorted(map(str, getattr(ix, n).collect())) for n in ("words", "pairs", "bounds", "lengths", "frequencies", "totals")}
+    for which in (None, asked):
+        want = rows_of(index.build(u, f"{tmp_path}/one-{which is None}", which))
+        laid, lay = [], index.lay
+        with monkeypatch.context() as m:
+            m.setattr(index, "PASS", 30)
+            m.setattr(index, "MANY", 2)
+            m.setattr(index, "lay", lambda path, *parts: (laid.append(len(parts)), lay(path, *parts))[1])
+            assert rows_of(index.build(u, f"{tmp_path}/many-{which is None}", which)) == want and laid == [4]
+
+
+def test_texts_of_documents_do_not_travel_unasked(spark):
+    """Titles are cut out before labels are joined: the join takes no text where none is asked for."""
+    plan = tables.docs(spark, SF).select("id", "title", "expired")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join ", 1)
+    assert " AS title#" in below and "text#" not in above
